@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import simhash, token_counts, token_files
+from ledgerloom.llm import langid, mixing, packing, quality, simhash, token_counts, token_files, url_filter
 from ledgerloom.llm.shared import scratch
 
 
@@ -20,10 +20,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_bad_lines", "lost_chars", "kept")])
+
+
+HOST_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+#: Urls that rarely lead to prose: link farms, listings, logins, scripts, feeds, calendars, printouts, shops.
+URL_PATTERNS = {
+    "link_farm": r"[.-]farm[.]example[.]",
+    "listing_page": r"[?&]page=[0-9]+&ref=",
+    "login": r"/(login|signin|register)[/.?]",
+    "script": r"/cgi-bin/",
+    "admin": r"/wp-admin/",
+    "feed": r"/feed/",
+    "session": r"[?&;]sessionid=",
+    "reply": r"[?&]replytocom=",
+    "calendar": r"/calendar/[0-9][0-9][0-9][0-9]",
+    "printout": r"/print/",
+    "casino": r"[/.-]casino[/.-]",
+    "adult": r"[/.-](porn|xxx|adult)[/.-]",
+    "cart": r"/cart/",
+}
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), HOST_RULES, URL_PATTERNS)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=64, alpha=0.7, period=1000)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,6 +72,66 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_quality_rules, op6_url_filter, op7_mixing, op8_simhash, op9_token_files, op10_packing)}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _op5_sql() -> str:
+    q = quality
+    space, word = _sql_text(q.SPACE), _sql_text(q.WORD)
+    words = lambda x: f"list_filter(regexp_split_to_array({x}, {space}), lambda w: w <> '')"
+    chars = lambda x: f"length(regexp_replace({x}, {space}, '', 'g'))"
+    only = lambda x, p: f"length(regexp_replace({x}, {_sql_text(p)}, '', 'g'))"
+    fails = (
+        f"regexp_matches(l, {word}) AND ({only('l', q.NOT_SYMBOL)} * 100 > {chars('l')} * {q.SYMBOL_PERCENT} OR NOT regexp_matches(l, {_sql_text(q.SENTENCE_END)})"
+        f" OR ({only('l', q.NOT_SEPARATOR)} >= {q.SEPARATORS} AND {only('l', q.NOT_SEPARATOR)} * 6 > len({words('l')}))"
+        f" OR (len({words('l')}) <= {q.BOILERPLATE_WORDS} AND regexp_matches(l, {_sql_text(q.BOILERPLATE)})))"
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, {words('t')} AS w, string_split(t, chr(10)) AS ls FROM d),
+u AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM s),
+g AS (SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+p AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + x AS i FROM k, (VALUES (0), (1), (2)) AS v(x) WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, {chars('t')}::BIGINT AS word_chars, {only('t', q.NOT_SYMBOL)}::BIGINT AS n_symbols,
+    (len(list_filter(ls, lambda l: regexp_matches(l, {word}))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, {word})))))::BIGINT AS n_dup_lines,
+    coalesce(p.n, 0)::BIGINT AS n_repeat_words, list_filter(ls, lambda l: {fails}) AS bad
+  FROM s LEFT JOIN p USING (r)),
+x AS (
+  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, len(bad)::BIGINT AS n_bad_lines,
+    coalesce(list_sum(list_transform(bad, lambda l: {chars('l')})), 0)::BIGINT AS lost_chars
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_bad_lines, lost_chars,
+  NOT base_failed AND 100 * lost_chars <= {q.MAX_LOST_PERCENT} * word_chars AS kept
+FROM x"""
+
+
+def _op6_sql() -> str:
+    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    fitting = []
+    for rule, verdict in sorted(HOST_RULES, key=lambda r: -len(r[0])):
+        host, slash, path = rule.partition("/")
+        fitting.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')", rule, verdict))
+    names = " ".join(f"WHEN regexp_matches(low, {_sql_text(p)}) THEN '{n}'" for n, p in sorted(URL_PATTERNS.items()))
+    return f"""
+WITH a AS (SELECT page_id, url, {lower('url')} AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT page_id, low, {lower('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+e AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fitting)} END AS rule, CASE {" ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fitting)} END AS ruled,
+  CASE {names} END AS pattern FROM c)
+SELECT page_id, host, path, rule, pattern, coalesce(ruled, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM e"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _op5_sql(), "op6_url_filter": _op6_sql()}
