@@ -4,8 +4,7 @@ Neither public vocabulary lets a token cross from a non-space character to a spa
 are the ids of its chunks, one after the other; the tests hold that against whole texts. The special strings
 of a vocabulary hold no space and so stay in one chunk, where the library finds them.
 
-The word vocabulary drops white space, so its chunks are the runs between ASCII spaces, tabs and line ends
-(other white space stays inside a chunk, where the library sees it). In the byte vocabulary the space belongs
+The word vocabulary drops white space, so its chunks are the runs between white space. In the byte vocabulary the space belongs
 to the token after it, so a chunk is a run of white space with the run of other characters that follows.
 """
 
@@ -17,22 +16,50 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 400_000
-"""Chunks that a worker keeps; beyond that it starts anew, which costs time and never changes an id."""
+CACHE_WORDS = 250_000
+"""Chunks in one generation of a worker's cache. Two are kept, and what is used again moves to the younger one."""
 CACHE_CHARS = 64
 """Longer chunks are encoded each time, so a worker's cache stays within a bound of bytes."""
 
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+_PROBES = ["the", "The", "THE,", "été.", "ÉTÉ", "Straße,", "zß", "a", "I.", "nonconformidades", "ñandú", "øre", "þing.", "ÿ,"]
+
 _chunkers: dict[str, Chunks] = {}
 
 
-class Chunks(dict):
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell each character below 256: its UTF-8 bytes, each as a printable character."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelled = dict(zip(shown, map(chr, shown), strict=True))
+    spelled |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in spelled)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class Generations(dict):
+    """A bounded cache: when it is full, its entries become the old generation, and those used again come back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def find(self, key):
+        return self.old.get(key)
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class Chunks(Generations):
     """chunk -> its ids as little-endian bytes of 2 or 4 each; a missing chunk is encoded by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -40,17 +67,40 @@ class Chunks(dict):
             described = json.load(f)
         self.drops_space = described["model"].get("end_of_word_suffix") == "</w>"
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.split = re.compile(r"[^ \t\n\r]+" if self.drops_space else r"\s*\S+|\s+").findall
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES)]
+        self.plain = True
+        self.plain = all(self.encoded(x) == self.by_library(x) for x in probes)
+
+    def split(self, text: str) -> list[str]:
+        """The chunks of a text."""
+        if not self.drops_space:
+            return _spaced(text)
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # Python's white space, but not the library's
+            return _unspaced(text)
+        return text.split()
+
+    def by_library(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encoded(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.width).tobytes()
+        """A chunk's ids. A word of Latin letters, with a full stop or comma at most, goes to the library's model at once: there is nothing to normalize or split."""
+        if not (self.plain and (found := _PLAIN(chunk))):
+            return self.by_library(chunk)
+        space, word, mark = found.groups()
+        if self.drops_space:
+            word = word.lower()
+        ids = [t.id for t in self.model.tokenize((space + word).translate(self.letters))]
+        if mark:
+            ids += [t.id for t in self.model.tokenize(mark)]
+        return np.array(ids, dtype=self.width).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoded(chunk)
+        ids = self.find(chunk)
+        if ids is None:
+            ids = self.encoded(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = ids
+            self.keep(chunk, ids)
         return ids
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -58,6 +108,10 @@ class Chunks(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.split(text or ""))), dtype=self.width)
 
 
+_spaced = re.compile(r"\s*\S+|\s+").findall
+_unspaced = re.compile(r"[^ \t\n\r]+").findall
+
+
 def chunks(path: str) -> Chunks:
     """This worker's cache for the vocabulary file at ``path``."""
     if path not in _chunkers:
