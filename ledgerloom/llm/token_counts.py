@@ -22,35 +22,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tokenizer import Chunks, chunks
+from ledgerloom.llm.shared import written
+from ledgerloom.llm.tokenizer import CACHE_WORDS, Chunks, Generations, chunks
 
 MAX_KEY = 48
 TASK_KEYS = 300_000
 """Pre-tokens a task counts at once; the rarer half goes when there are more."""
 
-_counters: dict[tuple[str, str], Lengths] = {}
 
-
-class Lengths(dict):
-    """pre-token -> number of tokens, started from the broadcast table."""
+class Lengths(Generations):
+    """pre-token -> number of tokens, over the broadcast table of the frequent ones."""
 
     def __init__(self, path: str, table: tuple[bytes, bytes]):
-        words, counts = unpacked(table)
-        super().__init__(zip(words, counts, strict=True))
-        self.frequent = len(self)
-        self.start = (words, counts)
+        super().__init__(CACHE_WORDS)
         self.chunks: Chunks = chunks(path)
+        self.update(zip(*unpacked(table), strict=True))
+        self.size += len(self)
+        self.frequent = dict(self)
 
     def __missing__(self, chunk: str) -> int:
-        n = len(self.chunks.encoded(chunk)) // self.chunks.width.itemsize
+        n = self.find(chunk)
+        if n is None:
+            n = len(self.chunks.encoded(chunk)) // self.chunks.width.itemsize
         if len(chunk) <= MAX_KEY:
-            if len(self) >= self.frequent + 1_000_000:
-                self.clear()
-                self.update(zip(*self.start, strict=True))
-            self[chunk] = n
+            self.keep(chunk, n)
+            if len(self) == 1:  # a new generation
+                self.update(self.frequent)
         return n
 
 
+_lengths: dict[tuple[str, int], tuple[Lengths, object]] = {}
+
+
+def lengths(path: str, table: tuple[bytes, bytes]) -> Lengths:
+    """This worker's lookup; it lasts over tasks, as long as the broadcast table is the same."""
+    key = path, id(table)
+    if key not in _lengths:
+        _lengths.clear()
+        _lengths[key] = Lengths(path, table), table
+    return _lengths[key][0]
+
+
 def packed(words: list[str], counts: list[int]) -> tuple[bytes, bytes]:
     """The table as NUL-joined keys and 16-bit counts."""
     return "\0".join(words).encode(), np.array(counts, dtype="<u2").tobytes()
@@ -75,9 +87,12 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text", table_siz
         best = [(w, n) for w, n in heapq.nlargest(2 * table_size, seen.items(), key=lambda x: (x[1], x[0])) if n > 1 and len(w.encode()) <= MAX_KEY and "\0" not in w]
         yield pa.record_batch({"word": pa.array([w for w, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())})
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(summaries, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
-    return [r["word"] for r in top.collect()]  # bounded by table_size
+    found = written(docs.select(F.col(text).alias("t")).mapInArrow(summaries, "word string, n long"), "pretokens")
+    merged = found.groupBy("word").agg(F.sum("n").alias("n"))
+    total = merged.agg(F.sum("n")).first()[0] or 0
+    # At most 4 * table_size words can have that share of the whole, so what tasks send to the driver is bounded.
+    often = merged.where(F.col("n") * (4 * table_size) >= F.lit(total)).collect()
+    return [r["word"] for r in sorted(often, key=lambda r: (-r["n"], r["word"]))[:table_size]]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 2048, table_size: int = 32_768) -> DataFrame:
@@ -89,12 +104,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     @F.pandas_udf("long")
     def n_tokens(texts: pd.Series) -> pd.Series:
-        key = (path, str(hash(table.value)))
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = Lengths(path, table.value)
-        lengths = _counters[key]
-        split, get = lengths.chunks.split, lengths.__getitem__
+        own = lengths(path, table.value)
+        split, get = own.chunks.split, own.__getitem__
         return pd.Series([sum(map(get, split(t))) if t else 0 for t in texts], dtype="int64")
 
     counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), n_tokens(F.col(text)).alias("n_tokens"))
