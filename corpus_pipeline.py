@@ -1,20 +1,47 @@
-"""The corpus pipeline over ``documents``: its stages, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline over ``documents``: its stages, each written as Parquet and read again as the next one's input.
+
+All but the last return the columns of documents. A stage works on every row that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import simhash
+from ledgerloom.llm import langid, mixing, packing, quality, simhash
+from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.llm.shared import written
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and so do documents that lose too much by it or fail the base rules."""
+    return quality.cleaned(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of least id."""
     return simhash.first_of_each_group(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the sources are mixed to their target weights."""
+    return mixing.mixed(docs, block_rows=64, alpha=0.7, period=1000)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is in the packed sequences."""
+    packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
+#: Learned models, fingerprints and tokenizers are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -222,3 +222,11 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
     """(doc_id, held_out, lang_pred, score) of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     return rows.withColumn("__p", predicted(rows, net)).select("doc_id", held_out("doc_id").alias("held_out"), "__p.lang_pred", "__p.score")
+
+
+def accepted(docs: DataFrame, net: Network | None, text: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The documents that have a language: not ``und``, and a score of ``min_score`` at least."""
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    told = own.withColumn("p", predicted(own, net, f"c{names.index(text)}"))
+    return told.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= min_score)).select(*own.columns).toDF(*names)

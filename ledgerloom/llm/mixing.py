@@ -14,7 +14,7 @@ source (``MAX_SOURCES`` at most) and the periods.
 
 Cases: rows without a source make one source of their own; a source's last block may be short; repeated rows take
 neighbouring places, in any order among equals; null ids count as one id; an empty table gives an empty
-result; other columns are carried along, whatever their names, as long as none is one of those added.
+result; other columns are carried along, but for those of an added column's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from ledgerloom.llm.shared import log2_ceil, written
 
 CHUNK_ROWS = 4096
 MAX_SOURCES = 1000
+ADDED = ("block", "slot", "in_block", "released", "due")
 
 
 def shares(sizes: dict[str | None, int], alpha: float = 0.7, period: int = 1000, weights: dict[str | None, float] | None = None) -> dict[str | None, int]:
@@ -96,8 +97,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_r
     kind = "array<struct<s:string,k:int,bits:int,phases:array<struct<b:bigint,t:bigint,m:bigint,a:bigint,slots:array<bigint>>>>>"
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
-    own = [F.col(c) for c in docs.columns]
-    hashed = docs.withColumns({"__s": F.col(source).cast("string"), "__h": F.xxhash64(F.lit(0), F.col(id_col))})
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    id_col, source = f"c{names.index(id_col)}", f"c{names.index(source)}"
+    hashed = own.withColumns({"__s": F.col(source).cast("string"), "__h": F.xxhash64(F.lit(0), F.col(id_col))})
     plan = F.broadcast(table.select(F.col("s").alias("__t"), F.col("k").alias("__k"), F.col("bits").alias("__bits")))
     chunked = hashed.join(plan, F.col("__s").eqNullSafe(F.col("__t"))).withColumn("__c", F.expr("if(__bits = 0, 0L, shiftrightunsigned(__h, 64 - __bits))"))
 
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_r
     placed = ranked.withColumn("__b", block).join(timed, "__k").withColumn("__f", F.expr("element_at(filter(__p, p -> p.b <= __b), -1)"))
     i = F.expr("__b - __f.b")
     return placed.withColumn("__i", i).select(
-        *own,
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c not in ADDED],
         F.col("__b").alias("block"),
         F.expr("__f.t + __i div __f.a * __f.m + get(__f.slots, cast(__i % __f.a as int))").alias("slot"),
         F.expr(f"cast(__r % {int(block_rows)} as int)").alias("in_block"),
@@ -123,5 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_r
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """``docs`` in the mixture's order: files, and rows within them, follow it."""
-    found = mix(docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]), f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(source)}", **how)
-    return found.orderBy("slot", "in_block").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    found = mix(own, f"c{names.index(id_col)}", f"c{names.index(source)}", **how)
+    return found.orderBy("slot", "in_block").select(*own.columns).toDF(*names)

@@ -116,6 +116,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The documents that are kept, without their failing lines; a count of characters follows where there is one."""
-    found = judged(docs, text).where("quality.kept")
-    new = [F.col("quality.clean_text").alias(c) if c == text else F.length("quality.clean_text").cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
-    return found.select(*new)
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    found = judged(own, f"c{names.index(text)}").where("quality.kept")
+    new = {text: F.col("quality.clean_text"), n_chars: F.length("quality.clean_text")}
+    kept = [new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"c{k}") for k, c in enumerate(names)]
+    return found.select(*kept).toDF(*names)

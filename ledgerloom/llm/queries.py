@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, packing, quality, simhash, token_counts, token_files, url_filter
+from ledgerloom.llm import ann, langid, mixing, packing, quality, simhash, token_counts, token_files, url_filter, warc
 from ledgerloom.llm.shared import scratch
 
 
@@ -20,6 +20,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(_table(spark, sf_dir, "pages"), scratch(spark, "archives"), min_bytes=0)
+    found = warc.read_archives(spark, files)
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -77,7 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_quality_rules, op6_url_filter, op7_mixing, op8_simhash, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_token_counts, op5_quality_rules, op6_url_filter, op7_mixing, op8_simhash, op9_token_files, op10_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,4 +144,27 @@ e AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fitting)} E
 SELECT page_id, host, path, rule, pattern, coalesce(ruled, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM e"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _op5_sql(), "op6_url_filter": _op6_sql()}
+_OP1_SQL = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) AS score
+  FROM e AS q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+#: Base32 of a SHA-1: each 5 hexadecimal digits are 20 bits, so 4 letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {s}) & 31)::INTEGER, 1)" for g in range(8) for s in (15, 10, 5, 0)
+)
+
+_OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+k AS (SELECT page_id, t, sha1(t) AS h, strlen(t)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY t) AS least, count(*) OVER (PARTITION BY t) AS n FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN n = 1 OR page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n = 1 OR page_id IS NOT DISTINCT FROM least THEN NULL ELSE least END AS refers_to
+FROM k"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ann": _OP1_SQL, "op2_warc": _OP2_SQL, "op5_quality_rules": _op5_sql(), "op6_url_filter": _op6_sql()}

@@ -172,12 +172,13 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     Of rows that repeat that id one stays. Documents without an id stay only where no row of their component has one, one of them.
     """
-    found = near_duplicates(docs, id_col, text, distance)
+    names = docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    key = f"c{names.index(id_col)}"
+    found = near_duplicates(own, key, f"c{names.index(text)}", distance)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = written(stay, "survivors").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    rows = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    once = rows.where("__n = 1").select(*[docs[c] for c in docs.columns])
-    more = rows.where("__n > 1")
-    least = [F.struct(*[docs[c] for c in docs.columns]).alias("__row")]
-    again = more.select("__id", *least).groupBy("__id").agg(F.first("__row").alias("__row")).select("__row.*")
-    return once.unionByName(again)
+    stay = written(stay, "survivors")
+    rows = own.join(stay, own[key].cast("long").eqNullSafe(F.col("doc_id")))
+    once = rows.where("n = 1").select(*own.columns)
+    more = rows.where("n > 1").groupBy("doc_id").agg(F.first(F.struct(*own.columns)).alias("row")).select("row.*")
+    return once.unionByName(more).toDF(*names)
