@@ -13,10 +13,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 """Chunks in one generation of a worker's cache. Two are kept, and what is used again moves to the younger one."""
 CACHE_CHARS = 64
 """Longer chunks are encoded each time, so a worker's cache stays within a bound of bytes."""
@@ -68,9 +70,11 @@ class Chunks(Generations):
         self.drops_space = described["model"].get("end_of_word_suffix") == "</w>"
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.code = next(c for c in "HIL" if array(c).itemsize == self.width.itemsize)
+        self.marks = {m: self.by_library(m) for m in ".,"}
         probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES)]
         self.plain = True
-        self.plain = all(self.encoded(x) == self.by_library(x) for x in probes)
+        self.plain = sys.byteorder == "little" and all(self.encoded(x) == self.by_library(x) for x in probes)
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text."""
@@ -88,12 +92,14 @@ class Chunks(Generations):
         if not (self.plain and (found := _PLAIN(chunk))):
             return self.by_library(chunk)
         space, word, mark = found.groups()
-        if self.drops_space:
-            word = word.lower()
-        ids = [t.id for t in self.model.tokenize((space + word).translate(self.letters))]
+        own = space + (word.lower() if self.drops_space else word)
         if mark:
-            ids += [t.id for t in self.model.tokenize(mark)]
-        return np.array(ids, dtype=self.width).tobytes()
+            return (self[own] if len(own) <= CACHE_CHARS else self.encoded(own)) + self.marks[mark]
+        if own != chunk and len(own) <= CACHE_CHARS:
+            return self[own]
+        if space or not own.isascii():
+            own = own.translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.find(chunk)
