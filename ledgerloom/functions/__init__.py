@@ -1 +1 @@
-"""TBD"""
+"""Pure ``Column -> Column`` functions; Catalyst plans all of them."""

@@ -1 +1 @@
-"""TBD"""
+"""Relational operators: ``DataFrame -> DataFrame``, none of which collects."""

@@ -1,10 +1,719 @@
-"""Every registered query and the SQL it is held against."""
+"""Every registered query and the SQL it is held against.
+
+Invoices are carried onto the star schema: an order is an invoice, a line item its line, a customer its customer,
+a supplier its seller, a part an item. Texts are documents, sequences of outcomes are events, hashes are MD5 of text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import dates, numbers, rules, sets
+from ledgerloom.functions import text as tx
+from ledgerloom.operators import history, ledger, lifecycle, reconcile, reports, routing, store, truth, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TERMS = ("the", "of", "and", "tion", "ing", "des", "que", "der", "und", "los")
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def money(c: str, scale: int = 2) -> Column:
+    return F.col(c).cast(f"decimal(12,{scale})")
+
+
+# --- invoices and their lines ---------------------------------------------------------------------------------------
+
+_SUMS = """s AS (SELECT l_orderkey, round(sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))), 2) AS subtotal,
+  round(sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)) * l_tax::DECIMAL(4,2)), 2) AS tax, count(*) AS n_lines FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_SUMS}, j AS (SELECT o_orderkey, subtotal, tax, o_totalprice::DECIMAL(12,2) AS total, coalesce(n_lines, 0) AS n_lines FROM orders LEFT JOIN s ON o_orderkey = l_orderkey),
+k AS (SELECT *, n_lines = 0 AS incomplete, coalesce(abs(subtotal + tax - total) > 0.02, FALSE) AS off FROM j)
+SELECT o_orderkey, subtotal::DOUBLE AS subtotal, tax::DOUBLE AS tax, total::DOUBLE AS total, n_lines,
+  concat_ws(',', CASE WHEN incomplete THEN 'incomplete_line_items' END, CASE WHEN off THEN 'total_mismatch' END) AS issues,
+  CASE WHEN off THEN 'inconsistent' WHEN subtotal IS NOT NULL AND total IS NOT NULL THEN 'reconciled' WHEN total IS NOT NULL THEN 'partial' ELSE 'unavailable' END AS status
+FROM k""")
+def invoice_reconciliation(spark, d):
+    net = money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    sums = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(net), 2).alias("subtotal"), F.round(F.sum(net * F.col("l_tax").cast("decimal(4,2)")), 2).alias("tax"), F.count(F.lit(1)).alias("n_lines"))
+    j = table(spark, d, "orders").select("o_orderkey", money("o_totalprice").alias("total")).join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    n, none = F.coalesce("n_lines", F.lit(0)), F.lit(None)
+    issues = reconcile.issues_column(F.col("subtotal"), F.col("tax"), none.cast("decimal(12,2)"), F.col("total"), F.greatest(n, F.lit(1)), none, none, none, n > 0, F.lit(False), F.lit(False))
+    j = j.withColumn("issues", issues)
+    status = reconcile.status_column(F.col("issues"), F.lit(False), F.lit(False), n, F.col("subtotal"), F.col("tax"), F.col("total"))
+    return j.select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in ("subtotal", "tax", "total")], n.alias("n_lines"), F.array_join("issues", ",").alias("issues"), status.alias("status"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DECIMAL(12,2) AS q, round(p_retailprice, 2)::DECIMAL(12,2) AS p, l_extendedprice::DECIMAL(12,2) AS a
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (q * p)::DOUBLE AS expected, a::DOUBLE AS amount FROM l WHERE NOT abs(q * p - a) < 0.02""")
+def line_arithmetic_check(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    q, p, a = money("l_quantity"), F.round("p_retailprice", 2).cast("decimal(12,2)"), money("l_extendedprice")
+    return j.where(~numbers.near(q * p, a, 0.02)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (q * p).cast("double").alias("expected"), a.cast("double").alias("amount"))
+
+
+@query("""
+WITH l AS (SELECT *, l_extendedprice::DECIMAL(12,2) AS gross, l_tax::DECIMAL(4,2) AS rate FROM lineitem),
+m AS (SELECT *, round((gross::DOUBLE / (1 + rate::DOUBLE)), 2) AS net FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, gross::DOUBLE AS gross, net, round(gross::DOUBLE - net, 2) AS tax FROM m""")
+def line_normalize_tax(spark, d):
+    gross, rate = F.col("l_extendedprice").cast("double"), F.col("l_tax").cast("double")
+    net = F.round(gross / (1 + rate), 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gross.alias("gross"), net.alias("net"), F.round(gross - net, 2).alias("tax"))
+
+
+def _category_sql(x: str) -> str:
+    cases = " ".join("WHEN " + " OR ".join(f"contains(lower({x}), '{w}')" for w in ws) + f" THEN '{c}'" for c, ws in rules.LINE_CATEGORIES.items())
+    return f"CASE {cases} ELSE 'other' END"
+
+
+_ITEM = "CASE p_partkey % 7 WHEN 0 THEN 'exam ' WHEN 1 THEN 'surgical ' WHEN 2 THEN 'x-ray ' WHEN 3 THEN 'vaccine ' WHEN 4 THEN 'syringe ' WHEN 5 THEN 'overnight ' ELSE '' END || p_name"
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS doc_id, {_category_sql(_ITEM)} AS category, l_extendedprice::DECIMAL(18,4) AS a FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT doc_id, category, round(sum(a), 2)::DOUBLE AS total FROM l GROUP BY 1, 2""")
+def category_totals(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return reconcile.category_totals(j.select(F.col("l_orderkey").alias("doc_id"), rules.line_category(F.expr(_ITEM)).alias("category"), F.col("l_extendedprice").alias("amount")))
+
+
+@query("""
+SELECT l_orderkey AS doc_id, round(sum(l_extendedprice::DECIMAL(18,4)), 2)::DOUBLE AS line_sum, count(*) AS line_count, bool_and(l_tax > 0) AS all_taxed, bool_or(l_returnflag = 'R') AS any_returned FROM lineitem GROUP BY 1""")
+def line_sums(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"))
+    return x.agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")), 2).cast("double").alias("line_sum"), F.count(F.lit(1)).alias("line_count"), F.bool_and(F.col("l_tax") > 0).alias("all_taxed"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"))
+
+
+# --- scalar functions -----------------------------------------------------------------------------------------------
+
+_AMOUNT_SQL = """CASE WHEN contains({s}, ',') AND contains({s}, '.') THEN
+    CASE WHEN strpos(reverse({s}), ',') < strpos(reverse({s}), '.') THEN replace(replace({s}, '.', ''), ',', '.') ELSE replace({s}, ',', '') END
+  WHEN contains({s}, ',') THEN CASE WHEN strpos(reverse({s}), ',') = 4 THEN replace({s}, ',', '') ELSE replace({s}, ',', '.') END ELSE {s} END"""
+_SHOWN = "CASE o_orderkey % 5 WHEN 0 THEN '$' || u WHEN 1 THEN e WHEN 2 THEN 'EUR ' || replace(e, '.', '') WHEN 3 THEN replace(u, '.00', '') ELSE 'n/a' END"
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey, format('{{:,.2f}}', o_totalprice) AS u FROM orders), b AS (SELECT *, replace(replace(replace(u, ',', '_'), '.', ','), '_', '.') AS e FROM a),
+c AS (SELECT o_orderkey, {_SHOWN} AS shown FROM b), k AS (SELECT *, regexp_replace(shown, '[^0-9.,-]', '', 'g') AS s FROM c)
+SELECT o_orderkey, shown, coalesce(try_cast({_AMOUNT_SQL.format(s="s")} AS DOUBLE), 0.0) AS amount FROM k""")
+def amount_normalize(spark, d):
+    u = F.format_number("o_totalprice", 2)
+    x = table(spark, d, "orders").select("o_orderkey", u.alias("u")).withColumn("e", F.translate("u", ",.", ".,"))
+    return x.select("o_orderkey", F.expr(_SHOWN).alias("shown")).withColumn("amount", numbers.amount(F.col("shown")))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, o_orderkey, format('{:,.2f}', o_totalprice) AS u FROM orders),
+b AS (SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN replace(replace(replace(u, ',', '_'), '.', ','), '_', '.') ELSE u END AS s FROM a),
+v AS (SELECT o_custkey,
+  CASE WHEN contains(s, ',') AND contains(s, '.') THEN CASE WHEN strpos(reverse(s), '.') < strpos(reverse(s), ',') THEN 2 ELSE 0 END WHEN regexp_matches(s, '^-?\\d+[.]\\d{2}$') OR regexp_matches(s, '^-?\\d{1,3}(,\\d{3})+$') THEN 1 ELSE 0 END AS dot,
+  CASE WHEN contains(s, ',') AND contains(s, '.') THEN CASE WHEN strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN 2 ELSE 0 END WHEN regexp_matches(s, '^-?\\d+,\\d{2}$') OR regexp_matches(s, '^-?\\d{1,3}([.]\\d{3})+$') THEN 1 ELSE 0 END AS com FROM b)
+SELECT o_custkey AS doc_id, sum(dot)::BIGINT AS dot_votes, sum(com)::BIGINT AS comma_votes, CASE WHEN sum(dot) > sum(com) THEN 'dot' WHEN sum(com) > sum(dot) THEN 'comma' END AS convention FROM v GROUP BY 1""")
+def amount_locale_vote(spark, d):
+    u = F.format_number("o_totalprice", 2)
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_custkey") % 3 == 0, F.translate(u, ",.", ".,")).otherwise(u).alias("value"))
+    return reconcile.numeric_convention(x)
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, n_nationkey % 4 = 0 AS us, o_orderdate::DATE AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+b AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN strftime(t, '%Y-%m-%d') WHEN 1 THEN strftime(t, '%d/%m/%Y') WHEN 2 THEN strftime(t, '%m/%d/%y') ELSE strftime(t, '%d %b %Y') END AS shown FROM a),
+c AS (SELECT *, split_part(shown, '/', 1)::VARCHAR AS x, split_part(shown, '/', 2) AS y, split_part(shown, '/', 3) AS z FROM b),
+e AS (SELECT *, try_cast(x AS INT) AS xi, try_cast(y AS INT) AS yi, CASE WHEN length(z) = 2 THEN CASE WHEN try_cast(z AS INT) < 70 THEN 2000 ELSE 1900 END ELSE 0 END + try_cast(z AS INT) AS yr FROM c),
+f AS (SELECT *, yi > 12 OR (xi <= 12 AND us) AS mf FROM e)
+SELECT o_orderkey, shown, CASE WHEN o_orderkey % 4 IN (0, 3) THEN strftime(t, '%Y-%m-%d')
+  ELSE printf('%04d-%02d-%02d', yr::INT, CASE WHEN mf THEN xi ELSE yi END, CASE WHEN mf THEN yi ELSE xi END) END AS iso_date, NOT (o_orderkey % 4 IN (0, 3)) AND xi <= 12 AND yi <= 12 AND xi <> yi AS ambiguous
+FROM f""")
+def date_normalize(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    shown = F.when(k == 0, F.date_format(t, "yyyy-MM-dd")).when(k == 1, F.date_format(t, "dd/MM/yyyy")).when(k == 2, F.date_format(t, "MM/dd/yy")).otherwise(F.date_format(t, "dd MMM yyyy"))
+    x = j.select("o_orderkey", shown.alias("shown"), F.when(F.col("n_nationkey") % 4 == 0, "US").otherwise("DE").alias("country"))
+    return x.select("o_orderkey", "shown", dates.iso(F.col("shown"), F.col("country")).alias("iso_date"), dates.ambiguous(F.col("shown")).alias("ambiguous"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '01357', 'oiest'), '[^a-z0-9]+', ' ', 'g'))) AS ocr_md5, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_md5,
+  md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS anchor_md5 FROM documents""")
+def ocr_text_normalize(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.ocr_text(t)).alias("ocr_md5"), F.md5(tx.key(t)).alias("key_md5"), F.md5(tx.anchor(t)).alias("anchor_md5"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*[.][0-9]{2}')) AS amounts, list_distinct(regexp_extract_all(text, '[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{2,4}')) AS dates FROM documents)
+SELECT doc_id, array_to_string(list_sort(amounts), '|') AS amounts, array_to_string(list_sort(dates), '|') AS dates, len(amounts)::INT AS n_amounts FROM a""")
+def amount_date_extract(spark, d):
+    a, t = numbers.amounts_in(F.col("text")), dates.dates_in(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(a), "|").alias("amounts"), F.array_join(F.array_sort(t), "|").alias("dates"), F.size(a).alias("n_amounts"))
+
+
+_FAMILY_TEXT = "CASE doc_id % 5 WHEN 0 THEN 'Treatment plan ' WHEN 1 THEN 'Account Summary ' WHEN 2 THEN 'INVOICE ' ELSE '' END || text"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower({_FAMILY_TEXT}) AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'estimate') OR contains(t, 'treatment plan') THEN 'estimate' WHEN contains(t, 'statement') OR contains(t, 'account summary') THEN 'statement'
+  WHEN contains(t, 'invoice') OR contains(t, 'receipt') OR contains(t, 'bill to') THEN 'invoice' ELSE 'unknown' END AS family FROM d""")
+def document_family_class(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.document_family(F.expr(_FAMILY_TEXT)).alias("family"))
+
+
+def _country_sql(t: str) -> str:
+    def marker(m):
+        return f"regexp_matches({t}, '(^|[^a-z]){m}($|[^a-z])')" if 2 <= len(m) <= 4 and m.isalpha() else f"contains({t}, '{m}')"
+
+    def among(codes):
+        return f"len(list_intersect(regexp_extract_all({t}, '[a-z]{{2,}}'), [{', '.join(repr(c) for c in codes)}])) > 0"
+
+    def any_of(xs):
+        return "(" + " OR ".join(xs) + ")"
+
+    rx = lambda p: f"regexp_matches({t}, '{p}')"
+    names = lambda ns: any_of(f"contains({t}, '{n}')" for n in ns)
+    points = lambda *cs: " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in cs)
+    z, p = rx(rules.US_ZIP), rx(rules.CA_POSTAL)
+    marks = {c: any_of(map(marker, ms)) for c, ms in rules.COUNTRY_MARKERS.items()}
+    us = points((marks["US"], 3), (z, 1), (f"{names(rules.US_STATES.values())} AND {z}", 3), (f"{among(rules.US_STATES)} AND {z}", 3))
+    ca = points((marks["CA"], 3), (p, 4), (names(rules.CA_PROVINCES.values()), 2), (f"{among(rules.CA_PROVINCES)} AND {p}", 3))
+    mx = points((marks["MX"], 3), (f"({rx(rules.MX_POSTAL)} OR {rx(rules.MX_RFC)})", 4), (names(rules.MX_STATES), 2))
+    return f"({us})::INT AS us, ({ca})::INT AS ca, ({mx})::INT AS mx"
+
+
+_PLACE = "CASE doc_id % 6 WHEN 0 THEN 'Austin, Texas 78701 ' WHEN 1 THEN 'Toronto, Ontario M5V 3L9 CAD ' WHEN 2 THEN 'Monterrey, Nuevo Leon C.P. 64000 RFC ' WHEN 3 THEN 'USD $5 ' WHEN 4 THEN '$12 ' ELSE '' END || text"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_PLACE} AS o FROM documents), e AS (SELECT *, lower(o) AS t FROM d), s AS (SELECT doc_id, o, t, {_country_sql("t")} FROM e),
+c AS (SELECT *, CASE WHEN greatest(us, ca, mx) >= 3 THEN CASE greatest(us, ca, mx) WHEN us THEN 'US' WHEN ca THEN 'CA' ELSE 'MX' END END AS country FROM s)
+SELECT doc_id, us, ca, mx, country, coalesce(CASE WHEN regexp_matches(t, '(^|[^a-z])cad($|[^a-z])') THEN 'CAD' WHEN regexp_matches(t, '(^|[^a-z])mxn($|[^a-z])') THEN 'MXN' WHEN regexp_matches(t, '(^|[^a-z])usd($|[^a-z])') THEN 'USD' END,
+  CASE country WHEN 'US' THEN 'USD' WHEN 'CA' THEN 'CAD' WHEN 'MX' THEN 'MXN' END, CASE WHEN country IS NULL AND contains(o, '$') THEN 'USD' END) AS currency FROM c""")
+def country_currency_score(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.expr(_PLACE).alias("o"))
+    s = rules.country_scores(F.col("o"))
+    x = x.withColumns({k.lower(): v.cast("int") for k, v in s.items()})
+    x = x.withColumn("country", rules.country({k: F.col(k.lower()) for k in s}))
+    return x.select("doc_id", "us", "ca", "mx", "country", rules.currency(F.col("o"), F.col("country")).alias("currency"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, text, lower(text) AS t, regexp_extract_all(text, '[0-9]') AS digits FROM documents)
+SELECT doc_id, contains(t, 'total') OR contains(t, 'tax') AS summary_cue, regexp_matches(t, '@|www[.]|[0-9]{3}[-. ][0-9]{4}') AS contact_cue, regexp_matches(text, '[|]') AS table_cue, len(digits)::INT AS n_digits,
+  length(text) < 200 AND upper(text) = text AS banner FROM w""")
+def row_classifier(spark, d):
+    t = F.col("text")
+    low = F.lower(t)
+    return table(spark, d, "documents").select(
+        "doc_id", tx.contains_any(low, ("total", "tax")).alias("summary_cue"), low.rlike("@|www[.]|[0-9]{3}[-. ][0-9]{4}").alias("contact_cue"), t.rlike("[|]").alias("table_cue"),
+        F.size(F.regexp_extract_all(t, F.lit("[0-9]"), F.lit(0))).alias("n_digits"), ((F.length(t) < 200) & (F.upper(t) == t)).alias("banner"),
+    )
+
+
+@query("SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 12) AS short FROM documents")
+def doc_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 12).alias("short"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events")
+def json_payload_project(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, string_split(replace(text, ', ', ': '), chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM d), f AS (SELECT doc_id, n, l FROM u WHERE regexp_matches(l, ':')),
+k AS (SELECT doc_id, n, trim(regexp_replace(split_part(l, ':', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS key, trim(regexp_replace(substr(l, strpos(l, ':') + 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS value FROM f)
+SELECT doc_id, count(DISTINCT key) AS n_keys, md5(coalesce(string_agg(v, '|' ORDER BY v), '')) AS pairs_md5 FROM (SELECT doc_id, key, arg_min(key || '=' || value, n) AS v FROM k WHERE key <> '' AND value <> '' GROUP BY 1, 2) GROUP BY 1""")
+def native_key_values(spark, d):
+    m = tx.key_values(F.replace("text", F.lit(", "), F.lit(": ")))
+    x = table(spark, d, "documents").select("doc_id", F.map_entries(m).alias("m")).where(F.size("m") > 0)
+    pairs = F.array_sort(F.transform("m", lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return x.select("doc_id", F.size("m").cast("long").alias("n_keys"), F.md5(F.array_join(pairs, "|")).alias("pairs_md5"))
+
+
+# --- similarity -----------------------------------------------------------------------------------------------------
+
+_TOKENS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 9))"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {_TOKENS} AS v FROM documents), u AS (SELECT * FROM t WHERE len(v) > 0)
+SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(list_concat(a.v, b.v))) AS similarity FROM u a JOIN u b ON a.id < b.id
+WHERE len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(list_concat(a.v, b.v))) >= 0.8""")
+def jaccard_pairs(spark, d):
+    v = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 9)
+    return routing.similar_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), v.alias("tokens")), 0.8)
+
+
+@query("""
+WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS x, ('0x' || substr(md5(text), 1, 8))::BIGINT AS a, ('0x' || substr(md5(text), 9, 8))::BIGINT AS b, length(text) % 8 AS page_count FROM documents),
+k AS (SELECT * FROM h WHERE doc_id % 20 = 0),
+p AS (SELECT h.doc_id, k.x AS fingerprint_hash, bit_count(xor(h.a, k.a)) + bit_count(xor(h.b, k.b)) AS n FROM h JOIN k USING (page_count)),
+m AS (SELECT doc_id, n, min(fingerprint_hash) AS fingerprint_hash FROM p GROUP BY 1, 2)
+SELECT doc_id, arg_min(fingerprint_hash, n) AS fingerprint_hash, min(n)::BIGINT AS total_distance FROM m GROUP BY 1""")
+def hamming_nearest(spark, d):
+    h = table(spark, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"), (F.length("text") % 8).alias("page_count"))
+    one = h.select("doc_id", "visual_hash", F.lit(1).alias("page_no"), F.lit(1).alias("one"), F.col("page_count").alias("kind"))
+    known = one.where("doc_id % 20 = 0").select(F.col("visual_hash").alias("fingerprint_hash"), "visual_hash", "page_no", "kind").distinct()
+    near = routing.near_fingerprints(one.withColumn("page_no", F.col("kind")).withColumn("page_count", F.col("one")), known.select("fingerprint_hash", "visual_hash", F.col("kind").alias("page_no"), F.lit(1).alias("page_count")), threshold=64)
+    best = near.groupBy("doc_id").agg(F.min(F.struct("total_distance", "fingerprint_hash")).alias("b"))
+    return best.select("doc_id", "b.fingerprint_hash", "b.total_distance")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name FROM part)
+SELECT a.p_name AS label, b.p_name AS token, levenshtein(a.p_name, b.p_name)::INT AS edits, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity
+FROM p a JOIN p b ON a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 3 WHERE levenshtein(a.p_name, b.p_name) <= 3""")
+def levenshtein_fuzzy_join(spark, d):
+    p = table(spark, d, "part").select("p_name").distinct()
+    near_sizes = F.explode(F.sequence(F.length("p_name") - 3, F.length("p_name") + 3))
+    a = p.select(F.col("p_name").alias("label"), near_sizes.alias("size"))
+    b = p.select(F.col("p_name").alias("token"), F.length("p_name").alias("size"))
+    e = F.levenshtein("label", "token")
+    return a.join(b, "size").where("label < token").where(e <= 3).select("label", "token", e.alias("edits"), F.round(tx.similarity(F.col("label"), F.col("token")), 6).alias("similarity"))
+
+
+@query("""SELECT a.event_id AS left_id, b.event_id AS right_id, round(b.value - a.value, 6) AS delta FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id
+WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND abs(epoch_ms(b.ts) - epoch_ms(a.ts)) <= 3600000 AND abs(round(b.value - a.value, 6)) <= 5""")
+def band_join(spark, d):
+    e = table(spark, d, "events").where("value IS NOT NULL").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    cell = F.floor(F.col("ms") / 3600000)
+    a = e.select(F.col("event_id").alias("left_id"), "user_id", F.col("value").alias("v"), F.col("ms").alias("m"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    b = e.select(F.col("event_id").alias("right_id"), "user_id", "value", "ms", cell.alias("cell"))
+    delta = F.round(F.col("value") - F.col("v"), 6)
+    return a.join(b, ["user_id", "cell"]).where("left_id < right_id").where((F.abs(F.col("ms") - F.col("m")) <= 3600000) & (F.abs(delta) <= 5)).select("left_id", "right_id", delta.alias("delta"))
+
+
+@query("""
+WITH f AS (SELECT c_custkey AS doc_id, unnest(['Amount Due', 'Invoice-Total', 'VAT', 'Date']) AS name, unnest([CASE WHEN c_custkey % 2 = 0 THEN c_acctbal::DECIMAL(12,2)::VARCHAR END, c_acctbal::DECIMAL(12,2)::VARCHAR, '5', '2024-01-05']) AS value,
+  c_custkey % 3 AS k, unnest([0, 1, 2, 3]) AS i FROM customer)
+SELECT doc_id, CASE i WHEN 0 THEN 'total' WHEN 1 THEN 'total' WHEN 2 THEN 'tax' ELSE 'invoiceDate' END AS field, value AS raw FROM f WHERE NOT (i = 0 AND k = 0) AND NOT (i = 1 AND k <> 0)""")
+def alias_resolution(spark, d):
+    c = table(spark, d, "customer")
+    amount = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    named = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("Amount Due", F.when(F.col("c_custkey") % 2 == 0, amount)), ("Invoice-Total", amount), ("VAT", F.lit("5")), ("Date", F.lit("2024-01-05")))])
+    f = c.select(F.col("c_custkey").alias("doc_id"), F.explode(named).alias("x")).select("doc_id", "x.*")
+    f = f.where(~((F.col("name") == "Amount Due") & (F.col("doc_id") % 3 == 0)))
+    return truth.first_alias(f, truth.alias_table(spark))
+
+
+_PROVIDERS = (("Thor Clinic", "thor clinic"), ("Anea House", "anea hereon ouin"), ("Les Soins", "les"), ("Und Partner", "und partner heit"))
+
+
+def _providers_sql() -> str:
+    one = []
+    for k, (n, a) in enumerate(_PROVIDERS):
+        words = [w for w in a.split() if len(w) > 2]
+        hits = " + ".join(f"contains(t, '{w}')::INT" for w in words)
+        one.append(f"SELECT doc_id, {k} AS k, '{n}' AS provider_name, CASE WHEN contains(t, '{a}') THEN 1.0::DOUBLE ELSE ({hits})::DOUBLE / {len(words)} END AS confidence FROM d")
+    return f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS ({' UNION ALL '.join(one)}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, k) AS n FROM s) SELECT doc_id, provider_name, confidence FROM r WHERE n = 1 AND confidence >= 0.75"
+
+
+@query(_providers_sql())
+def provider_match_ratio(spark, d):
+    aliases = spark.createDataFrame([(k, n, a) for k, (n, a) in enumerate(_PROVIDERS)], "provider_no int, provider_name string, alias string")
+    return routing.resolved_providers(table(spark, d, "documents"), aliases)
+
+
+# --- windows, states and changes ------------------------------------------------------------------------------------
+
+
+@query("""SELECT template_family_id, fingerprint_hash, confidence, apply_count FROM (SELECT o_custkey AS template_family_id, o_orderkey AS fingerprint_hash, (o_orderkey * 37 % 101)::DOUBLE / 100 AS confidence, o_orderkey % 7 AS apply_count,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 37 % 101) DESC, o_orderkey % 7 DESC, o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P') WHERE n = 1""")
+def representative_pick(spark, d):
+    f = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("template_family_id"), F.col("o_orderkey").alias("fingerprint_hash"), ((F.col("o_orderkey") * 37 % 101).cast("double") / 100).alias("confidence"), (F.col("o_orderkey") % 7).alias("apply_count"),
+        F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "P", "retired").otherwise("established").alias("status"),
+    )
+    return store.representative(f).select("template_family_id", "fingerprint_hash", "confidence", "apply_count")
+
+
+@query("SELECT user_id, event_id, position FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS position FROM events) WHERE position <= 10")
+def recent_n(spark, d):
+    return history.recent(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id", "position")
+
+
+@query("""SELECT user_id, event_id, window_count, pass_count, pass_count::DOUBLE / window_count AS pass_rate, window_count = 10 AND pass_count::DOUBLE / window_count < 0.85 AS degraded
+FROM (SELECT user_id, event_id, count(*) OVER w AS window_count, (sum((event_type <> 'error')::INT) OVER w)::BIGINT AS pass_count FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""")
+def rolling_degradation(spark, d):
+    e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
+    return history.rolling_degradation(e, "user_id", ["ts", "event_id"], "ok").select("user_id", "event_id", "window_count", "pass_count", "pass_rate", "degraded")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts, (event_id * 37 % 101)::DOUBLE / 100 AS score FROM events), w AS (SELECT user_id, event_id, count(score) OVER o AS apply_count, sum(score::DECIMAL(18,4)) OVER o AS t FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, round((t::DOUBLE / apply_count)::DECIMAL(38,12), 6)::DOUBLE AS confidence FROM w) SELECT user_id, event_id, apply_count, confidence, CASE WHEN apply_count >= 5 AND confidence >= 0.95 THEN 'established' ELSE 'provisional' END AS status FROM c""")
+def running_confidence(spark, d):
+    e = table(spark, d, "events").withColumn("score", (F.col("event_id") * 37 % 101).cast("double") / 100)
+    return history.running_confidence(e, "user_id", ["ts", "event_id"], "score").select("user_id", "event_id", "apply_count", "confidence", "status")
+
+
+@query("""WITH g AS (SELECT user_id, event_id, ts, coalesce((epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 1800000, FALSE)::INT AS new FROM events)
+SELECT user_id, event_id, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS segment FROM g""")
+def segment_gaps(spark, d):
+    e = table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return history.segments(e, ["user_id"], ["ts", "event_id"], "ms", "ms", 1800000).select("user_id", "event_id", "segment")
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, 1 AS length, a AS phrase FROM g UNION ALL SELECT doc_id, 2, a || ' ' || b FROM g UNION ALL SELECT doc_id, 3, a || ' ' || b || ' ' || c FROM g UNION ALL SELECT doc_id, 4, a || ' ' || b || ' ' || c || ' ' || e FROM g)
+SELECT doc_id, length, count(phrase) AS n, count(DISTINCT phrase) AS n_distinct FROM p WHERE phrase IS NOT NULL GROUP BY 1, 2""")
+def ngram_phrases(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    p = history.phrases(x, ["doc_id"], "i", "w")
+    per = p.groupBy("doc_id", "length", "phrase").agg(F.count(F.lit(1)).alias("c"))
+    return per.groupBy("doc_id", "length").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
+def greedy_first_assignment(spark, d):
+    return history.first_assignment(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", "l_extendedprice", ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id % 2 * 1000000000 + event_id) AS event_type, max(event_id % 2 * 1000000000 + event_id) % 1000000000 AS event_id FROM events GROUP BY 1")
+def upsert_latest(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return store.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT c_custkey, c_name, coalesce(n, c_nationkey) AS c_nationkey FROM customer LEFT JOIN (SELECT o_custkey, CASE WHEN count(*) % 2 = 0 THEN count(*)::INT END AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def partial_update_coalesce(spark, d):
+    u = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("int").alias("c_nationkey")).withColumn("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")))
+    return store.patched(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), u, ["c_custkey"], ["c_nationkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+def retire_anti(spark, d):
+    return store.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def restore_semi(spark, d):
+    return store.only(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 3 THEN 7 ELSE o_custkey END AS template_family_id, CASE WHEN o_custkey % 10 = 3 THEN 'retired' ELSE o_orderstatus END AS status FROM orders")
+def relink_and_retire(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("template_family_id"), F.col("o_custkey").alias("was"), F.col("o_orderstatus").alias("status"))
+    moves = o.where("was % 10 = 3").select("was").distinct().withColumn("template_family_id", F.lit(7).cast("long"))
+    gone = store.retired(o, moves.select("was"), "was")
+    return store.relinked(gone, moves, "was").select("o_orderkey", "template_family_id", "status")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS version FROM events WHERE event_type = 'error'")
+def version_ordinals(spark, d):
+    return store.versions(table(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id"), "user_id", ["event_id"])
+
+
+# --- results and reports --------------------------------------------------------------------------------------------
+
+_RESULTS = {
+    "id": "o_orderkey",
+    "invoice_name": "'inv-' || o_orderkey",
+    "processed_at": "o_orderdate",
+    "attempted_route": "CASE WHEN o_orderkey % 3 = 0 THEN 'APPLY' WHEN o_orderkey % 17 = 1 THEN NULL ELSE 'DISCOVERY' END",
+    "validation_score": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey * 37 % 101 AS DOUBLE) / 100 END",
+    "validation_passed": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey * 37 % 101 >= 50 END",
+    "route": "CASE WHEN o_orderkey % 97 = 0 THEN 'ERROR' WHEN o_orderkey % 11 <> 0 AND o_orderkey * 37 % 101 < 50 THEN 'REJECTED' WHEN o_orderkey % 3 = 0 THEN 'APPLY' ELSE 'DISCOVERY' END",
+    "status": "o_orderstatus",
+    "error": "CASE WHEN o_orderkey % 97 = 0 THEN 'runtime error: page' END",
+    "template_family_id": "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'family-' || (o_custkey % 200) END",
+    "stage_status": "CASE o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'accepted' END",
+    "reconciliation_failure": "o_orderkey % 5 = 0",
+    "policy_failure": "o_orderkey % 13 = 0",
+    "family_match_outcome": "CASE WHEN o_orderkey % 2 = 0 THEN 'matched' ELSE 'none' END",
+    "elapsed_ms": "o_orderkey % 5000",
+    "peak_rss_mb": "CAST(o_orderkey % 700 AS DOUBLE) / 2",
+    "quality_score": "CAST(o_orderkey % 1000 AS DOUBLE) / 1000",
+    "healing_reprocessed": "o_orderkey % 23 = 0",
+    "joined_errors": """CASE o_orderkey % 8 WHEN 0 THEN 'Missing extracted field: invoiceNumber' WHEN 1 THEN 'Mismatch on customerName: expected ''a'', got ''b''|Total mismatch: expected subtotal+tax 1.00, got 2.00'
+      WHEN 2 THEN 'Line item count mismatch: expected 4, got 9' WHEN 3 THEN 'Subtotal mismatch: expected line sum 3.00, got 4.00|Missing extracted field: vendor' WHEN 4 THEN 'Currency mismatch for country US: expected USD, got CAD'
+      WHEN 5 THEN 'Line item arithmetic mismatch at row 2: expected 1.00, got 2.00' WHEN 6 THEN 'Mismatch on dueDate: expected ''a'', got ''b''' END""",
+}
+_R = "r AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _RESULTS.items()) + " FROM orders)"
+_E = _R + ", x AS (SELECT r.*, CASE WHEN joined_errors IS NULL THEN NULL ELSE string_split(joined_errors, '|') END AS validation_errors FROM r)"
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as processing results."""
+    r = table(spark, d, "orders").selectExpr(*[f"{x} AS {n}" for n, x in _RESULTS.items()])
+    return r.withColumn("validation_errors", F.split("joined_errors", "[|]"))
+
+
+@query(f"""WITH {_R} SELECT count(*) AS total_invoices, count(*) FILTER (error IS NULL AND attempted_route = 'DISCOVERY' AND validation_passed) AS discovery_passed, count(*) FILTER (error IS NULL AND attempted_route = 'DISCOVERY' AND NOT validation_passed) AS discovery_rejected,
+  count(*) FILTER (error IS NULL AND attempted_route = 'APPLY' AND NOT validation_passed) AS apply_rejected, count(error) AS runtime_errors, count(*) FILTER (error IS NOT NULL AND attempted_route = 'APPLY') AS apply_runtime_errors,
+  count(*) FILTER (error IS NOT NULL AND attempted_route = 'DISCOVERY') AS discovery_runtime_errors, min(elapsed_ms) AS latency_min, (sum(elapsed_ms) // count(elapsed_ms))::BIGINT AS latency_avg, max(elapsed_ms) AS latency_max,
+  round((sum(peak_rss_mb::DECIMAL(24,6)) / count(peak_rss_mb))::DOUBLE, 3) AS rss_avg, min(quality_score) AS quality_min, round((sum(quality_score::DECIMAL(24,6)) / count(quality_score))::DOUBLE, 6) AS quality_avg, max(quality_score) AS quality_max,
+  round(count(template_family_id)::DOUBLE / count(*), 4) AS family_match_rate, round((count(*) FILTER (route = 'APPLY'))::DOUBLE / count(*), 4) AS apply_rate,
+  round((count(*) FILTER (error IS NULL AND attempted_route = 'APPLY' AND NOT validation_passed))::DOUBLE / count(*) FILTER (attempted_route = 'APPLY'), 4) AS false_apply_rate FROM r""")
+def run_summary(spark, d):
+    return reports.run_summary(results(spark, d))
+
+
+@query(f"WITH {_R}, u AS (SELECT 'route' AS metric, route AS value FROM r UNION ALL SELECT 'status', status FROM r UNION ALL SELECT 'attempted_route', attempted_route FROM r UNION ALL SELECT 'stage_status', stage_status FROM r) SELECT metric, value, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY 1, 2")
+def run_histograms(spark, d):
+    return reports.counts_by(results(spark, d), "route", "status", "attempted_route", "stage_status")
+
+
+@query(f"WITH {_R} SELECT template_family_id, count(*) AS invoices, count(*) FILTER (validation_passed) AS passed, count(*) FILTER (NOT validation_passed) AS failed, count(*) FILTER (validation_passed) > 0 AS solved, count(*) FILTER (NOT validation_passed) > 0 AS in_review FROM r WHERE template_family_id IS NOT NULL GROUP BY 1")
+def solved_families(spark, d):
+    return reports.solved_families(results(spark, d))
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN starts_with({{e}}, '{p}') THEN '{c}'" for p, c in rules.ERROR_PREFIXES.items()) + " ELSE 'other' END"
+
+
+@query(f"""WITH {_E}, f AS (SELECT coalesce(attempted_route, 'UNKNOWN') AS attempted_route, stage_status, validation_score AS s, coalesce(validation_errors, []) AS es FROM x WHERE NOT validation_passed), g AS (SELECT * FROM f WHERE attempted_route = 'DISCOVERY'),
+u AS (SELECT 'attempted_route' AS metric, attempted_route AS value FROM f UNION ALL SELECT 'stage_status', stage_status FROM g
+  UNION ALL SELECT 'score_band', CASE WHEN s IS NULL THEN 'unknown' WHEN s < 0.5 THEN '<0.5' WHEN s < 0.8 THEN '0.5-0.8' WHEN s < 0.95 THEN '0.8-0.95' ELSE '>=0.95' END FROM g
+  UNION ALL SELECT 'scalar_counts', 'missing=' || len(list_filter(es, lambda e: starts_with(e, 'Missing extracted field:'))) || ', mismatch=' || len(list_filter(es, lambda e: starts_with(e, 'Mismatch on '))) FROM g
+  UNION ALL SELECT 'error_category', {_CATEGORY.format(e="e")} FROM (SELECT unnest(es) AS e FROM g) UNION ALL SELECT 'error_category', 'unknown' FROM g WHERE len(es) = 0)
+SELECT metric, value, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY 1, 2""")
+def failure_modes(spark, d):
+    return reports.failure_modes(results(spark, d))
+
+
+@query(f"""WITH {_R}, g AS (SELECT template_family_id, count(*) AS invoice_count, count(*) FILTER (validation_passed) AS accepted_count, count(*) FILTER (NOT validation_passed OR (validation_passed IS NULL AND route = 'REJECTED')) AS review_count,
+  count(*) FILTER (attempted_route = 'APPLY') AS apply_route_count, count(*) FILTER (attempted_route = 'APPLY' AND validation_passed) AS apply_success_count, count(*) FILTER (family_match_outcome = 'matched') AS family_match_count,
+  count(*) FILTER (reconciliation_failure) AS reconciliation_failure_count, count(*) FILTER (policy_failure) AS validator_policy_failure_count, round((sum(validation_score::DECIMAL(24,6)) / count(validation_score))::DOUBLE, 4) AS avg_validation_score
+  FROM r WHERE template_family_id IS NOT NULL GROUP BY 1)
+SELECT *, round(accepted_count::DOUBLE / invoice_count, 4) AS pass_rate, CASE WHEN apply_route_count > 0 THEN round(apply_success_count::DOUBLE / apply_route_count, 4) ELSE 0.0::DOUBLE END AS apply_reuse_rate, round(family_match_count::DOUBLE / invoice_count, 4) AS family_match_rate,
+  round(invoice_count::DOUBLE * (1.0::DOUBLE - accepted_count::DOUBLE / invoice_count) * 1.4::DOUBLE + apply_route_count::DOUBLE * 0.35::DOUBLE + reconciliation_failure_count::DOUBLE * 0.25::DOUBLE + validator_policy_failure_count::DOUBLE * 0.15::DOUBLE, 3) AS impact_score, review_count AS unresolved_count FROM g""")
+def family_rankings(spark, d):
+    return reports.family_rankings(results(spark, d))
+
+
+@query(f"""WITH {_R}, f AS (SELECT template_family_id, invoice_name, min(id) AS id FROM r WHERE template_family_id IS NOT NULL GROUP BY 1, 2) SELECT template_family_id, invoice_name, position FROM (SELECT *, row_number() OVER (PARTITION BY template_family_id ORDER BY id)::INT AS position FROM f) WHERE position <= 3""")
+def family_examples(spark, d):
+    return reports.example_invoices(results(spark, d))
+
+
+_BUCKET_OF = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({{f}}, '{w}')" for w in ws) + f" THEN '{b}'" for b, ws in rules.FIELD_HINTS.items()) + " ELSE 'scalar_reconciliation' END"
+_PLAIN = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+_ISSUES = f"""{_E}, f AS (SELECT invoice_name, route, status, validation_score, CASE WHEN len(coalesce(validation_errors, [])) > 0 THEN validation_errors ELSE [CASE WHEN route = 'ERROR' THEN 'runtime error' ELSE 'validation failure' END] END AS es FROM x WHERE NOT coalesce(validation_passed, FALSE)),
+i0 AS (SELECT invoice_name, route, status, validation_score, unnest(es) AS e FROM f), i1 AS (SELECT *, {_PLAIN.format(x="e")} AS p, {_PLAIN.format(x="regexp_extract(e, '^Missing extracted field: *(.+)$', 1)")} AS mf, {_PLAIN.format(x="regexp_extract(e, '^Mismatch on +(.+?):', 1)")} AS xf FROM i0),
+i2 AS (SELECT *, CASE WHEN starts_with(p, 'runtime error') OR contains(p, 'exception') THEN 'runtime_error' WHEN contains(p, 'line item count mismatch') THEN 'line_item_count_mismatch' WHEN contains(p, 'line item arithmetic mismatch') THEN 'line_item_arithmetic_mismatch'
+  WHEN contains(p, 'subtotal mismatch') THEN 'subtotal_mismatch' WHEN contains(p, 'total mismatch') THEN 'total_mismatch' WHEN contains(p, 'currency mismatch') THEN 'currency_mismatch' WHEN mf <> '' THEN 'missing_field' WHEN xf <> '' THEN 'field_mismatch'
+  WHEN route = 'ERROR' THEN 'routed' ELSE 'other' END AS c0 FROM i1),
+i3 AS (SELECT *, CASE c0 WHEN 'runtime_error' THEN 'runtime_error' WHEN 'line_item_count_mismatch' THEN 'line_item_detection' WHEN 'line_item_arithmetic_mismatch' THEN 'line_item_detection' WHEN 'subtotal_mismatch' THEN 'summary_amount_resolution'
+  WHEN 'total_mismatch' THEN 'summary_amount_resolution' WHEN 'missing_field' THEN {_BUCKET_OF.format(f="mf")} WHEN 'field_mismatch' THEN {_BUCKET_OF.format(f="xf")} WHEN 'routed' THEN 'routing_preprocessing' ELSE 'scalar_reconciliation' END AS bucket,
+  CASE c0 WHEN 'routed' THEN 'runtime_error' ELSE c0 END AS category FROM i2),
+i AS (SELECT invoice_name, bucket, category, e AS detail, round((CASE bucket {" ".join(f"WHEN '{b}' THEN {w}::DOUBLE" for b, w in rules.BUCKET_WEIGHTS.items())} END)
+  * (CASE category {" ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in rules.CATEGORY_FACTORS.items())} ELSE 1.0::DOUBLE END) * (CASE WHEN validation_score < 0.5 THEN 1.10::DOUBLE WHEN validation_score < 0.8 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END), 4) AS weight FROM i3)"""
+_LEDGER = """{p}c AS (SELECT bucket, category, count(*) AS n, sum(weight::DECIMAL(18,4)) AS w FROM {src} GROUP BY 1, 2),
+{p}l AS (SELECT c.bucket, sum(n)::BIGINT AS issue_count, sum(w)::DOUBLE AS weighted_issue_count, string_agg(category || '=' || n, ',' ORDER BY category || '=' || n) AS categories, any_value(m.invoices) AS invoices FROM {p}c c JOIN (SELECT bucket, count(DISTINCT invoice_name) AS invoices FROM {src} GROUP BY 1) m ON m.bucket = c.bucket GROUP BY 1)"""
+
+
+@query(f"WITH {_ISSUES} SELECT invoice_name, bucket, category, detail, weight FROM i")
+def issue_list(spark, d):
+    return ledger.issues(results(spark, d)).select("invoice_name", "bucket", "category", "detail", "weight")
+
+
+@query(f"WITH {_ISSUES}, {_LEDGER.format(p='', src='i')} SELECT bucket, issue_count, weighted_issue_count, categories, invoices FROM l")
+def issue_ledger(spark, d):
+    return ledger.ledger(ledger.issues(results(spark, d)))
+
+
+def _two_ledgers(spark, d):
+    # The same issues in both, but for every tenth order: what one run has of them the other lacks.
+    items = ledger.issues(results(spark, d))
+    mod = F.regexp_extract("invoice_name", "([0-9]+)$", 1).cast("long") % 10
+    return ledger.ledger(items.where((mod != 0) | (F.col("bucket") != "runtime_error"))), ledger.ledger(items.where(mod >= 4))
+
+
+_MOD = "regexp_extract(invoice_name, '([0-9]+)$', 1)::BIGINT % 10"
+_TWO = f"{_ISSUES}, ia AS (SELECT * FROM i WHERE {_MOD} <> 0 OR bucket <> 'runtime_error'), ib AS (SELECT * FROM i WHERE {_MOD} >= 4), {_LEDGER.format(p='a', src='ia')}, {_LEDGER.format(p='b', src='ib')}"
+
+
+@query(f"""WITH {_TWO}, j AS (SELECT coalesce(al.bucket, bl.bucket) AS bucket, coalesce(al.issue_count, 0) AS baseline_count, coalesce(al.weighted_issue_count, 0) AS baseline_weight, coalesce(bl.issue_count, 0) AS candidate_count, coalesce(bl.weighted_issue_count, 0) AS candidate_weight
+  FROM al FULL OUTER JOIN bl ON al.bucket = bl.bucket) SELECT *, candidate_count - baseline_count AS count_delta, round(candidate_weight - baseline_weight, 4) AS weight_delta FROM j""")
+def bucket_compare_full_outer(spark, d):
+    return ledger.bucket_comparison(*_two_ledgers(spark, d))
+
+
+@query(f"""WITH {_TWO}, t AS (SELECT (SELECT sum(weighted_issue_count::DECIMAL(18,4))::DOUBLE FROM al) AS b, (SELECT sum(weighted_issue_count::DECIMAL(18,4))::DOUBLE FROM bl) AS c)
+SELECT b AS baseline_weight, c AS candidate_weight, round((b - c) / b, 4) AS reduction, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (b - c) / b / 0.75::DOUBLE)), 4) AS progress, round(greatest(0.0::DOUBLE, c - b * 0.25::DOUBLE), 4) AS remaining_weight, (b - c) / b >= 0.75::DOUBLE AS target_met FROM t""")
+def benchmark_progress(spark, d):
+    return ledger.benchmark_progress(*_two_ledgers(spark, d))
+
+
+@query(f"""WITH {_R}, a AS (SELECT o_orderkey // 2 AS k, * FROM (SELECT id AS o_orderkey, * FROM r) WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey // 2 AS k, * FROM (SELECT id AS o_orderkey, * FROM r) WHERE o_orderkey % 2 = 1),
+j AS (SELECT 'inv-' || a.k AS invoice_name, a.validation_passed AS old_validation_passed, a.validation_score AS old_validation_score, a.route AS old_route, b.validation_passed AS new_validation_passed, b.validation_score AS new_validation_score, b.route AS new_route,
+  round(b.validation_score - a.validation_score, 4) AS score_delta FROM a JOIN b ON a.k = b.k)
+SELECT *, CASE WHEN NOT coalesce(old_validation_passed, FALSE) AND coalesce(new_validation_passed, FALSE) THEN 'fixed' WHEN coalesce(old_validation_passed, FALSE) AND NOT coalesce(new_validation_passed, FALSE) THEN 'broken'
+  WHEN score_delta > 0 THEN 'improved' WHEN score_delta < 0 THEN 'declined' WHEN old_route IS DISTINCT FROM new_route THEN 'rerouted' ELSE 'unchanged' END AS change FROM j""")
+def run_diff(spark, d):
+    r = results(spark, d).withColumn("invoice_name", F.concat(F.lit("inv-"), F.expr("id div 2")))
+    return ledger.run_diff(r.where("id % 2 = 0"), r.where("id % 2 = 1"))
+
+
+@query(f"""WITH {_R}, s AS (SELECT p_brand AS template_family_id, count(*) FILTER (l_returnflag <> 'R') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linenumber > 3) AS b, count(DISTINCT p_type) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+u AS (SELECT template_family_id, CASE WHEN o % 2 = 0 THEN 'established' ELSE 'degraded' END AS status, a AS apply_count, b AS reject_count, o AS field_override_count FROM s),
+n AS (SELECT *, apply_count + reject_count AS n, apply_count::DOUBLE / (apply_count + reject_count) AS p, reject_count::DOUBLE / (apply_count + reject_count) AS q FROM u),
+t AS (SELECT *, CASE WHEN n >= 8 AND p >= 0.8 AND q <= 0.2 AND status = 'established' THEN 'stable' WHEN n >= 250 AND p < 0.35 AND q >= 0.65 THEN 'over_broad_candidate' WHEN n >= 40 AND reject_count >= 15 AND p < 0.5 THEN 'high_value_unstable'
+  WHEN n >= 15 AND reject_count >= greatest(8, apply_count * 2) AND p < 0.4 THEN 'degraded_reuse' WHEN n <= 10 AND (reject_count > 0 OR status IN ('degraded', 'provisional')) AND (status = 'degraded' OR field_override_count >= 3 OR reject_count >= apply_count) THEN 'suspiciously_tiny' ELSE 'low_value_tail' END AS triage_class FROM n)
+SELECT template_family_id, status, apply_count, reject_count, triage_class, CASE triage_class WHEN 'over_broad_candidate' THEN 0 WHEN 'high_value_unstable' THEN 1 WHEN 'degraded_reuse' THEN 2 WHEN 'suspiciously_tiny' THEN 3 WHEN 'low_value_tail' THEN 4 ELSE 5 END AS triage_rank,
+  n AS invoice_count, round(p, 4) AS pass_rate, round(q, 4) AS reject_pressure, round(reject_count * 2.0::DOUBLE + n + field_override_count * 0.5::DOUBLE, 2) AS impact_score FROM t""")
+def family_triage(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    s = j.groupBy(F.col("p_brand").alias("template_family_id")).agg(F.count_if(F.col("l_returnflag") != "R").alias("apply_count"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 3)).alias("reject_count"), F.count_distinct("p_type").alias("field_override_count"))
+    return reports.family_triage(s.withColumn("status", F.when(F.col("field_override_count") % 2 == 0, "established").otherwise("degraded")))
+
+
+@query("""WITH s AS (SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R') AS a, count(*) FILTER (l_returnflag = 'R') AS r, (l_suppkey % 100)::DOUBLE / 100 AS c, CASE l_suppkey % 3 WHEN 0 THEN 'established' WHEN 1 THEN 'provisional' ELSE 'degraded' END AS st FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey AS template_family_id, round(greatest(0.6::DOUBLE, least(1.0::DOUBLE, CASE WHEN a = 0 AND r = 0 AND st <> 'degraded' THEN 1.0::DOUBLE ELSE (CASE st WHEN 'established' THEN 1.0::DOUBLE WHEN 'provisional' THEN 0.94::DOUBLE ELSE 0.78::DOUBLE END) * (0.94::DOUBLE + least(a, 20) * 0.003::DOUBLE) * (0.9::DOUBLE + c * 0.1::DOUBLE) * (1.0::DOUBLE - least(r::DOUBLE / greatest(a + r, 1) * 0.28::DOUBLE, 0.22::DOUBLE)) END)), 6) AS health FROM s""")
+def family_health_score(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("template_family_id")).agg(F.count_if(F.col("l_returnflag") != "R").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    k = F.col("template_family_id")
+    status = F.when(k % 3 == 0, "established").when(k % 3 == 1, "provisional").otherwise("degraded")
+    return s.select("template_family_id", F.round(rules.reuse_multiplier(status, F.col("a"), F.col("r"), (k % 100).cast("double") / 100), 6).alias("health"))
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_shipdate, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_shipdate) AS k, sum(n) OVER (PARTITION BY l_suppkey) AS t FROM c)
+SELECT l_suppkey, l_shipdate AS mode, n AS mode_count, t::BIGINT AS members, round(n::DOUBLE / t, 4) AS share FROM r WHERE k = 1""")
+def mode_share(spark, d):
+    return reports.mode_share(table(spark, d, "lineitem").select("l_suppkey", "l_shipdate"), "l_suppkey", "l_shipdate")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_partkey, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey)::INT AS rank FROM c) WHERE rank <= 8""")
+def most_common_values(spark, d):
+    return reports.most_common(table(spark, d, "lineitem"), ["l_suppkey"], "l_partkey", 8)
+
+
+@query(f"""WITH {_R}, f AS (SELECT o_custkey AS fam, count(*) FILTER (o_orderstatus = 'F') AS fa, count(*) FILTER (o_orderstatus = 'P') AS fr, (sum(((o_orderkey % 100)::DOUBLE / 100 * 1)::DECIMAL(24,6)) / count(*))::DOUBLE AS fc FROM orders GROUP BY 1),
+q AS (SELECT o_custkey AS fam, count(*) FILTER (validation_passed) AS ra, count(*) FILTER (NOT validation_passed OR (validation_passed IS NULL AND route = 'REJECTED')) AS rr, (sum(validation_score::DECIMAL(24,6)) / count(validation_score))::DOUBLE AS rs
+  FROM (SELECT r.*, o.o_custkey FROM r JOIN orders o ON o.o_orderkey = r.id WHERE r.id % 4 = 0) GROUP BY 1),
+j AS (SELECT f.fam, greatest(coalesce(ra, 0), fa) AS a, greatest(coalesce(rr, 0), fr) AS b, coalesce(rs, fc) AS c FROM f LEFT JOIN q ON q.fam = f.fam)
+SELECT fam AS template_family_id, a AS apply_count, b AS reject_count, CASE WHEN b > a AND b > 0 THEN 'degraded' WHEN a >= 5 AND c >= 0.95 THEN 'established' WHEN b >= 3 AND c < 0.85 THEN 'degraded' ELSE 'provisional' END AS status, round(c::DECIMAL(38,12), 4)::DOUBLE AS confidence FROM j""")
+def weighted_confidence_rollup(spark, d):
+    o = table(spark, d, "orders")
+    f = o.select(F.col("o_custkey").alias("template_family_id"), (F.col("o_orderstatus") == "F").cast("int").alias("apply_count"), (F.col("o_orderstatus") == "P").cast("int").alias("reject_count"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"))
+    r = results(spark, d).where("id % 4 = 0").drop("template_family_id").join(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
+    return reports.family_rollup(f, r)
+
+
+@query(f"""WITH {_R} SELECT count(*) FILTER (healing_reprocessed) AS attempts, count(*) FILTER (healing_reprocessed AND validation_passed) AS recoveries FROM r""")
+def healing_summary(spark, d):
+    return reports.healing_summary(results(spark, d))
+
+
+@query(f"""WITH {_R}, s AS (SELECT *, CASE WHEN coalesce(validation_score, 0) = 0 THEN 1.0::DOUBLE ELSE validation_score END AS k FROM r WHERE NOT coalesce(validation_passed, FALSE))
+SELECT invoice_name, route, validation_score FROM s ORDER BY error IS NULL, validation_score IS NOT NULL, k, invoice_name LIMIT 8""")
+def attention_queue(spark, d):
+    return reports.attention(results(spark, d)).select("invoice_name", "route", "validation_score")
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels), j AS (SELECT d.doc_id, a.doc_id IS NOT NULL AS l, b.doc_id IS NOT NULL AS s, a.lang = (CASE b.quality WHEN 1 THEN 'en' ELSE 'fr' END) AS same FROM d LEFT JOIN documents a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id)
+SELECT doc_id AS stem, CASE WHEN NOT s THEN 'missing_source' WHEN NOT l THEN 'missing_local' WHEN same THEN 'match' ELSE 'mismatch' END AS status FROM j""")
+def gt_sync_audit(spark, d):
+    local = table(spark, d, "documents").select(F.col("doc_id").alias("stem"), F.col("lang").alias("content"))
+    source = table(spark, d, "labels").select(F.col("doc_id").alias("stem"), F.when(F.col("quality") == 1, "en").otherwise("fr").alias("content"))
+    return truth.sync_audit(local.select("stem").unionByName(source.select("stem")), local, source)
+
+
+_GT = {"total": "o_totalprice::DECIMAL(12,2)::VARCHAR", "invoiceDate": "strftime(o_orderdate, '%Y-%m-%d')", "customerName": "'Customer#' || o_custkey", "quantity": "(o_orderkey % 9)::VARCHAR", "notes": "o_orderpriority || ' ' || o_orderstatus"}
+
+
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, o_totalprice::DECIMAL(12,2) AS total, strftime(o_orderdate, '%Y-%m-%d') AS dt, o_custkey AS c, o_orderkey % 9 AS q FROM orders),
+u AS (SELECT doc_id, doc_id % 5 <> 4 AS has_total, doc_id % 7 <> 0 AS total_ok, doc_id % 6 <> 0 AS date_ok, doc_id % 3 <> 0 AS qty_ok, 1 - levenshtein('customer#' || c, 'customer#' || c || repeat('x', (doc_id % 4)::INT))::DOUBLE / length('customer#' || c || repeat('x', (doc_id % 4)::INT)) >= 0.85 AS name_ok FROM t),
+m AS (SELECT doc_id, (has_total AND total_ok)::INT + date_ok::INT + qty_ok::INT + name_ok::INT AS matched FROM u)
+SELECT doc_id, matched::BIGINT AS matched, (4 - matched)::BIGINT AS mismatched, matched::DOUBLE / 4 AS score, matched = 4 AS passed FROM m""")
+def validation_score(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    total, day = F.col("o_totalprice").cast("decimal(12,2)"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    name = F.concat(F.lit("Customer#"), "o_custkey")
+    pair = lambda f, t, v: F.struct(F.lit(f).alias("field"), t.alias("t"), v.alias("v"))
+    each = o.select(k.alias("doc_id"), F.explode(F.array(
+        pair("total", total.cast("string"), F.when(k % 5 != 4, F.when(k % 7 == 0, (total + 1).cast("string")).otherwise(F.concat(F.lit("$"), F.format_number(total, 2))))),
+        pair("invoiceDate", day, F.when(k % 6 == 0, F.lit("not a date")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))),
+        pair("quantity", (k % 9).cast("string"), F.when(k % 3 == 0, (k % 9 + 1).cast("string")).otherwise(F.concat((k % 9).cast("string"), F.lit(" x")))),
+        pair("customerName", name, F.concat(F.lit(" "), F.upper(name), F.repeat(F.lit("x"), (k % 4).cast("int")))),
+    )).alias("x")).select("doc_id", "x.*")
+    docs = o.select(k.alias("doc_id"), F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("currency_code"), F.lit(0).alias("truth_lines"), F.lit(0).alias("found_lines"))
+    v = validate.validated(each.select("doc_id", "field", F.col("v").alias("value")), each.select("doc_id", "field", F.col("t").alias("value")), docs)
+    return v.select("doc_id", "matched", "mismatched", "score", "passed")
+
+
+@query("""WITH s AS (SELECT s_suppkey, count(l_suppkey) FILTER (l_returnflag <> 'R' AND l_linenumber = 1) AS a, count(l_suppkey) FILTER (l_returnflag = 'R') AS r, bool_or(l_linenumber = 7 AND l_quantity > 49) AS live FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT s_suppkey AS template_family_id, CASE WHEN NOT coalesce(live, FALSE) THEN 'orphaned' WHEN r >= 5 AND r >= a * 2 THEN 'repeated_rejection' END AS reason FROM s WHERE NOT coalesce(live, FALSE) OR (r >= 5 AND r >= a * 2)""")
+def retirement_candidates(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    s = table(spark, d, "supplier").join(l.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_if((F.col("l_returnflag") != "R") & (F.col("l_linenumber") == 1)).alias("apply_count"), F.count_if(F.col("l_returnflag") == "R").alias("reject_count")), "s_suppkey", "left").na.fill(0, ["apply_count", "reject_count"])
+    live = l.where("l_linenumber = 7 AND l_quantity > 49").select(F.col("l_suppkey").alias("template_family_id"), F.lit("established").alias("status"))
+    return lifecycle.retirements(s.select(F.col("s_suppkey").alias("template_family_id"), "apply_count", "reject_count", F.lit("established").alias("status")), live)
+
+
+@query(f"""WITH {_R}, w AS (SELECT template_family_id, id, row_number() OVER (PARTITION BY template_family_id ORDER BY processed_at DESC, id DESC) AS n FROM r WHERE template_family_id IS NOT NULL),
+p AS (SELECT template_family_id, count(*) FILTER (id % 4 = 0 OR id % 6 = 0) AS a, count(*) FILTER (id % 5 = 0) AS b, count(*) FILTER (id % 9 = 0) AS c FROM w WHERE n <= 10 GROUP BY 1),
+u AS (SELECT template_family_id, 'table_detection' AS kind, a AS support FROM p UNION ALL SELECT template_family_id, 'date_order', b FROM p UNION ALL SELECT template_family_id, 'party_labels', c FROM p) SELECT * FROM u WHERE support >= 2""")
+def suggestion_support(spark, d):
+    r = results(spark, d).withColumns({"line_source": F.when(F.col("id") % 4 == 0, "row_fallback").otherwise("table"), "table_found": F.col("id") % 6 != 0, "date_ambiguous": F.col("id") % 5 == 0, "party_suspicious": F.col("id") % 9 == 0})
+    return lifecycle.profile_suggestions(r)
+
+
+@query("""WITH t AS (SELECT doc_id, source, list_filter(string_split(lower(text), ' '), lambda w: list_contains(['the', 'of', 'and', 'tion', 'ing', 'des', 'que', 'der', 'und', 'los'], w)) AS w FROM documents), u AS (SELECT DISTINCT source, unnest(w) AS v FROM t)
+SELECT source AS "group", 'words' AS key, string_agg(v, ',' ORDER BY v) AS "values" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v) AS n FROM u) WHERE n <= 4 GROUP BY 1""")
+def anchor_keyword_sets(spark, d):
+    w = F.filter(F.split(F.lower("text"), " "), lambda x: x.isin(*TERMS))
+    hits = table(spark, d, "documents").select(F.col("source").alias("group"), F.create_map(F.lit("words"), F.array_distinct(w)).alias("keyword_hits"))
+    return reports.keyword_union(hits, 4).select("group", "key", F.array_join("values", ",").alias("values"))
+
+
+@query("SELECT l_orderkey AS page, median(l_quantity) AS median_height FROM lineitem GROUP BY 1")
+def median_token_height(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.median("l_quantity").alias("median_height"))
+
+
+@query("""SELECT source AS folder, count(*) AS files, sum(len(string_split(text, chr(10))) - ends_with(text, chr(10))::INT)::BIGINT AS lines, sum(length(text))::BIGINT AS chars, sum(length(text) // 4)::BIGINT AS tokens FROM documents GROUP BY 1""")
+def workspace_report(spark, d):
+    return reports.workspace_report(table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text"))[0]
+
+
+@query("""SELECT doc_id::VARCHAR AS path, length(text)::BIGINT AS chars FROM documents ORDER BY length(text) DESC, doc_id::VARCHAR LIMIT 25""")
+def largest_files(spark, d):
+    return reports.workspace_report(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))[1].select("path", "chars")
+
+
+_ROUTE = "CASE WHEN m = 'provisional' AND g THEN 'DISCOVERY' WHEN m IS NULL AND f IS NOT NULL AND s >= 0.75 THEN CASE WHEN f = 'provisional' AND g THEN 'DISCOVERY' WHEN f = 'degraded' AND g THEN 'DISCOVERY' ELSE 'APPLY' END WHEN m = 'degraded' AND g THEN 'DISCOVERY' WHEN m IS NOT NULL THEN 'APPLY' WHEN n AND NOT g THEN 'APPLY' WHEN g THEN 'DISCOVERY' ELSE 'FAIL' END"
+_ROUTE_INPUT = {
+    "m": "CASE o_orderkey % 5 WHEN 0 THEN 'provisional' WHEN 1 THEN 'established' WHEN 2 THEN 'degraded' END",
+    "f": "CASE o_orderkey % 7 WHEN 0 THEN 'provisional' WHEN 1 THEN 'established' WHEN 2 THEN 'degraded' END",
+    "s": "CAST(o_orderkey % 100 AS DOUBLE) / 100",
+    "n": "o_orderkey % 3 = 0",
+    "g": "o_orderkey % 2 = 0",
+}
+
+
+@query(f"WITH a AS (SELECT o_orderkey, {', '.join(f'{x} AS {k}' for k, x in _ROUTE_INPUT.items())} FROM orders) SELECT o_orderkey, {_ROUTE} AS route FROM a")
+def route_decision(spark, d):
+    a = table(spark, d, "orders").selectExpr("o_orderkey", *[f"{x} AS {k}" for k, x in _ROUTE_INPUT.items()])
+    return a.select("o_orderkey", rules.route(F.col("m"), F.col("f"), F.col("s"), 0.75, F.col("n"), F.col("g")).alias("route"))
+
+
+# --- beyond SQL -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def lifecycle_fold(spark, d):
+    e = table(spark, d, "events").where("user_id IS NOT NULL")
+    events = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "reject").otherwise("apply").alias("event"), ((F.col("event_id") * 37 % 20).cast("double") / 100 + 0.8).alias("score"), (F.col("event_id") % 2 == 0).alias("checked"))
+    return lifecycle.latest_states(lifecycle.folded(events, family=True))
