@@ -41,13 +41,14 @@ class Lengths(Generations):
         self.frequent = dict(self)
 
     def __missing__(self, chunk: str) -> int:
-        n = self.find(chunk)
+        n = self.old.get(chunk)
         if n is None:
             n = len(self.chunks.encoded(chunk)) // self.chunks.width.itemsize
         if len(chunk) <= MAX_KEY:
-            self.keep(chunk, n)
-            if len(self) == 1:  # a new generation
+            if len(self) >= self.size:
+                self.turn()
                 self.update(self.frequent)
+            self[chunk] = n
         return n
 
 

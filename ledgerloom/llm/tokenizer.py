@@ -23,8 +23,8 @@ CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 """Longer chunks are encoded each time, so a worker's cache stays within a bound of bytes."""
 
-_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-_PROBES = ["the", "The", "THE,", "été.", "ÉTÉ", "Straße,", "zß", "a", "I.", "nonconformidades", "ñandú", "øre", "þing.", "ÿ,"]
+_PLAIN = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)").fullmatch
+_PROBES = ["the", "The", "THE,", "été.", "ÉTÉ", "Straße,", "zß", "a", "I.", "nonconformidades", "ñandú", "øre", "þing.", "ÿ,", "und&&&", "a_b", "x_", "the...", "of***."]
 
 _chunkers: dict[str, Chunks] = {}
 
@@ -44,14 +44,10 @@ class Generations(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def find(self, key):
-        return self.old.get(key)
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def turn(self) -> None:
+        """Make what is held the old generation."""
+        self.old = dict(self)
+        self.clear()
 
 
 class Chunks(Generations):
@@ -71,8 +67,8 @@ class Chunks(Generations):
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = next(c for c in "HIL" if array(c).itemsize == self.width.itemsize)
-        self.marks = {m: self.by_library(m) for m in ".,"}
-        probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES)]
+        self.marks: dict[str, bytes] = {}
+        probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES), *(f"\n{x}" for x in _PROBES)]
         self.plain = True
         self.plain = sys.byteorder == "little" and all(self.encoded(x) == self.by_library(x) for x in probes)
 
@@ -88,25 +84,37 @@ class Chunks(Generations):
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def encoded(self, chunk: str) -> bytes:
-        """A chunk's ids. A word of Latin letters, with a full stop or comma at most, goes to the library's model at once: there is nothing to normalize or split."""
+        """A chunk's ids. A word of Latin letters, with marks after it at most, goes to the library's model at once: there is nothing to normalize or split."""
         if not (self.plain and (found := _PLAIN(chunk))):
             return self.by_library(chunk)
-        space, word, mark = found.groups()
+        line, space, word, mark = found.groups()
         own = space + (word.lower() if self.drops_space else word)
+        ids = None if own == chunk else self.get(own) or self.old.get(own)
+        if ids is None:
+            spelled = own if own.isascii() and not space else own.translate(self.letters)
+            ids = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if own != chunk and len(own) <= CACHE_CHARS:
+                self[own] = ids
         if mark:
-            return (self[own] if len(own) <= CACHE_CHARS else self.encoded(own)) + self.marks[mark]
-        if own != chunk and len(own) <= CACHE_CHARS:
-            return self[own]
-        if space or not own.isascii():
-            own = own.translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
+            ids += self.mark(mark)
+        return self.mark(line) + ids if line and not self.drops_space else ids
+
+    def mark(self, run: str) -> bytes:
+        """The ids of a run of marks, or of a line's end, which no letter beside it changes."""
+        if run not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[run] = self.by_library(run)
+        return self.marks[run]
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.find(chunk)
+        ids = self.old.get(chunk)
         if ids is None:
             ids = self.encoded(chunk)
         if len(chunk) <= CACHE_CHARS:
-            self.keep(chunk, ids)
+            if len(self) >= self.size:
+                self.turn()
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str | None) -> np.ndarray:
