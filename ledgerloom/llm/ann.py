@@ -3,7 +3,8 @@
 Index. A vector's residual from the centroid (the mean of all vectors) is rotated at random and kept as the signs of
 its components, packed to bits, with scalars: its length, the inner product of the code with the residual's
 direction, and the inner product of the centroid with itself being the query's business. The rotation comes from
-a seed and the dimension, so it is never shipped.
+a seed and the dimension, so it is never shipped. Short vectors are padded with zeros before it, so that a code has
+``CODE_BITS`` bits at least: the more bits, the smaller the error of an estimate.
 
 Search. Queries and indexed rows meet in blocks of bounded size on either side. In a block the code and scalars
 give each pair an estimate and an error bound that holds with high probability (``epsilon``). The exact
@@ -29,7 +30,8 @@ from ledgerloom.llm.shared import ceil_div, written
 
 EPSILON = 3.0
 """Standard deviations of the estimate's error that the bound allows for."""
-BLOCK_ROWS = 8192
+CODE_BITS = 256
+BLOCK_ROWS = 16384
 BLOCK_QUERIES = 2048
 FIRST = 4
 """Times k best estimates whose exact products set the threshold."""
@@ -44,11 +46,17 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
+def code_bits(dim: int) -> int:
+    """Bits of the codes of vectors of this dimension."""
+    return max(dim, CODE_BITS)
+
+
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
-    key = x.shape[1], seed
-    if key not in _rotations:
-        _rotations[key] = rotation(*key)
-    return x.astype(np.float32) @ _rotations[key]
+    """The vectors, padded to the codes' length and rotated."""
+    dim, bits = x.shape[1], code_bits(x.shape[1])
+    if (dim, seed) not in _rotations:
+        _rotations[dim, seed] = np.ascontiguousarray(rotation(bits, seed)[:dim])
+    return x.astype(np.float32) @ _rotations[dim, seed]
 
 
 def encode(x: np.ndarray, centroid: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,13 +65,13 @@ def encode(x: np.ndarray, centroid: np.ndarray, seed: int) -> tuple[np.ndarray,
     length = np.linalg.norm(residual, axis=1)
     turned = rotated(residual, seed)
     bits = turned > 0
-    scale = np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
+    scale = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
     return np.packbits(bits, axis=1), length.astype(np.float32), np.where(length > 0, scale / np.where(length > 0, length, 1), 1).astype(np.float32)
 
 
 def estimates(queries: np.ndarray, bits: np.ndarray, length: np.ndarray, match: np.ndarray, centroid: np.ndarray, seed: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products [queries, rows] and their error bounds."""
-    dim = queries.shape[1]
+    dim = code_bits(queries.shape[1])
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
     code = rotated(queries, seed) @ signs.T / np.float32(np.sqrt(dim))
     estimate = (queries @ centroid)[:, None].astype(np.float32) + code * (length / match)
