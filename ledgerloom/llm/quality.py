@@ -18,6 +18,9 @@ results; null ids are carried along; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +33,13 @@ MAX_REPEAT_PERCENT = 50
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
-NOT_SYMBOL = r"[^#*$%&|<>]+"
-NOT_SEPARATOR = r"[^|»›•·>]+"
+SYMBOL, NOT_SYMBOL = r"[#*$%&|<>]", r"[^#*$%&|<>]+"
+SEPARATOR, NOT_SEPARATOR = r"[|»›•·>]", r"[^|»›•·>]+"
 SENTENCE_END = r"[.!?…。！？؟।]"
 BOILERPLATE = (
-    r"(?i)(all rights reserved|copyright|©|licensed under|released under the|terms of (use|service)|privacy policy|cookie"
-    r"|enable javascript|subscribe|newsletter|click here|read more|sign (in|up)|log ?in|powered by|lorem ipsum|share this|back to top)"
-)
+    "all rights reserved", "copyright", "©", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie", "enable javascript", "subscribe",
+    "newsletter", "click here", "read more", "sign in", "sign up", "log in", "login", "powered by", "lorem ipsum", "share this", "back to top",
+)
 
 
 def _let(value: Column, body) -> Column:
@@ -58,13 +61,11 @@ def word_chars(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails a rule."""
-    n = F.size(words(line))
-    symbols, separators = _size_without(line, NOT_SYMBOL), _size_without(line, NOT_SEPARATOR)
-    punctuation = (symbols * 100 > word_chars(line) * SYMBOL_PERCENT) | ~line.rlike(SENTENCE_END)
-    navigation = (separators >= SEPARATORS) & (separators * 6 > n)
-    boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return line.rlike(WORD) & (punctuation | navigation | boilerplate)
+    """Whether a line fails a rule; one without a word fails none. Costly counts are taken only where a mark calls for them."""
+    dense = line.rlike(SYMBOL) & (_size_without(line, NOT_SYMBOL) * 100 > word_chars(line) * SYMBOL_PERCENT)
+    parted = line.rlike(SEPARATOR) & _let(_size_without(line, NOT_SEPARATOR), lambda k: (k >= SEPARATORS) & (k * 6 > F.size(words(line))))
+    phrase = (F.size(words(line)) <= BOILERPLATE_WORDS) & _let(F.lower(line), lambda x: reduce(or_, [x.contains(p) for p in BOILERPLATE]))
+    return line.rlike(WORD) & (~line.rlike(SENTENCE_END) | dense | parted | phrase)
 
 
 def repeated_words(held: Column) -> Column:
@@ -78,11 +79,14 @@ def repeated_words(held: Column) -> Column:
         same = lambda e, k: F.coalesce((F.get(windows, k - 1)["h"] == e["h"]), F.lit(False)) | F.coalesce((F.get(windows, k + 1)["h"] == e["h"]), F.lit(False))
         return _let(F.sort_array(F.transform(F.filter(windows, same), lambda e: e["i"])), covered)
 
-    def of(w: Column) -> Column:
-        hashed = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        return F.when(F.size(w) < 3, 0).otherwise(_let(F.sort_array(hashed), among))
+    def of(hashes: Column) -> Column:
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(F.sort_array(placed), among))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
-    return _let(held, of)
+    return F.when(F.size(held) < 3, 0).otherwise(_let(windows(held), of))
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,26 +96,33 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def about_lines(held: Column) -> Column:
         real = F.filter(held, lambda x: x.rlike(WORD))
-        bad = F.filter(held, line_fails)
         return F.struct(
             _let(real, lambda r: F.size(r) - F.size(F.array_distinct(r))).cast("long").alias("n_dup_lines"),
-            _let(bad, lambda b: F.struct(F.size(b).cast("long").alias("n"), F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + word_chars(x)).alias("chars"))).alias("bad"),
-            F.array_join(F.filter(held, lambda x: ~line_fails(x)), "\n").alias("clean"),
+            _let(F.transform(held, lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))), about_failures).alias("f"),
         )
 
+    def about_failures(flagged: Column) -> Column:
+        none = ~F.exists(flagged, lambda x: x["bad"])
+        bad, good = F.filter(flagged, lambda x: x["bad"]), F.filter(flagged, lambda x: ~x["bad"])
+        chars = F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + word_chars(x["line"]))
+        clean = F.when(none, whole).otherwise(F.array_join(F.transform(good, lambda x: x["line"]), "\n"))
+        return F.struct(F.size(bad).cast("long").alias("n"), chars.alias("chars"), clean.alias("clean"))
+
     def about_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))
+        return F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("repeats"))
 
-    def verdict(w: Column, x: Column, chars: Column, symbols: Column) -> Column:
-        failed = (w["n_words"] < MIN_WORDS) | (w["n_repeat_words"] * 100 > w["n_words"] * MAX_REPEAT_PERCENT)
+    def verdict(w: Column, x: Column, symbols: Column) -> Column:
+        failed = (w["n"] < MIN_WORDS) | (w["repeats"] * 100 > w["n"] * MAX_REPEAT_PERCENT)
         return F.struct(
-            w["n_words"].alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
-            failed.alias("base_failed"), x["bad"]["n"].alias("n_bad_lines"), x["bad"]["chars"].alias("lost_chars"),
-            (~failed & (x["bad"]["chars"] * 100 <= chars * MAX_LOST_PERCENT)).alias("kept"), F.when(F.col(text).isNotNull(), x["clean"]).alias("clean_text"),
+            w["n"].alias("n_words"), w["chars"].alias("word_chars"), symbols.alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), w["repeats"].alias("n_repeat_words"),
+            failed.alias("base_failed"), x["f"]["n"].alias("n_bad_lines"), x["f"]["chars"].alias("lost_chars"),
+            (~failed & (x["f"]["chars"] * 100 <= w["chars"] * MAX_LOST_PERCENT)).alias("kept"), F.when(F.col(text).isNotNull(), x["f"]["clean"]).alias("clean_text"),
         )
 
-    parts = F.struct(_let(words(whole), about_words).alias("w"), _let(lines, about_lines).alias("x"), word_chars(whole).cast("long").alias("c"), _size_without(whole, NOT_SYMBOL).cast("long").alias("s"))
-    return docs.withColumn("quality", _let(parts, lambda p: verdict(p["w"], p["x"], p["c"], p["s"])))
+    parts = F.struct(_let(words(whole), about_words).alias("w"), _let(lines, about_lines).alias("x"), _size_without(whole, NOT_SYMBOL).cast("long").alias("s"))
+    found = _let(parts, lambda p: verdict(p["w"], p["x"], p["s"]))
+    # As a generator's output it is computed once, whatever filter or projection follows.
+    return docs.withColumn("quality", F.explode(F.array(found)))
 
 
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -105,7 +105,7 @@ def _op5_sql() -> str:
     fails = (
         f"regexp_matches(l, {word}) AND ({only('l', q.NOT_SYMBOL)} * 100 > {chars('l')} * {q.SYMBOL_PERCENT} OR NOT regexp_matches(l, {_sql_text(q.SENTENCE_END)})"
         f" OR ({only('l', q.NOT_SEPARATOR)} >= {q.SEPARATORS} AND {only('l', q.NOT_SEPARATOR)} * 6 > len({words('l')}))"
-        f" OR (len({words('l')}) <= {q.BOILERPLATE_WORDS} AND regexp_matches(l, {_sql_text(q.BOILERPLATE)})))"
+        f" OR (len({words('l')}) <= {q.BOILERPLATE_WORDS} AND ({' OR '.join(f'contains(lower(l), {_sql_text(p)})' for p in q.BOILERPLATE)})))"
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
