@@ -717,3 +717,57 @@ def lifecycle_fold(spark, d):
     e = table(spark, d, "events").where("user_id IS NOT NULL")
     events = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "reject").otherwise("apply").alias("event"), ((F.col("event_id") * 37 % 20).cast("double") / 100 + 0.8).alias("score"), (F.col("event_id") % 2 == 0).alias("checked"))
     return lifecycle.latest_states(lifecycle.folded(events, family=True))
+
+
+# --- pages of tokens ------------------------------------------------------------------------------------------------
+
+_PAGE = "FROM (SELECT doc_id, i, w, i // 400 AS page_no, i % 400 AS k FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents))"
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' words as tokens on pages of 50 rows of 8."""
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    k = F.col("i") % 400
+    return w.select(
+        "doc_id", F.expr("cast(i div 400 as int)").alias("page_no"), k.cast("long").alias("token_seq"), "text", (k % 8 * 100 + 20).cast("long").alias("x"), F.expr("(i % 400 div 8) * 31 + 10 + i % 3").cast("long").alias("y"),
+        F.lit(80).cast("long").alias("w"), F.lit(20).cast("long").alias("h"), F.lit(900).cast("long").alias("page_w"), F.lit(1600).cast("long").alias("page_h"),
+    )
+
+
+@query(f"SELECT doc_id, page_no::INT AS page_no, k::BIGINT AS token_seq, (k // 8)::INT AS row_no, (k % 8)::INT AS place {_PAGE}")
+def token_rows(spark, d):
+    from ledgerloom.page import rows
+
+    return rows.token_rows(tokens(spark, d)).select("doc_id", "page_no", "token_seq", "row_no", "place")
+
+
+@query()
+def page_discovery(spark, d):
+    from ledgerloom.page import fields
+
+    labelled = F.when(F.col("token_seq") % 40 == 8, "Invoice").when(F.col("token_seq") % 40 == 9, "No:").when(F.col("token_seq") % 40 == 16, "Total:").when(F.col("token_seq") % 40 == 17, F.concat(F.lit("$"), F.col("doc_id"), F.lit(".50"))).otherwise(F.col("text"))
+    return fields.page_discovery(tokens(spark, d).withColumn("text", labelled))
+
+
+@query(f"""WITH t AS (SELECT doc_id, page_no, lower(w) AS low, k // 8 AS r {_PAGE}), a AS (SELECT doc_id, page_no, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS a, ((r * 31 + 10 + (page_no * 0)) ) AS y, r FROM t)
+SELECT doc_id, page_no::INT AS page_no, string_agg(DISTINCT a, ',' ORDER BY a) FILTER (r < 10 AND length(a) > 12 AND NOT regexp_matches(a, '^[0-9]+$')) AS long_header FROM a GROUP BY 1, 2""")
+def page_header_tokens(spark, d):
+    a = tx.anchor(F.col("text"))
+    top = sets.region_of(F.col("y"), F.col("h"), F.col("page_h")) == "header"
+    first = F.when(top & (F.length(a) > 12) & ~a.rlike("^[0-9]+$"), a)
+    found = tokens(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.sort_array(F.collect_set(first)), ",").alias("long_header"))
+    return found.withColumn("long_header", F.nullif("long_header", F.lit("")))
+
+
+@query()
+def anchor_signatures(spark, d):
+    return routing.anchor_signatures(tokens(spark, d)).select("doc_id", "page_no", "page_role", F.array_join("header_tokens", ",").alias("header_tokens"), F.array_join("summary_labels", ",").alias("summary_labels"), F.to_json("keyword_hits").alias("keyword_hits"))
+
+
+@query()
+def leader_clusters(spark, d):
+    f = table(spark, d, "documents").select(
+        F.col("source").alias("template_family_id"), F.col("doc_id").cast("string").alias("fingerprint_hash"), F.array("lang").alias("page_roles"), F.slice(F.array_sort(F.array_distinct(F.split(F.lower(F.substring("text", 1, 200)), " "))), 1, 6).alias("field_names"),
+        F.slice(F.array_sort(F.array_distinct(F.split(F.lower(F.substring("text", 1, 400)), " "))), 1, 8).alias("anchor_tokens"), (F.col("doc_id") % 10 / 10).cast("double").alias("confidence"), (F.col("doc_id") % 7).alias("apply_count"), F.col("doc_id").alias("created_at"),
+    )
+    return lifecycle.split_clusters(f)

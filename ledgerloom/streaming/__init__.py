@@ -1 +1 @@
-"""TBD"""
+"""The same operators over streams."""
