@@ -13,7 +13,7 @@ within 1 bit of it, and all those links are true.
 
 Cases: null, empty and space-only texts have no word and fingerprint zero, linked like any other; fewer words than
 a shingle's make one shingle of what there is; repeated rows are copies; documents with a null id count, but name
-no component unless alone in it (then null); an empty table gives an empty result. Other columns are not read.
+no component; one in which no document has an id has none either, only its root; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -157,28 +157,70 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None, bucket
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 3, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of every document: the component's id is the least document id that it reaches."""
+    """(doc_id, fp, root, component_id) of every document: the component's id is the least document id that it reaches, its root the least fingerprint."""
     marked = written(fingerprints(docs, id_col, text), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes, distance, blocks, bucket))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(rooted.join(named, "root").select("fp", "component_id"), "components")
+    of = written(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
     return marked.join(of, "fp", "left")
 
 
+FILTER_BITS = 1 << 25
+"""Size of the Bloom filter, whatever the data: with too many ids in it, it lets all rows pass to the join."""
+
+
+def _places(id_col: F.Column) -> list[F.Column]:
+    h, g = F.xxhash64(id_col), F.xxhash64(F.lit(1), id_col)
+    mask = F.lit(FILTER_BITS - 1)
+    return [x.bitwiseAND(mask) for x in (h, F.shiftrightunsigned(h, 32), g, F.shiftrightunsigned(g, 32))]
+
+
+def filter_bits(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (doc_id): its words are combined by the cluster, and at most ``FILTER_BITS`` / 64 reach the driver."""
+    places = ids.select(F.explode(F.array(*_places(F.col("doc_id")))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return bits
+
+
+def maybe_in(bits: np.ndarray, id_col: F.Column) -> F.Column:
+    """Whether an id may be in the filter; never false of one that is. Null may always be."""
+    held = SparkSession.getActiveSession().sparkContext.broadcast(bits)
+
+    def look(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        found = np.ones(len(a), dtype=bool)
+        for p in (a, b, c, d):
+            at = p.to_numpy(np.int64)
+            found &= (held.value[at >> 6] >> (at & 63) & 1).astype(bool)
+        return pd.Series(found)
+
+    return F.pandas_udf(look, "boolean")(*_places(id_col)) | id_col.isNull()
+
+
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document of least id stays, once.
 
-    Of rows that repeat that id one stays. Documents without an id stay only where no row of their component has one, one of them.
+    Only rows whose id may be among those that go, or that repeat, meet the list of ids in a join; a filter of fixed
+    size tells them from the rest, which is neither shuffled nor sorted. Of rows that repeat an id that stays, one does. Of a component in which no document has an id one stays as well.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
     key = f"c{names.index(id_col)}"
-    found = near_duplicates(own, key, f"c{names.index(text)}", distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = written(stay, "survivors")
-    rows = own.join(stay, own[key].cast("long").eqNullSafe(F.col("doc_id")))
+    found = written(near_duplicates(own, key, f"c{names.index(text)}", distance), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("n"), F.count(F.lit(1)).alias("rows")), "survivors")
+    doubtful = filter_bits(ids.where("n != 1 OR rows != 1").select("doc_id"))
+    marked = own.withColumn("b", maybe_in(doubtful, F.col(key).cast("long")))
+    sure = marked.where(~F.col("b")).select(*own.columns)  # most rows: they stay where they are
+    rows = marked.where("b").join(ids.where("n > 0").select("doc_id", "n"), own[key].cast("long") == F.col("doc_id"))
     once = rows.where("n = 1").select(*own.columns)
     more = rows.where("n > 1").groupBy("doc_id").agg(F.first(F.struct(*own.columns)).alias("row")).select("row.*")
-    return once.unionByName(more).toDF(*names)
+    kept = sure.unionByName(once).unionByName(more)
+    if ids.where("doc_id IS NULL").limit(1).count():
+        alone = found.where("component_id IS NULL").select("fp", "root").distinct()
+        nameless = own.where(F.col(key).isNull()).withColumn("fp", F.pandas_udf(_fingerprints, "long")(F.col(f"c{names.index(text)}")))
+        kept = kept.unionByName(nameless.join(alone, "fp").groupBy("root").agg(F.first(F.struct(*own.columns)).alias("row")).select("row.*"))
+    return kept.toDF(*names)
