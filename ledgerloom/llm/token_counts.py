@@ -14,6 +14,7 @@ give repeated results; an empty table gives an empty result; other columns of th
 from __future__ import annotations
 
 import heapq
+import time
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,10 @@ class Lengths(Generations):
         self.size += len(self)
         self.frequent = dict(self)
 
+    def forget(self) -> None:
+        super().forget()
+        self.update(self.frequent)
+
     def __missing__(self, chunk: str) -> int:
         n = self.old.get(chunk)
         if n is None:
@@ -106,6 +111,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     @F.pandas_udf("long")
     def n_tokens(texts: pd.Series) -> pd.Series:
         own = lengths(path, table.value)
+        own.used = own.chunks.used = time.monotonic()
         split, get = own.chunks.split, own.__getitem__
         return pd.Series([sum(map(get, split(t))) if t else 0 for t in texts], dtype="int64")
 

@@ -130,7 +130,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         known = chunks(path)
-        end = np.array([end_id], dtype=np.uint32)
+        wide = end_id >> 8 * known.width.itemsize == 0
+        end = np.array([end_id], dtype=known.width if wide else np.uint32)
 
         def flush():
             nonlocal ids, parts, held
@@ -154,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
                     name = f"{root}/.{made:08d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(name)
                 got = known.ids(t)
-                got = np.concatenate([got.astype(np.uint32) if end_id >> 8 * got.itemsize else got, end.astype(got.dtype) if not end_id >> 8 * got.itemsize else end])
+                got = np.append(got if wide else got.astype(np.uint32), end)
                 ids.append(d)
                 parts.append(got)
                 held += len(got)

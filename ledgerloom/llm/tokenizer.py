@@ -14,15 +14,21 @@ import json
 import os
 import re
 import sys
+import threading
+import time
+import weakref
 from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 """Chunks in one generation of a worker's cache. Two are kept, and what is used again moves to the younger one."""
 CACHE_CHARS = 64
 """Longer chunks are encoded each time, so a worker's cache stays within a bound of bytes."""
 
+IDLE_SECONDS = 3.0
+"""A worker's caches last from task to task, and go when it has not used them for so long: its memory is then for other stages."""
+
 _PLAIN = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)").fullmatch
 _PROBES = ["the", "The", "THE,", "été.", "ÉTÉ", "Straße,", "zß", "a", "I.", "nonconformidades", "ñandú", "øre", "þing.", "ÿ,", "und&&&", "a_b", "x_", "the...", "of***."]
 
@@ -37,12 +43,32 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def _watch(cache: Generations) -> None:
+    """Have the cache forget when it is idle, as long as it exists."""
+    held = weakref.ref(cache)
+
+    def look() -> None:
+        while (c := held()) is not None:
+            if c and time.monotonic() - c.used > IDLE_SECONDS:
+                c.forget()
+            del c
+            time.sleep(IDLE_SECONDS / 3)
+
+    threading.Thread(target=look, daemon=True).start()
+
+
 class Generations(dict):
     """A bounded cache: when it is full, its entries become the old generation, and those used again come back."""
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old = size, {}
+        self.size, self.old, self.used = size, {}, time.monotonic()
+        _watch(self)
+
+    def forget(self) -> None:
+        """Drop what is held; what is asked for again is worked out again."""
+        self.old = {}
+        self.clear()
 
     def turn(self) -> None:
         """Make what is held the old generation."""
@@ -117,9 +143,14 @@ class Chunks(Generations):
             self[chunk] = ids
         return ids
 
+    def raw(self, text: str | None) -> bytes:
+        """The ids of a whole text, without special tokens added, as ``width`` has them; of null: none."""
+        self.used = time.monotonic()
+        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+
     def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text, without special tokens added; of null: none."""
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text or ""))), dtype=self.width)
+        """The same as an array."""
+        return np.frombuffer(self.raw(text), dtype=self.width)
 
 
 _spaced = re.compile(r"\s*\S+|\s+").findall
