@@ -15,6 +15,8 @@ each; a null id is carried along; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,26 +31,26 @@ PART_ROWS = 4096
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids: little-endian u32) of every document's pieces; only the first may be shorter."""
+    """(doc_id, piece, start, length, ids) of every document's pieces; only the first may be shorter. ``ids`` are little-endian, of the vocabulary's ``id_width``."""
 
     def cut(batches):
         known = chunks(path)
-        end = np.array([end_id], dtype="<u4")
-        names = ["doc_id", "piece", "start", "length", "ids"]
+        end, size = np.array([end_id], dtype=known.width).tobytes(), known.width.itemsize
+        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
 
         def made(rows):
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
         for batch in batches:
             rows, held = [], 0
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([known.ids(t), end]).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                for piece, at in enumerate([0, *range(first, len(ids), capacity)]):
-                    part = ids[at : first if at == 0 else at + capacity]
-                    rows.append((d, piece, at, len(part), part.tobytes()))
-                held += len(ids)
+                raw = known.raw(t) + end
+                n = len(raw) // size
+                first = (n - 1) % capacity + 1
+                for piece, at in enumerate([0, *range(first, n, capacity)]):
+                    to = first if at == 0 else at + capacity
+                    rows.append((d, piece, at, to - at, raw[at * size : to * size]))
+                held += n
                 if held > 4_000_000:
                     yield made(rows)
                     rows, held = [], 0
@@ -145,6 +147,20 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.withColumn("__at", at).select(*pieces.columns, "__at.sequence_id", "__at.offset")
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id in ``ids``: 2, or 4 for a vocabulary of more than 65,536."""
+    return chunks(path).width.itemsize
+
+
+def ids_crc32(ids: F.Column, width: int) -> F.Column:
+    """The CRC-32 of ids as little-endian unsigned 32-bit integers."""
+
+    def crc(raw: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(r, dtype=f"<u{width}").astype("<u4").tobytes()) for r in raw], dtype="int64")
+
+    return F.pandas_udf(crc, "long")(ids)
+
+
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every document's pieces, packed."""
     pieces = written(tokenized(docs, path, end_id, capacity, id_col, text), "pieces", "zstd")

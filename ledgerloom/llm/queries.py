@@ -84,7 +84,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", packing.ids_crc32(F.col("ids"), packing.id_width(tokenizer_path("byte_bpe_50k.json"))).alias("ids_crc32"), "sequence_id", "offset")
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_language_id, op4_token_counts, op5_quality_rules, op6_url_filter, op7_mixing, op8_simhash, op9_token_files, op10_packing)}
