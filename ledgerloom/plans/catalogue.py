@@ -461,7 +461,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_R} SELECT count(*) AS total_invoices, count(*) FILTER (error IS NULL AND attempted_route = 'DISCOVERY' AND validation_passed) AS discovery_passed, count(*) FILTER (error IS NULL AND attempted_route = 'DISCOVERY' AND NOT validation_passed) AS discovery_rejected,
   count(*) FILTER (error IS NULL AND attempted_route = 'APPLY' AND NOT validation_passed) AS apply_rejected, count(error) AS runtime_errors, count(*) FILTER (error IS NOT NULL AND attempted_route = 'APPLY') AS apply_runtime_errors,
   count(*) FILTER (error IS NOT NULL AND attempted_route = 'DISCOVERY') AS discovery_runtime_errors, min(elapsed_ms) AS latency_min, (sum(elapsed_ms) // count(elapsed_ms))::BIGINT AS latency_avg, max(elapsed_ms) AS latency_max,
-  round((sum(peak_rss_mb::DECIMAL(24,6)) / count(peak_rss_mb))::DOUBLE, 3) AS rss_avg, min(quality_score) AS quality_min, round((sum(quality_score::DECIMAL(24,6)) / count(quality_score))::DOUBLE, 6) AS quality_avg, max(quality_score) AS quality_max,
+  round((sum(peak_rss_mb::DECIMAL(24,6)) / count(peak_rss_mb))::DECIMAL(38,12), 3)::DOUBLE AS rss_avg, min(quality_score) AS quality_min, round((sum(quality_score::DECIMAL(24,6)) / count(quality_score))::DECIMAL(38,12), 6)::DOUBLE AS quality_avg, max(quality_score) AS quality_max,
   round(count(template_family_id)::DOUBLE / count(*), 4) AS family_match_rate, round((count(*) FILTER (route = 'APPLY'))::DOUBLE / count(*), 4) AS apply_rate,
   round((count(*) FILTER (error IS NULL AND attempted_route = 'APPLY' AND NOT validation_passed))::DOUBLE / count(*) FILTER (attempted_route = 'APPLY'), 4) AS false_apply_rate FROM r""")
 def run_summary(spark, d):
@@ -493,7 +493,7 @@ def failure_modes(spark, d):
 
 @query(f"""WITH {_R}, g AS (SELECT template_family_id, count(*) AS invoice_count, count(*) FILTER (validation_passed) AS accepted_count, count(*) FILTER (NOT validation_passed OR (validation_passed IS NULL AND route = 'REJECTED')) AS review_count,
   count(*) FILTER (attempted_route = 'APPLY') AS apply_route_count, count(*) FILTER (attempted_route = 'APPLY' AND validation_passed) AS apply_success_count, count(*) FILTER (family_match_outcome = 'matched') AS family_match_count,
-  count(*) FILTER (reconciliation_failure) AS reconciliation_failure_count, count(*) FILTER (policy_failure) AS validator_policy_failure_count, round((sum(validation_score::DECIMAL(24,6)) / count(validation_score))::DOUBLE, 4) AS avg_validation_score
+  count(*) FILTER (reconciliation_failure) AS reconciliation_failure_count, count(*) FILTER (policy_failure) AS validator_policy_failure_count, round((sum(validation_score::DECIMAL(24,6)) / count(validation_score))::DECIMAL(38,12), 4)::DOUBLE AS avg_validation_score
   FROM r WHERE template_family_id IS NOT NULL GROUP BY 1)
 SELECT *, round(accepted_count::DOUBLE / invoice_count, 4) AS pass_rate, CASE WHEN apply_route_count > 0 THEN round(apply_success_count::DOUBLE / apply_route_count, 4) ELSE 0.0::DOUBLE END AS apply_reuse_rate, round(family_match_count::DOUBLE / invoice_count, 4) AS family_match_rate,
   round(invoice_count::DOUBLE * (1.0::DOUBLE - accepted_count::DOUBLE / invoice_count) * 1.4::DOUBLE + apply_route_count::DOUBLE * 0.35::DOUBLE + reconciliation_failure_count::DOUBLE * 0.25::DOUBLE + validator_policy_failure_count::DOUBLE * 0.15::DOUBLE, 3) AS impact_score, review_count AS unresolved_count FROM g""")
@@ -729,8 +729,8 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
     k = F.col("i") % 400
     return w.select(
-        "doc_id", F.expr("cast(i div 400 as int)").alias("page_no"), k.cast("long").alias("token_seq"), "text", (k % 8 * 100 + 20).cast("long").alias("x"), F.expr("(i % 400 div 8) * 31 + 10 + i % 3").cast("long").alias("y"),
-        F.lit(80).cast("long").alias("w"), F.lit(20).cast("long").alias("h"), F.lit(900).cast("long").alias("page_w"), F.lit(1600).cast("long").alias("page_h"),
+        "doc_id", F.expr("cast(i div 400 as int)").alias("page_no"), k.cast("long").alias("token_seq"), "text", (k % 8 * 100 + 20).cast("long").alias("x"), F.expr("(i % 400 div 8) * 40 + 10 + i % 3").cast("long").alias("y"),
+        F.lit(80).cast("long").alias("w"), F.lit(20).cast("long").alias("h"), F.lit(900).cast("long").alias("page_w"), F.lit(2100).cast("long").alias("page_h"),
     )
 
 
@@ -749,7 +749,7 @@ def page_discovery(spark, d):
     return fields.page_discovery(tokens(spark, d).withColumn("text", labelled))
 
 
-@query(f"""WITH t AS (SELECT doc_id, page_no, lower(w) AS low, k // 8 AS r {_PAGE}), a AS (SELECT doc_id, page_no, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS a, ((r * 31 + 10 + (page_no * 0)) ) AS y, r FROM t)
+@query(f"""WITH t AS (SELECT doc_id, page_no, lower(w) AS low, k // 8 AS r {_PAGE}), a AS (SELECT doc_id, page_no, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS a, r FROM t)
 SELECT doc_id, page_no::INT AS page_no, string_agg(DISTINCT a, ',' ORDER BY a) FILTER (r < 10 AND length(a) > 12 AND NOT regexp_matches(a, '^[0-9]+$')) AS long_header FROM a GROUP BY 1, 2""")
 def page_header_tokens(spark, d):
     a = tx.anchor(F.col("text"))

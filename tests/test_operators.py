@@ -32,7 +32,7 @@ def test_validation(spark):
     r = validate.validated(found, gt, docs).first()
     assert (r.matched, r.mismatched) == (5, 3) and not r.passed and abs(r.score - 5 / 8) < 1e-9
     assert r.error_counts == {"missing_field": 1, "line_item_count_mismatch": 1, "other": 1}
-    docs = docs.withColumns({"found_lines": F.lit(9), "country_code": F.lit("US"), "currency_code": F.lit("USD")})
+    docs = docs.withColumns({"found_lines": F.lit(9), "country_code": F.lit("CA"), "currency_code": F.lit("CAD")})
     r = validate.validated(found, gt.where("field NOT IN ('number')"), docs).first()
     assert (r.matched, r.mismatched, r.passed) == (15, 0, True)
     mapped = validate.renamed_fields(found.withColumn("seq", F.lit(1)), {"notes": "remarks"})

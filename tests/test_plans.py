@@ -60,7 +60,7 @@ def test_text_invoice(spark):
     pages = spark.createDataFrame([("a", 0, INVOICE), ("b", 0, INVOICE.replace("Total: 113.40", "Total: 999.00"))], "doc_id string, page_no int, text string")
     got = {r.doc_id: r for r in process.normalized(pages).collect()}
     assert got["a"].status == "reconciled" and got["a"].line_sum == 105.0 and got["b"].status == "inconsistent" and got["b"].issue_types == ["total_mismatch"]
-    truth = spark.createDataFrame([(d, f, v) for d in "ab" for f, v in (("invoice_number", "HS-2041"), ("total", "113.40"), ("invoice_date", "2024-05-03"))], "doc_id string, field string, value string")
+    truth = spark.createDataFrame([(d, f, v) for d in "ab" for f, v in (("invoice_number", "HS-2041"), ("total", "113.40"), ("invoice_date", "2024-03-05"))], "doc_id string, field string, value string")
     v = {r.doc_id: r for r in process.validated(pages, truth, spark.createDataFrame([("a", 2), ("b", 2)], "doc_id string, truth_lines int")).collect()}
     assert v["a"].passed and v["a"].matched == 5 and not v["b"].passed and v["b"].error_counts == {"field_mismatch": 1}
     assert process.context(pages).where("doc_id = 'a'").first().currency_code == "USD"
