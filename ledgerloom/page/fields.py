@@ -42,12 +42,24 @@ def phrases(rows: DataFrame, longest: int = 4) -> DataFrame:
 
 
 def labels(rows: DataFrame, floor: float = MIN_LABEL) -> DataFrame:
-    """The best label of each field on each page. Phrases meet the catalogue of aliases, some fifty rows."""
-    p = phrases(rows).where(ocr_text(F.col("phrase")) != "")
-    j = p.crossJoin(F.broadcast(aliases(rows.sparkSession)))
+    """The best label of each field on each page.
+
+    A phrase that scores as high as the floor shares a word with the alias, or differs from it by a sixth of its letters
+    at most, which short aliases cannot. So phrases meet aliases by a word, or by a length within three of theirs and few
+    edits; only those pairs are scored.
+    """
+    o = ocr_text(F.col("phrase"))
+    p = phrases(rows).withColumn("o", o).where("o != ''")
+    a = aliases(rows.sparkSession).withColumn("ao", ocr_text(F.col("alias")))
+    tagged = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x.cast("string")))
+    lengths = F.when(F.length("ao") >= 7, F.sequence(F.length("ao") - 3, F.length("ao") + 3)).otherwise(F.array().cast("array<int>"))
+    keyed = a.withColumn("k", F.explode(F.concat(tagged("w", F.array_distinct(F.split("ao", " "))), tagged("l", lengths))))
+    mine = p.withColumn("k", F.explode(F.concat(tagged("w", F.array_distinct(F.split("o", " "))), tagged("l", F.array(F.length("o"))))))
+    near = F.col("k").startswith("w") | (F.levenshtein("o", "ao", 3) >= 0)
+    j = mine.join(F.broadcast(keyed), "k").where(near)
     score = label_score(F.col("phrase"), F.col("alias"), F.col("field"), F.col("x") / F.col("page_w"), F.col("y") / F.col("page_h"))
     w = Window.partitionBy("doc_id", "page_no", "field").orderBy(F.desc("score"), "row_no", "place", "n", "alias")
-    return j.withColumn("score", score).where(F.col("score") >= floor).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return j.withColumn("score", score).where(F.col("score") >= floor).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "k", "o", "ao")
 
 
 def values(rows: DataFrame, found: DataFrame) -> DataFrame:

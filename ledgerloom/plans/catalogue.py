@@ -245,10 +245,11 @@ WITH d AS (SELECT doc_id, string_split(replace(text, ', ', ': '), chr(10)) AS ls
 k AS (SELECT doc_id, n, trim(regexp_replace(split_part(l, ':', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS key, trim(regexp_replace(substr(l, strpos(l, ':') + 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS value FROM f)
 SELECT doc_id, count(DISTINCT key) AS n_keys, md5(coalesce(string_agg(v, '|' ORDER BY v), '')) AS pairs_md5 FROM (SELECT doc_id, key, arg_min(key || '=' || value, n) AS v FROM k WHERE key <> '' AND value <> '' GROUP BY 1, 2) GROUP BY 1""")
 def native_key_values(spark, d):
-    m = tx.key_values(F.replace("text", F.lit(", "), F.lit(": ")))
-    x = table(spark, d, "documents").select("doc_id", F.map_entries(m).alias("m")).where(F.size("m") > 0)
-    pairs = F.array_sort(F.transform("m", lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return x.select("doc_id", F.size("m").cast("long").alias("n_keys"), F.md5(F.array_join(pairs, "|")).alias("pairs_md5"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(", "), F.lit(": ")), "\n")).alias("n", "l")).where(F.col("l").contains(":"))
+    k, v = tx.squeezed(F.regexp_extract("l", "^([^:]*):", 1)), tx.squeezed(F.regexp_extract("l", "^[^:]*:(.*)$", 1))
+    first = lines.select("doc_id", "n", k.alias("k"), v.alias("v")).where("k != '' AND v != ''").groupBy("doc_id", "k").agg(F.min_by("v", "n").alias("v"))
+    per = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sort_array(F.collect_list(F.concat("k", F.lit("="), "v"))).alias("p"))
+    return per.select("doc_id", "n_keys", F.md5(F.array_join("p", "|")).alias("pairs_md5"))
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------
