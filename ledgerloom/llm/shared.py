@@ -7,6 +7,7 @@ share. Only where that setting is absent (a local session, as in tests) a folder
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,8 +33,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder's URI below the shared one that nothing else uses."""
-    return f"{shared_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A folder's URI below the shared one that nothing else uses. It goes when the driver's process ends."""
+    path = f"{shared_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(path)
+    return path
+
+
+def _sweep() -> None:
+    for path in _made:
+        with contextlib.suppress(OSError, ValueError, NotImplementedError):  # it may never have been written
+            fs, at = filesystem(path)
+            fs.delete_dir(at)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -55,11 +68,6 @@ def slots(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread(df: DataFrame, text_bytes: int | None = None) -> DataFrame:
-    """``df`` as it is: the scan's splits decide the parallelism. Kept as one place to change that."""
-    return df
-
-
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
@@ -68,11 +76,6 @@ def log2_ceil(n: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n))))
 
 
-def letters() -> str:
-    """A regular expression for any letter, for Java and Python's regex module."""
-    return r"\p{L}"
-
-
 def salted(count: F.Column, rows: int, *keys) -> F.Column:
     """Which of ceil(count / rows) parts a row falls into, by the hash of its keys."""
     return F.pmod(F.xxhash64(*keys), F.greatest(F.lit(1), F.ceil(count / F.lit(rows))).cast("long"))

@@ -68,7 +68,7 @@ def test_cleaned_keeps_columns(spark, docs):
     assert kept.dtypes == odd.dtypes
     assert all(r.n_chars == len(r.text) and r.quality == 1 for r in kept.collect())
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Pandas" not in plan and "hashpartitioning" not in plan
 
 
 def test_quality_sql(spark, docs, rows):
