@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import salted, written
 from ledgerloom.llm.tokenizer import chunks
 
+SLICE_ROWS = 500
+"""Texts of an Arrow batch that are Python strings at once."""
 PART_ROWS = 4096
 """Rows of one length that are ranked together, on average."""
 
@@ -41,7 +43,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
         def made(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, max(1, b.num_rows), SLICE_ROWS)):
             rows, held = [], 0
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = known.raw(t) + end
@@ -51,7 +53,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: st
                     to = first if at == 0 else at + capacity
                     rows.append((d, piece, at, to - at, raw[at * size : to * size]))
                 held += n
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield made(rows)
                     rows, held = [], 0
             yield made(rows)
