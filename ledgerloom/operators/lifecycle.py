@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,31 +115,124 @@ def split_signals(fingerprints: DataFrame) -> DataFrame:
     )
 
 
-def split_clusters(fingerprints: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """(template_family_id, fingerprint_hash, cluster): members joined to the first leader that they are alike enough to.
+WEIGHTS = {"anchors": 0.40, "fields": 0.35, "roles": 0.15, "table": 0.05, "pages": 0.05}
+
+
+class _Tokens:
+    """The token sets of a family's members, and an index of the leaders' by their rarest tokens.
 
-    Leaders come up in the order of confidence, successes and age, so a family's members are seen in sequence; only
-    its different signatures are compared, each with the leaders so far.
+    Two sets of overlap ``share`` have a token in common among the first size - ceil(share * size) + 1 of either,
+    counted from the rarest; so only such leaders can be that near.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "apply_count", "created_at", "fingerprint_hash"], ascending=[False, False, True, True])
-        leaders: list[tuple[set, set, set]] = []
-        seen: dict[tuple, int] = {}
-        share = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
-        out = []
-        for r in pdf.itertuples():
-            parts = tuple(frozenset(x if x is not None else ()) for x in (r.page_roles, r.field_names, r.anchor_tokens))
-            if parts not in seen:
-                found = next((k for k, o in enumerate(leaders) if share(parts[1], o[1]) * 0.40 + share(parts[2], o[2]) * 0.35 + share(parts[0], o[0]) * 0.15 + 0.05 * (parts[1] == o[1]) + 0.05 * (parts[0] == o[0]) >= threshold), None)
-                if found is None:
-                    leaders.append(parts)
-                    found = len(leaders) - 1
-                seen[parts] = found
-            out.append((r.template_family_id, r.fingerprint_hash, seen[parts]))
-        return pd.DataFrame(out, columns=["template_family_id", "fingerprint_hash", "cluster"])
-
-    return fingerprints.groupBy("template_family_id").applyInPandas(one, "template_family_id string, fingerprint_hash string, cluster int")
+    def __init__(self, lists: pa.ListArray, share: float):
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        known = np.sort(values)
+        first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]])) if len(known) else np.empty(0, dtype=np.int64)
+        n = np.diff(np.append(first, len(known)))
+        known = known[first]  # the sorted copy goes
+        rank = np.empty(len(n), dtype=np.int32)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n), dtype=np.int32)
+        self.flat = np.empty(len(values), dtype=np.int32)
+        for at in range(0, len(values), 1 << 20):
+            self.flat[at : at + (1 << 20)] = rank[np.searchsorted(known, values[at : at + (1 << 20)])]
+        self.ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        for k in range(len(lists)):
+            self.flat[self.ends[k] : self.ends[k + 1]].sort()
+        size = np.diff(self.ends)
+        self.take = np.where(size > 0, size - np.ceil(share * size - 1e-9).astype(np.int64) + 1, 0)
+        room = np.zeros(len(n) + 1, dtype=np.int64)
+        for k in range(len(lists)):
+            room[self.prefix(k) + 1] += 1
+        self.start, self.filled = np.cumsum(room), np.zeros(len(n), dtype=np.int64)
+        self.leaders, self.mark = np.empty(int(self.start[-1]), dtype=np.int32), np.zeros(len(n), dtype=bool)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
+    def prefix(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] : self.ends[k] + self.take[k]]
+
+    def near(self, k: int) -> list[np.ndarray]:
+        own = self.prefix(k)
+        own = own[self.filled[own] > 0]
+        return [self.leaders[a : a + n] for a, n in zip(self.start[own], self.filled[own], strict=True)]
+
+    def lead(self, k: int, leader: int) -> None:
+        own = self.prefix(k)
+        self.leaders[self.start[own] + self.filled[own]] = leader
+        self.filled[own] += 1
+
+    def shares(self, k: int, members: np.ndarray) -> list[float]:
+        """The overlaps of a member's set with others'."""
+        own = self.of(k)
+        self.mark[own] = True
+        both = [int(np.count_nonzero(self.mark[self.of(m)])) for m in members]
+        self.mark[own] = False
+        return [n / (len(own) + len(self.of(m)) - n) if n else 0.0 for n, m in zip(both, members, strict=True)]
+
+
+def split_clusters(fingerprints: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """(template_family_id, fingerprint_hash, cluster): members joined to the leader that they are most alike, if enough.
+
+    Leaders come up in the order of confidence, successes and age, so a family's members are seen in sequence. Likeness
+    is the overlap of anchor tokens, field names and page roles, and whether both have a table and several pages
+    (``table_enabled`` and ``page_count``, where there are such columns; without the latter the roles are counted), to
+    three places; of leaders equally alike the first wins. Tokens are compared by 64-bit hashes. A leader that can be
+    alike enough overlaps in anchors or in fields, so it is found by their rarest tokens and the others are not compared.
+    """
+    has = set(fingerprints.columns)
+    empty = F.array().cast("array<string>")
+    clean = lambda c: F.filter(F.coalesce(F.col(c), empty), lambda t: t.isNotNull() & (t != ""))
+    hashed = lambda c: F.array_sort(F.array_distinct(F.transform(clean(c), lambda t: F.xxhash64(t))))
+    table = F.coalesce(F.col("table_enabled"), F.lit(False)) if "table_enabled" in has else F.lit(False)
+    pages = F.size(F.coalesce(F.col("page_roles"), empty))
+    several = (F.coalesce(F.col("page_count"), pages) if "page_count" in has else pages) > 1
+    f = fingerprints.select(
+        "template_family_id", "fingerprint_hash", "confidence", "apply_count", "created_at", hashed("anchor_tokens").alias("anchors"), hashed("field_names").alias("fields"),
+        F.array_sort(F.array_distinct(clean("page_roles"))).alias("roles"), table.alias("table"), several.alias("pages"),
+    )
+    f = f.withColumn("fields", F.when(F.col("fields") != F.col("anchors"), F.col("fields")))  # equal sets are sent once
+    share = (threshold - 0.0005 - 0.25) / 0.75 - 1e-9
+
+    def one(t: pa.Table) -> pa.Table:
+        order = pc.sort_indices(t, [("confidence", "descending"), ("apply_count", "descending"), ("created_at", "ascending"), ("fingerprint_hash", "ascending")]).to_numpy()
+        lists = lambda c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
+        anchors, own = lists("anchors"), lists("fields")
+        same = not own.null_count < len(own)
+        if not same:
+            own = pc.if_else(own.is_null(), anchors, own)
+        a = _Tokens(anchors, share)
+        b = a if same else _Tokens(own, share)
+        roles, table, pages = [frozenset(r) for r in t.column("roles").to_pylist()], t.column("table").to_pylist(), t.column("pages").to_pylist()
+        leaders: list[int] = []
+        cluster = np.empty(t.num_rows, dtype=np.int32)
+        for k in order:
+            if share <= 0:
+                found = np.arange(len(leaders))
+            else:
+                parts = a.near(k) + (b.near(k) if b is not a else [])
+                found = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.int32)
+            best, score = None, 0.0
+            if len(found):
+                others = [leaders[c] for c in found]
+                x = a.shares(k, others)
+                y = x if b is a else b.shares(k, others)
+                for c, m, p, q in zip(found, others, x, y, strict=True):
+                    r = len(roles[k] & roles[m]) / len(roles[k] | roles[m]) if roles[k] and roles[m] else 0.0
+                    s = round(p * WEIGHTS["anchors"] + q * WEIGHTS["fields"] + r * WEIGHTS["roles"] + (table[k] == table[m]) * WEIGHTS["table"] + (pages[k] == pages[m]) * WEIGHTS["pages"], 3)
+                    if s > score:
+                        best, score = c, s
+            if best is None or score < threshold:
+                best = len(leaders)
+                leaders.append(k)
+                a.lead(k, best)
+                if b is not a:
+                    b.lead(k, best)
+            cluster[k] = best
+        return pa.table({"template_family_id": t.column("template_family_id").cast("string"), "fingerprint_hash": t.column("fingerprint_hash").cast("string"), "cluster": cluster})
+
+    return f.groupBy("template_family_id").applyInArrow(one, "template_family_id string, fingerprint_hash string, cluster int")
 
 
 def rebuilt_family(fingerprints: DataFrame, results: DataFrame) -> DataFrame:

@@ -767,8 +767,10 @@ def anchor_signatures(spark, d):
 
 @query()
 def leader_clusters(spark, d):
+    words = F.array_distinct(F.split(F.lower("text"), " "))
     f = table(spark, d, "documents").select(
-        F.col("source").alias("template_family_id"), F.col("doc_id").cast("string").alias("fingerprint_hash"), F.array("lang").alias("page_roles"), F.slice(F.array_sort(F.array_distinct(F.split(F.lower(F.substring("text", 1, 200)), " "))), 1, 6).alias("field_names"),
-        F.slice(F.array_sort(F.array_distinct(F.split(F.lower(F.substring("text", 1, 400)), " "))), 1, 8).alias("anchor_tokens"), (F.col("doc_id") % 10 / 10).cast("double").alias("confidence"), (F.col("doc_id") % 7).alias("apply_count"), F.col("doc_id").alias("created_at"),
+        F.col("source").alias("template_family_id"), F.col("doc_id").cast("string").alias("fingerprint_hash"), F.array("lang").alias("page_roles"), words.alias("field_names"), words.alias("anchor_tokens"),
+        (F.col("doc_id") % 10 / 10).cast("double").alias("confidence"), (F.col("doc_id") % 7).alias("apply_count"), F.col("doc_id").alias("created_at"),
+        F.contains("text", F.lit("|")).alias("table_enabled"), F.ceil(F.size(F.split("text", " ")) / 400).cast("int").alias("page_count"),
     )
     return lifecycle.split_clusters(f)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 TOKENS = "doc_id long, page_no int, token_seq long, text string, x long, y long, w long, h long, page_w long, page_h long"
 PAGE_FINGERPRINTS = "doc_id string, page_no int, page_count int, visual_hash string, role string, signature struct<header_tokens:array<string>,summary_labels:array<string>,footer_tokens:array<string>,keyword_hits:map<string,array<string>>>"
-FINGERPRINTS = "fingerprint_hash string, template_family_id string, status string, confidence double, apply_count long, reject_count long, gt_apply_count long, gt_reject_count long, gt_confidence double, page_roles array<string>, field_names array<string>, anchor_tokens array<string>, created_at timestamp, version string"
+FINGERPRINTS = "fingerprint_hash string, template_family_id string, status string, confidence double, apply_count long, reject_count long, gt_apply_count long, gt_reject_count long, gt_confidence double, page_roles array<string>, field_names array<string>, anchor_tokens array<string>, created_at timestamp, version string, table_enabled boolean, page_count int"
 FAMILIES = "template_family_id string, provider_name string, country_code string, document_family string, status string, apply_count long, reject_count long, confidence double, gt_apply_count long, gt_reject_count long, gt_confidence double, page_count int, roles array<string>, fields array<string>, tokens array<string>, regions struct<header:array<string>,identity:array<string>,summary:array<string>,footer:array<string>,generic:array<string>>, split_pressure double, profile struct<table_engine:string,table_enabled:boolean,date_order:string,party_labels:array<string>>, field_override_count long, updated_at timestamp"
 RESULTS = "id long, invoice_path string, invoice_name string, processed_at timestamp, route string, attempted_route string, status string, validation_passed boolean, validation_score double, validation_errors array<string>, template_family_id string, fingerprint_hash string, stage_status string, reconciliation_failure boolean, policy_failure boolean, family_match_outcome string, elapsed_ms long, peak_rss_mb double, quality_score double, healing_reprocessed boolean, error string"
 FIELDS = "doc_id string, seq int, field string, value string"

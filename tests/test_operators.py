@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import history, ledger, lifecycle, reconcile, reports, routing, store, truth, validate
+from ledgerloom.plans import catalogue
 
 LINES = "doc_id string, line_no int, description string, quantity string, unit_price string, amount string, net_amount string, gross_amount string, tax_rate string, tax_amount string"
 
@@ -139,6 +140,48 @@ def test_split_signals_and_clusters(spark):
     assert lifecycle.rebuilt_family(f, spark.createDataFrame([], "template_family_id string, validation_passed boolean, route string, validation_score double")).first().representative == "a"
 
 
+def leaders_by_hand(rows, threshold=0.72):
+    """The reference's clustering, every member with every leader."""
+    share = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    leaders, got = {}, {}
+    for r in sorted(rows, key=lambda r: (r.template_family_id, -r.confidence, -r.apply_count, r.created_at, r.fingerprint_hash)):
+        own = {k: {x for x in r[k] or () if x} for k in ("anchor_tokens", "field_names", "page_roles")} | {"t": bool(r.table_enabled), "m": (r.page_count or 0) > 1}
+        best, score = None, 0.0
+        for n, o in enumerate(leaders.setdefault(r.template_family_id, [])):
+            s = round(share(own["anchor_tokens"], o["anchor_tokens"]) * 0.40 + share(own["field_names"], o["field_names"]) * 0.35 + share(own["page_roles"], o["page_roles"]) * 0.15 + 0.05 * (own["t"] == o["t"]) + 0.05 * (own["m"] == o["m"]), 3)
+            if s > score:
+                best, score = n, s
+        if best is None or score < threshold:
+            best = len(leaders[r.template_family_id])
+            leaders[r.template_family_id].append(own)
+        got[r.template_family_id, r.fingerprint_hash] = best
+    return got
+
+
+def test_clusters_as_by_hand(spark):
+    r = random.Random(3)
+    some = lambda base, p: sorted({x for x in base if r.random() < p} | {f"w{r.randint(0, 99)}"})
+    bases = [[f"{k}-{i}" for i in range(r.randint(3, 25))] for k in range(4)]
+    rows = []
+    for k in range(240):
+        a, f = r.choice(bases), r.choice(bases)
+        rows.append(("f" if k % 3 else "g", f"h{k}", r.choice([["x"], ["x", "y"], [], None]), some(f, 0.9), some(a, r.choice([0.7, 0.95])) if k % 17 else [], r.random(), k % 5, k, k % 2 == 0, r.choice([1, 2])))
+    f = spark.createDataFrame(rows, "template_family_id string, fingerprint_hash string, page_roles array<string>, field_names array<string>, anchor_tokens array<string>, confidence double, apply_count int, created_at int, table_enabled boolean, page_count int")
+    for threshold in (0.72, 0.5, 0.2):
+        got = {(x.template_family_id, x.fingerprint_hash): x.cluster for x in lifecycle.split_clusters(f, threshold).collect()}
+        assert got == leaders_by_hand(f.collect(), threshold) and len(set(got.values())) > 2
+    texts = f.withColumn("field_names", F.col("anchor_tokens"))
+    assert {(x.template_family_id, x.fingerprint_hash): x.cluster for x in lifecycle.split_clusters(texts).collect()} == leaders_by_hand(texts.collect())
+
+
+def test_leader_clusters_reads_whole_texts(spark, tmp_path):
+    head = " ".join(f"a{k:02}" for k in range(120))
+    docs = [(k, f"{head} " + " ".join(f"{end}{k:03}" for k in range(400)), "en", "s") for k, end in enumerate(("x", "x", "y"))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.fingerprint_hash: r.cluster for r in catalogue.leader_clusters(spark, str(tmp_path)).collect()}
+    assert got["0"] == got["1"] != got["2"]
+
+
 def test_truth(spark):
     rows = spark.createDataFrame([("d", "Invoice No", "7"), ("d", "TOTAL", "$1,200.50"), ("d", "Amount Due", "9"), ("d", "VAT", "n/a"), ("d", "odd", "x")], "doc_id string, name string, value string")
     got = {r.field: r.annotation for r in truth.upgraded(rows).collect()}
