@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +153,73 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", values: st
     return j.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
+COMMON = 32_768
+"""Words whose frequency orders the sets of ``similar_classes``; any order is right, rare words first is fast."""
+
+
+def _prefixes(common: DataFrame, threshold: float) -> Callable[[Column], Column]:
+    """For an array of hashes (position, hash) of its first size - ceil(threshold * size) + 1, the rarest first."""
+    found = common.toArrow()  # ``COMMON`` rows at most
+    known = found.column("h").to_numpy()
+    order = np.argsort(known)
+    held = common.sparkSession.sparkContext.broadcast((known[order], found.column("n").to_numpy()[order]))
+
+    def cut(sets: pd.Series) -> pd.Series:
+        known, n = held.value
+
+        def one(v):
+            at = np.searchsorted(known, v).clip(max=max(len(known) - 1, 0))
+            count = np.where(known[at] == v, n[at], 0) if len(known) else np.zeros(len(v), dtype=np.int64)
+            return v[np.lexsort((v, count))][: len(v) - int(np.ceil(threshold * len(v) - 1e-9)) + 1]
+
+        return pd.Series([one(np.asarray(v)) for v in sets])
+
+    return F.pandas_udf(cut, "array<long>")
+
+
+def _parities(sets: pd.Series) -> pd.Series:
+    """512 bits of each array of hashes: by how many of them share a place, odd or even."""
+    return pd.Series([np.packbits((np.bincount(np.asarray(v) & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64) for v in sets])
+
+
+def similar_classes(sets: DataFrame, threshold: float, key: str = "id", values: str = "tokens") -> DataFrame:
+    """(id, class_id, links) of every row: the least id with the same set, and how many other rows overlap by the threshold.
+
+    Equal sets are one class, so copies cost a row and not their pairs. Classes meet as in ``similar_pairs``, by the
+    rarest words of each, of which ``COMMON`` have their frequency; what meets and is not too far apart by 512 bits of
+    either is verified on the words themselves.
+    Rows without a value have no class and no links. Ids are unique.
+    """
+    from ledgerloom.llm.shared import written
+
+    each = sets.select(F.col(key).alias("id"), F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))).alias("v"))
+    some = each.where(F.size("v") > 0)
+    counts = some.select(F.explode("v").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.orderBy(F.desc("n"), "t").limit(COMMON).groupBy(F.xxhash64("t").alias("h")).agg(F.max("n").alias("n"))
+    cut = _prefixes(common, threshold)
+    hashes = F.array_distinct(F.transform("v", lambda t: F.xxhash64(t)))
+    marked = written(some.select("id", F.sha2(F.to_json(F.array_sort("v")), 256).alias("d"), F.size("v").alias("size"), hashes.alias("h")).withColumns({"p": cut(F.col("h")), "bits": F.pandas_udf(_parities, "array<long>")("h")}).drop("h"), "prefixes")
+    classes = written(marked.groupBy("d").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    first = marked.join(classes.select(F.col("class_id").alias("id")), "id").select("id", "size", F.posexplode("p").alias("at", "h"))
+    side = lambda p: first.select("h", F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("at").alias(f"{p}_at"))
+    rest = lambda p: F.col(f"{p}_size") - F.col(f"{p}_at")
+    enough = F.least(rest("left"), rest("right")) >= F.lit(threshold / (1 + threshold)) * (F.col("left_size") + F.col("right_size")) - 1e-6
+    met = side("left").join(side("right"), "h").where("left_id < right_id").where(enough).select("left_id", "right_id").distinct()
+    bits = marked.select("id", "bits", "size")
+    apart = F.aggregate(F.zip_with("lb", "rb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)  # at most the words that only one has
+    may = apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("ls") + F.col("rs")) + 1e-6
+    met = written(met.join(bits.toDF("left_id", "lb", "ls"), "left_id").join(bits.toDF("right_id", "rb", "rs"), "right_id").where(may).select("left_id", "right_id"), "met")
+    seen = met.select(F.col("left_id").alias("id")).unionByName(met.select(F.col("right_id").alias("id"))).distinct()
+    texts = some.join(seen, "id")
+    j = met.join(texts.toDF("left_id", "lv"), "left_id").join(texts.toDF("right_id", "rv"), "right_id")
+    linked = written(j.where(jaccard(F.col("lv"), F.col("rv")) >= threshold).select("left_id", "right_id"), "linked")
+    n = classes.select(F.col("class_id").alias("other"), "n")
+    both = linked.toDF("class_id", "other").unionByName(linked.toDF("other", "class_id"))
+    more = both.join(n, "other").groupBy("class_id").agg(F.sum("n").alias("more"))
+    of = marked.select("id", "d").join(classes, "d").join(more, "class_id", "left").select("id", "class_id", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return of.unionByName(each.where(F.size("v") == 0).select("id", F.lit(None).cast(of.schema["class_id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
 def merge_similarity(a: Column, b: Column) -> Column:
     """How alike two families are: regions, roles, fields, and provider, country, kind and page count."""
     same = lambda k, w: F.when(a[k].eqNullSafe(b[k]), w).otherwise(0.0)

@@ -774,3 +774,10 @@ def leader_clusters(spark, d):
         F.contains("text", F.lit("|")).alias("table_enabled"), F.ceil(F.size(F.split("text", " ")) / 400).cast("int").alias("page_count"),
     )
     return lifecycle.split_clusters(f)
+
+
+@query()
+def jaccard_links(spark, d):
+    """``jaccard_pairs`` over all words of whole texts: each document's class of equal word sets and its number of links."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    return routing.similar_classes(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.8)

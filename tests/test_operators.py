@@ -182,6 +182,19 @@ def test_leader_clusters_reads_whole_texts(spark, tmp_path):
     assert got["0"] == got["1"] != got["2"]
 
 
+def test_jaccard_links_as_by_hand(spark, tmp_path):
+    r = random.Random(5)
+    bases = [[f"{k}w{i}" for i in range(r.randint(1, 40))] + ["the", "of", "and"] for k in range(8)]
+    texts = [" ".join(sorted(x for x in r.choice(bases) if r.random() < r.choice([0.9, 0.97, 1.0]))) for _ in range(300)] + ["", None, "  ", "a", "A"]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {k: frozenset((t or "").lower().split()) for k, t in docs}
+    near = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8
+    want = {k: (min((j for j, b in sets.items() if b == a), default=None) if a else None, sum(near(a, b) for j, b in sets.items() if j != k)) for k, a in sets.items()}
+    assert {x.id: (x.class_id, x.links) for x in catalogue.jaccard_links(spark, str(tmp_path)).collect()} == want
+    assert sum(n for _, n in want.values()) > 500
+
+
 def test_truth(spark):
     rows = spark.createDataFrame([("d", "Invoice No", "7"), ("d", "TOTAL", "$1,200.50"), ("d", "Amount Due", "9"), ("d", "VAT", "n/a"), ("d", "odd", "x")], "doc_id string, name string, value string")
     got = {r.field: r.annotation for r in truth.upgraded(rows).collect()}
