@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,3 +291,45 @@ def anchor_signatures(tokens: DataFrame) -> DataFrame:
     role = F.when(is_summary, "summary_page").when(F.col("page_no") == 0, "header_page").otherwise("line_item_page")
     hits = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), top_values(F.col(f"k_{k}"), 10).alias("value")) for k in keywords]), lambda e: F.size(e["value"]) > 0))
     return page.select("doc_id", "page_no", role.alias("page_role"), top_values(F.col("h"), 15).alias("header_tokens"), top_values(F.col("k_summary"), 10).alias("summary_labels"), top_values(F.col("f"), 10).alias("footer_tokens"), hits.alias("keyword_hits"))
+
+
+def nearest_hashes(queries: DataFrame, rows: DataFrame, block: int = 2048) -> DataFrame:
+    """(doc_id, fingerprint_hash, total_distance): the hash nearest to each query's among the rows of other ids, of equally near ones the least.
+
+    ``queries`` and ``rows``: doc_id, visual_hash of 16 hexadecimal digits. Queries are cut into blocks that meet the
+    distinct hashes of all rows in blocks; a pair of blocks yields the nearest different hash of each query. An equal
+    hash counts where another row has it. Rows without a hash are left out.
+    """
+    high = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    low = lambda h: F.conv(F.substring(h, 9, 8), 16, 10).cast("long")
+    number = lambda h: F.shiftleft(high(h), 32).bitwiseOR(low(h))
+    # Equal hashes are one query and one row; blocks are dealt by hash, about ``block`` rows each.
+    cased = lambda df: df.where("visual_hash IS NOT NULL").select("doc_id", F.lower("visual_hash").alias("h"))
+    q, r = cased(queries), cased(rows).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    hashes = q.select("h").distinct()
+
+    def dealt(df: DataFrame, size: int, name: str) -> DataFrame:
+        parts = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64("h"), F.lit(parts)).alias(f"{name}_block")).agg(F.collect_list(number(F.col("h"))).alias(name))
+
+    pairs = dealt(hashes, block, "q").crossJoin(dealt(r, 8 * block, "r"))
+
+    def best(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, other = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (0, 1))
+                other = np.sort(other)  # so that the first of equally near ones is the least
+                at, far = np.empty(len(own), dtype=np.int64), np.empty(len(own), dtype=np.int32)
+                for a in range(0, len(own), 64):
+                    bits = np.bitwise_count(own[a : a + 64, None] ^ other[None, :])
+                    bits[bits == 0] = 65
+                    at[a : a + 64] = bits.argmin(1)
+                    far[a : a + 64] = bits.min(1)
+                text = lambda x: [f"{int(v):016x}" for v in x]
+                yield pa.RecordBatch.from_arrays([pa.array(text(own)), pa.array(text(other[at])), pa.array(far)], ["h", "f", "n"])
+
+    found = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, "q_block", "r_block").select("q", "r").mapInArrow(best, "h string, f string, n int")
+    nearest = found.where("n <= 64").groupBy("h").agg(F.min(F.struct("n", "f")).alias("b"))
+    copy = (F.col("lo") != F.col("doc_id")) | (F.col("hi") != F.col("doc_id"))
+    j = q.join(nearest, "h", "left").join(r, "h", "left").withColumn("b", F.when(copy, F.struct(F.lit(0).alias("n"), F.col("h").alias("f"))).otherwise(F.col("b")))
+    return j.where("b IS NOT NULL").select("doc_id", F.col("b.f").alias("fingerprint_hash"), F.col("b.n").cast("long").alias("total_distance"))

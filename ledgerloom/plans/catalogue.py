@@ -781,3 +781,10 @@ def jaccard_links(spark, d):
     """``jaccard_pairs`` over all words of whole texts: each document's class of equal word sets and its number of links."""
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
     return routing.similar_classes(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.8)
+
+
+@query()
+def hamming_nearest_all(spark, d):
+    """``hamming_nearest`` over all rows: the documents of ids divisible by 20 are the queries, each held against every other document."""
+    h = table(spark, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"))
+    return routing.nearest_hashes(h.where("doc_id % 20 = 0"), h)

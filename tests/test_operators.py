@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -195,6 +196,17 @@ def test_jaccard_links_as_by_hand(spark, tmp_path):
     assert sum(n for _, n in want.values()) > 500
 
 
+def test_hamming_nearest_all_as_by_hand(spark, tmp_path):
+    texts = [f"text {k % 97 if k % 3 else k} " + "x" * (k % 11) for k in range(900)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    h = {k: hashlib.md5(t.encode()).hexdigest()[:16] for k, t in enumerate(texts) if t is not None}
+    far = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {k: min((far(x, y), y) for j, y in h.items() if j != k) for k, x in h.items() if k % 20 == 0}
+    assert {r.doc_id: (r.total_distance, r.fingerprint_hash) for r in catalogue.hamming_nearest_all(spark, str(tmp_path)).collect()} == want
+    q = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"))
+    assert {r.doc_id: (r.total_distance, r.fingerprint_hash) for r in routing.nearest_hashes(q.where("doc_id % 20 = 0"), q, block=8).collect()} == want
+
+
 def test_truth(spark):
     rows = spark.createDataFrame([("d", "Invoice No", "7"), ("d", "TOTAL", "$1,200.50"), ("d", "Amount Due", "9"), ("d", "VAT", "n/a"), ("d", "odd", "x")], "doc_id string, name string, value string")
     got = {r.field: r.annotation for r in truth.upgraded(rows).collect()}
