@@ -788,3 +788,12 @@ def hamming_nearest_all(spark, d):
     """``hamming_nearest`` over all rows: the documents of ids divisible by 20 are the queries, each held against every other document."""
     h = table(spark, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"))
     return routing.nearest_hashes(h.where("doc_id % 20 = 0"), h)
+
+
+@query(ORACLE_SQL["weighted_confidence_rollup"].replace("WHERE r.id % 4 = 0", "WHERE o.o_custkey % 4 <> 3"))
+def weighted_confidence_rollup_all(spark, d):
+    """``weighted_confidence_rollup`` over all results of a family; every fourth family is one that has none."""
+    o = table(spark, d, "orders")
+    f = o.select(F.col("o_custkey").alias("template_family_id"), (F.col("o_orderstatus") == "F").cast("int").alias("apply_count"), (F.col("o_orderstatus") == "P").cast("int").alias("reject_count"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"))
+    r = results(spark, d).drop("template_family_id").join(o.where("o_custkey % 4 != 3").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
+    return reports.family_rollup(f, r)

@@ -43,6 +43,15 @@ def test_query(spark, duck, name):
     assert got == sorted(repr(tuple(plain(row[named.index(c)]) for c in cols)) for row in r.fetchall())
 
 
+def test_rollup_of_all_results(spark):
+    kept = catalogue.results(spark, SF).drop("template_family_id").join(catalogue.table(spark, SF, "orders").selectExpr("o_orderkey AS id", "o_custkey AS template_family_id"), "id")
+    want = {r.template_family_id: r.n for r in kept.where("template_family_id % 4 != 3 AND validation_passed").groupBy("template_family_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup_all(spark, SF).collect()}
+    assert want and all(got[k] >= n for k, n in want.items())
+    cut = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup(spark, SF).collect()}
+    assert any(cut[k] < n for k, n in want.items())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
