@@ -34,9 +34,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is in the packed sequences."""
-    packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
-    return packed.select("doc_id", "piece", "start", "length", packing.ids_crc32(F.col("ids"), packing.id_width(tokenizer_path("byte_bpe_50k.json"))).alias("ids_crc32"), "sequence_id", "offset")
+    """Where each piece of each document is in the packed sequences, which are numbered in the order of the mixture."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    pieces = written(packing.tokenized(packing.in_place(docs.select("doc_id", "text")), path, 0, 2048, place="place"), "pieces", "zstd")
+    slim = pieces.select("doc_id", "piece", "start", "length", "place", packing.ids_crc32(F.col("ids"), packing.id_width(path)).alias("ids_crc32"))
+    return packing.pack_in_order(slim, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]

@@ -9,6 +9,9 @@ size serves all documents: no grouping loses fill, and nothing but the histogram
 Pieces then find their places: each gets a rank among those of its length, in parts of a length of bounded size
 (a common length is salted over many), and the plan maps (length, rank) to a sequence and an offset.
 
+``pack_in_order`` keeps the order in which documents come: pieces of one length are ranked by it, and sequences are
+numbered by the first of their pieces in it. Which lengths share a sequence is the plan's either way.
+
 Cases: null text is empty and has only the end id; texts of any length are packed whole; repeated rows are packed
 each; a null id is carried along; an empty table gives an empty result; other columns are not read.
 """
@@ -16,10 +19,12 @@ each; a null id is carried along; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,35 +35,38 @@ SLICE_ROWS = 500
 """Texts of an Arrow batch that are Python strings at once."""
 PART_ROWS = 4096
 """Rows of one length that are ranked together, on average."""
+PLACE_BITS = 16
+"""Documents in order are ranked together by so many: 65,536 places of a file at most."""
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids) of every document's pieces; only the first may be shorter. ``ids`` are little-endian, of the vocabulary's ``id_width``."""
+def tokenized(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids) of every document's pieces, and its long column ``place`` if named; only the first may be shorter. ``ids`` are little-endian, of the vocabulary's ``id_width``."""
+    extra = [] if place is None else [place]
 
     def cut(batches):
         known = chunks(path)
         end, size = np.array([end_id], dtype=known.width).tobytes(), known.width.itemsize
-        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
+        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), *[(c, pa.int64()) for c in extra]]
 
         def made(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, max(1, b.num_rows), SLICE_ROWS)):
             rows, held = [], 0
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, t, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = known.raw(t) + end
                 n = len(raw) // size
                 first = (n - 1) % capacity + 1
                 for piece, at in enumerate([0, *range(first, n, capacity)]):
                     to = first if at == 0 else at + capacity
-                    rows.append((d, piece, at, to - at, raw[at * size : to * size]))
+                    rows.append((d, piece, at, to - at, raw[at * size : to * size], *more))
                 held += n
                 if held > 1_000_000:
                     yield made(rows)
                     rows, held = [], 0
             yield made(rows)
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), text, *extra).mapInArrow(cut, ", ".join(["doc_id long, piece int, start long, length long, ids binary", *[f"{c} long" for c in extra]]))
 
 
 def fullest(room: int, left: dict[int, int]) -> list[tuple[int, int]]:
@@ -124,8 +132,8 @@ def placed(length: np.ndarray, rank: np.ndarray, table: tuple[np.ndarray, ...])
     return sequence[at] + own // copies[at], offset[at] + own % copies[at] * length
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others, written) with sequence_id and offset."""
+def _placed(pieces: DataFrame, capacity: int, part: Callable[[F.Column], F.Column], *order: str) -> DataFrame:
+    """``pieces`` with sequence_id and offset; ranks among a length are by part, given its count, and then by ``order``."""
     spark = pieces.sparkSession
     sizes = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("__n"))
     histogram = {r["length"]: r["__n"] for r in sizes.collect()}  # a row for each length, ``capacity`` at most
@@ -134,11 +142,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     table = spark.sparkContext.broadcast(lookup(plan(histogram, capacity)))
 
     counts = spark.createDataFrame(list(histogram.items()), "length long, __n long")
-    parted = pieces.join(F.broadcast(counts), "length").withColumn("__part", salted(F.col("__n"), PART_ROWS, "doc_id", "piece"))
+    parted = pieces.join(F.broadcast(counts), "length").withColumn("__part", part(F.col("__n")))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parted.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__k"))
     starts = parts.withColumn("__start", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
-    own = Window.partitionBy("length", "__part").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "__part").orderBy(*order)
     ranked = parted.join(starts, ["length", "__part"]).withColumn("__rank", F.col("__start") + F.row_number().over(own) - 1)
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -149,6 +157,36 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.withColumn("__at", at).select(*pieces.columns, "__at.sequence_id", "__at.offset")
 
 
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` (doc_id, piece, length and any others, written) with sequence_id and offset."""
+    return _placed(pieces, capacity, lambda n: salted(n, PART_ROWS, "doc_id", "piece"), "doc_id", "piece")
+
+
+def pack_in_order(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` (place, piece, length and any others, written) with sequence_id and offset, in the order of their places."""
+    found = written(_placed(pieces, capacity, lambda n: F.shiftright("place", PLACE_BITS), "place", "piece"), "placed")
+    lead = found.groupBy("sequence_id").agg(F.min(F.struct("place", "piece")).alias("__lead")).withColumn("__part", F.shiftright("__lead.place", PLACE_BITS))
+    parts = lead.groupBy("__part").agg(F.count(F.lit(1)).alias("__k"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = parts.withColumn("__start", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
+    own = Window.partitionBy("__part").orderBy("__lead")
+    numbered = lead.join(starts, "__part").select("sequence_id", (F.col("__start") + F.row_number().over(own) - 1).alias("__new"))
+    return found.join(numbered, "sequence_id").select(*pieces.columns, F.col("__new").alias("sequence_id"), "offset")
+
+
+def in_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with a long column place: by file, in the order of names, and row where they are read from files, else by partition and row."""
+    try:
+        files = [r[0] for r in docs.select("_metadata.file_path").distinct().collect()]  # a row a written file
+    except AnalysisException:
+        return docs.withColumn("place", F.monotonically_increasing_id())
+    if not files:
+        return docs.withColumn("place", F.lit(0).cast("long"))
+    numbers = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(sorted(files))], "__file string, __no long")
+    at = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return at.join(F.broadcast(numbers), "__file").withColumn("place", F.shiftleft("__no", 40) + F.col("__row")).drop("__file", "__no", "__row")
+
+
 def id_width(path: str) -> int:
     """Bytes of an id in ``ids``: 2, or 4 for a vocabulary of more than 65,536."""
     return chunks(path).width.itemsize

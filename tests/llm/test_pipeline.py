@@ -2,7 +2,7 @@
 import numpy as np
 
 import corpus_pipeline
-from ledgerloom.llm import langid, queries, quality, simhash
+from ledgerloom.llm import langid, mixing, packing, queries, quality, simhash
 from tests.llm.test_simhash import groups
 from tests.llm.test_tokens import BYTE, CHUNKS, check_packing  # noqa: F401
 
@@ -43,3 +43,31 @@ def test_stages_on_nothing(spark, empty, tmp_path):
         assert stage(spark, empty, str(tmp_path)).collect() == []
 
 
+def test_mixture_takes_effect(spark, docs, tmp_path, monkeypatch):
+    docs.where("doc_id < 90").write.parquet(f"{tmp_path}/documents.parquet")
+    stages = corpus_pipeline.STAGES
+    found = []
+    for weights in ({"big": 9.0}, {"big": 1.0}):
+        full = {s: weights.get(s, 1.0) for s in ("big", *(f"s{k}" for k in range(5)))}
+        mix = lambda s, d, sf, w=full: mixing.mixed(d, block_rows=2, weights=w)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, mix if n == "mix_sources" else f) for n, f in stages])
+        found.append({(r.doc_id, r.piece, r.length): (r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()})
+    assert found[0].keys() == found[1].keys() and found[0] != found[1]
+
+
+def test_sequences_follow_the_order(spark, tmp_path):
+    rows = [(997 * k % 1000, f"{k} {'word ' * (k % 50 * 3)}") for k in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    pieces = packing.tokenized(packing.in_place(docs), corpus_pipeline.tokenizer_path("byte_bpe_50k.json"), 0, 256, place="place").cache()
+    got = packing.pack_in_order(pieces, 256).collect()
+    check = {}
+    for r in got:
+        check.setdefault(r.sequence_id, []).append(r)
+    first = [min((r.place, r.piece) for r in check[k]) for k in range(len(check))]
+    assert first == sorted(first) and len({r.place for r in got}) == 1000
+    for rs in check.values():
+        assert sum(r.length for r in rs) <= 256 and [r.offset for r in sorted(rs, key=lambda r: r.offset)] == np.cumsum([0] + [r.length for r in sorted(rs, key=lambda r: r.offset)])[:-1].tolist()
+    names = sorted({r[0] for r in docs.select("_metadata.file_path").collect()})
+    order = {r[0]: (names.index(r[1]), r[2]) for r in docs.select("doc_id", "_metadata.file_path", "_metadata.row_index").collect()}
+    assert sorted(order, key=order.get) == [d for _, d in sorted({(r.place, r.doc_id) for r in got})]
