@@ -797,3 +797,21 @@ def weighted_confidence_rollup_all(spark, d):
     f = o.select(F.col("o_custkey").alias("template_family_id"), (F.col("o_orderstatus") == "F").cast("int").alias("apply_count"), (F.col("o_orderstatus") == "P").cast("int").alias("reject_count"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"))
     r = results(spark, d).drop("template_family_id").join(o.where("o_custkey % 4 != 3").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
     return reports.family_rollup(f, r)
+
+
+@query(ORACLE_SQL["anchor_keyword_sets"].replace("WHERE n <= 4", "WHERE n <= 20"))
+def anchor_keyword_sets_all(spark, d):
+    """``anchor_keyword_sets`` with the operator's production limit of 20."""
+    w = F.filter(F.split(F.lower("text"), " "), lambda x: x.isin(*TERMS))
+    hits = table(spark, d, "documents").select(F.col("source").alias("group"), F.create_map(F.lit("words"), F.array_distinct(w)).alias("keyword_hits"))
+    return reports.keyword_union(hits).select("group", "key", F.array_join("values", ",").alias("values"))
+
+
+@query(ORACLE_SQL["page_header_tokens"].replace("length(a) > 12", "length(a) > 0").replace("long_header", "header"))
+def page_header_tokens_all(spark, d):
+    """``page_header_tokens`` with header words of any length."""
+    a = tx.anchor(F.col("text"))
+    top = sets.region_of(F.col("y"), F.col("h"), F.col("page_h")) == "header"
+    first = F.when(top & (a != "") & ~a.rlike("^[0-9]+$"), a)
+    found = tokens(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.sort_array(F.collect_set(first)), ",").alias("header"))
+    return found.withColumn("header", F.nullif("header", F.lit("")))

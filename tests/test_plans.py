@@ -52,6 +52,13 @@ def test_rollup_of_all_results(spark):
     assert any(cut[k] < n for k, n in want.items())
 
 
+def test_keywords_and_header_words_are_whole(spark):
+    got = {r.group: r["values"].split(",") for r in catalogue.anchor_keyword_sets_all(spark, SF).collect()}
+    words = catalogue.table(spark, SF, "documents").select("source", F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.col("w").isin(*catalogue.TERMS)).distinct().collect()
+    assert got == {g: sorted(r.w for r in words if r.source == g) for g in {r.source for r in words}} and max(map(len, got.values())) > 4
+    assert any(len(w) <= 12 for r in catalogue.page_header_tokens_all(spark, SF).limit(20).collect() for w in (r.header or "x" * 13).split(","))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
