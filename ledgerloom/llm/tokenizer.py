@@ -5,7 +5,8 @@ are the ids of its chunks, one after the other; the tests hold that against whol
 of a vocabulary hold no space and so stay in one chunk, where the library finds them.
 
 The word vocabulary drops white space, so its chunks are the runs between white space. In the byte vocabulary the space belongs
-to the token after it, so a chunk is a run of white space with the run of other characters that follows.
+to the token after it, so a chunk is a run of white space with the run of other characters that follows. Its Latin texts need
+no cache: a coder by rank, proven equal to the library when it is loaded, takes them whole; other chunks go to the library.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import threading
 import time
 import weakref
 from array import array
+from itertools import groupby
 
 import numpy as np
 
@@ -29,17 +31,27 @@ CACHE_CHARS = 64
 IDLE_SECONDS = 3.0
 """A worker's caches last from task to task, and go when it has not used them for so long: its memory is then for other stages."""
 
-_PLAIN = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)").fullmatch
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)").fullmatch
+_LETTERS, _GAP = "[!-;=-~À-ÖØ-öø-ÿ]", "[\n ]"
+_LATIN = re.compile(f"{_GAP}{{0,500}}+(?:{_LETTERS}{{1,500}}+{_GAP}{{1,500}}+)*+{_LETTERS}{{0,500}}+").fullmatch
+"""Texts of Latin letters, marks, spaces and line ends whose runs are of at most 500 characters (what codes by rank takes time in their square)."""
+#: How byte-level vocabularies of this kind split a text.
+_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBES = ["the", "The", "THE,", "été.", "ÉTÉ", "Straße,", "zß", "a", "I.", "nonconformidades", "ñandú", "øre", "þing.", "ÿ,", "und&&&", "a_b", "x_", "the...", "of***."]
 
 _chunkers: dict[str, Chunks] = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies spell each character below 256: its UTF-8 bytes, each as a printable character."""
+def byte_spelling() -> dict[int, str]:
+    """How byte-level vocabularies spell each byte: as a printable character."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = dict(zip(shown, map(chr, shown), strict=True))
-    spelled |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in spelled)}
+    return spelled | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in spelled)}
+
+
+def byte_letters() -> dict[int, str]:
+    """The same for each character below 256: its UTF-8 bytes, spelled."""
+    spelled = byte_spelling()
     return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
 
 
@@ -94,9 +106,11 @@ class Chunks(Generations):
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = next(c for c in "HIL" if array(c).itemsize == self.width.itemsize)
         self.marks: dict[str, bytes] = {}
-        probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES), *(f"\n{x}" for x in _PROBES)]
-        self.plain = True
-        self.plain = sys.byteorder == "little" and all(self.encoded(x) == self.by_library(x) for x in probes)
+        self.ranked = rank_coder(self.tokenizer, described)
+        probes = _PROBES if self.drops_space else [*_PROBES, *(f" {x}" for x in _PROBES), *(f"\n {x}" for x in _PROBES)]
+        self.plain = self.drops_space or self.ranked is not None
+        self.plain = self.plain and sys.byteorder == "little"
+        self.plain = self.plain and all(self.raw(x) == self.by_library(x) for x in probes)
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text."""
@@ -111,22 +125,25 @@ class Chunks(Generations):
 
     def encoded(self, chunk: str) -> bytes:
         """A chunk's ids. A word of Latin letters, with marks after it at most, goes to the library's model at once: there is nothing to normalize or split."""
-        if not (self.plain and (found := _PLAIN(chunk))):
+        if self.ranked is not None or not (self.plain and (found := _PLAIN(chunk))):
             return self.by_library(chunk)
-        line, space, word, mark = found.groups()
-        own = space + (word.lower() if self.drops_space else word)
-        ids = None if own == chunk else self.get(own) or self.old.get(own)
+        word, mark = found.groups()
+        own = word.lower()
+        if own == chunk:
+            return self.word(own)
+        ids = self.get(own) or self.old.get(own)
         if ids is None:
-            spelled = own if own.isascii() and not space else own.translate(self.letters)
-            ids = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if own != chunk and len(own) <= CACHE_CHARS:
+            ids = self.word(own)
+            if len(own) <= CACHE_CHARS:
                 self[own] = ids
-        if mark:
-            ids += self.mark(mark)
-        return self.mark(line) + ids if line and not self.drops_space else ids
+        return ids + self.mark(mark) if mark else ids
+
+    def word(self, own: str) -> bytes:
+        """The ids of a word of small Latin letters, by the library's model at once."""
+        return array(self.code, [t.id for t in self.model.tokenize(own if own.isascii() else own.translate(self.letters))]).tobytes()
 
     def mark(self, run: str) -> bytes:
-        """The ids of a run of marks, or of a line's end, which no letter beside it changes."""
+        """The ids of a run of marks, which no letter beside it changes."""
         if run not in self.marks:
             if len(self.marks) >= 10_000:
                 self.marks.clear()
@@ -146,13 +163,49 @@ class Chunks(Generations):
     def raw(self, text: str | None) -> bytes:
         """The ids of a whole text, without special tokens added, as ``width`` has them; of null: none."""
         self.used = time.monotonic()
-        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        if self.ranked is None or not self.plain:
+            return b"".join(map(self.__getitem__, self.split(text)))
+        if _LATIN(text):
+            return self.by_rank(text)
+        parts = groupby(self.split(text), lambda chunk: _LATIN(chunk) is not None)
+        return b"".join(self.by_rank("".join(run)) if latin else b"".join(map(self.__getitem__, run)) for latin, run in parts)
+
+    def by_rank(self, text: str) -> bytes:
+        return array(self.code, self.ranked(text)).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         """The same as an array."""
         return np.frombuffer(self.raw(text), dtype=self.width)
 
 
+def rank_coder(tokenizer, described: dict):
+    """Texts of ``_LATIN`` to ids by merging the pair that spells the token of least id, or None where the library does otherwise.
+
+    The library merges the pair that its list of merges names first. Both agree on every word if ids follow the list
+    of merges and each token alone is one token to the library: a pair that spells a token without being its merge
+    would leave that token, alone, as two. Strings that the library takes for special tokens hold a "<", and so are no Latin text.
+    """
+    model, splits = described["model"], described["pre_tokenizer"] or {}
+    vocab, byte = model["vocab"], {c: b for b, c in byte_spelling().items()}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if (
+        described["normalizer"] is not None
+        or (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex")) != ("ByteLevel", False, True)
+        or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        or merged != list(range(len(vocab) - len(merged), len(vocab)))
+        or any(c not in byte for t in vocab for c in t)
+        or any("<" not in t["content"] for t in described["added_tokens"])
+        or any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in vocab.items())
+    ):
+        return None
+    from tiktoken import Encoding
+
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+    return Encoding("ranks", pat_str=_BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 _spaced = re.compile(r"\s*\S+|\s+").findall
 _unspaced = re.compile(r"[^ \t\n\r]+").findall
 
