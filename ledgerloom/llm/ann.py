@@ -14,8 +14,8 @@ number of candidates is capped. A block yields the nearest of each query, and th
 Exact products are sums over components, in order, in double precision.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do null ids;
-only vectors of equal dimension are compared; rows that share a query's id are not its neighbours; other repeated rows are
-each a neighbour; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
+only vectors of equal dimension are compared; rows that share a query's id are not its neighbours, by decision, as a
+row is told by its id; query rows of one id have one list of k between them; other repeated rows are each a neighbour; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

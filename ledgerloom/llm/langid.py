@@ -16,12 +16,11 @@ out and never learned from; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
@@ -146,16 +145,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     length = F.length(text)
     starts = [1 + F.floor(F.pmod(F.xxhash64(F.lit(seed + 1 + k), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.greatest(length - WINDOW, F.lit(0))).cast("int") for k in range(windows_each)]
     pieces = F.array_distinct(F.array(*[F.substring(F.col(text), s, F.lit(WINDOW)) for s in starts]))
-    chosen = usable.where(dice < share).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), pieces.alias("pieces")).collect()
+    own = F.crc32(F.col(id_col).cast("string")).alias("dice")
+    likely = usable.where(dice < share).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), own, pieces.alias("pieces"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "pieces"))  # an id may be that of many rows
+    chosen = likely.withColumn("n", rank).where(F.col("n") <= per_language).drop("n").collect()
     languages = sorted(r["lang"] for r in counts)
-    taken = dict.fromkeys(languages, 0)
     windows, labels = [], []
-    for r in sorted(chosen, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["pieces"])):
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            for piece in r["pieces"]:
-                windows.append(cut(piece.encode())[0])
-                labels.append(languages.index(r["lang"]))
+    for r in sorted(chosen, key=lambda r: (r["dice"], r["id"], r["pieces"])):
+        for piece in r["pieces"]:
+            windows.append(cut(piece.encode())[0])
+            labels.append(languages.index(r["lang"]))
     return train(np.array(windows), np.array(labels), languages, seed=seed)
 
 

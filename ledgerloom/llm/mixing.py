@@ -7,14 +7,17 @@ in any prefix a source is less than one block from its share. The schedule repea
 laid out and the slot of any block follows by arithmetic. When a source runs out, a new phase starts in which the
 others share the slots by the same integer shares. Every document keeps its place: none is dropped or repeated.
 
-A document's place in its source is by the hash of its id. It is found without gathering a source: a source is cut
-into chunks by the leading bits of the hash, about ``CHUNK_ROWS`` rows each, whose counts are summed up to starting
-ranks, and rows are ranked within a chunk. All of this is DataFrame functions; what the driver holds is a row a
+A document's place in its source is by the hash of its id and of the row that it is read from, so that the rows of one
+id spread like any others and no two share a place, also when a task runs again. It is found without gathering a source: a
+source is cut into chunks by the leading bits of the hash, about ``CHUNK_ROWS`` rows each, whose counts are summed up to
+starting ranks, and rows are ranked within a chunk. Rows that do not come straight from files are written first. All of this is DataFrame functions; what the driver holds is a row a
 source (``MAX_SOURCES`` at most) and the periods.
 
-Cases: rows without a source make one source of their own; a source's last block may be short; repeated rows take
-neighbouring places, in any order among equals; null ids count as one id; an empty table gives an empty
-result; other columns are carried along, but for those of an added column's name, which it replaces.
+Shares are whole slots of a period, one at least, so weights are met as rounded to them: by up to half a slot in
+``period`` for most sources, and more for one that is due less than a slot.
+
+Cases: rows without a source make one source of their own; a source's last block may be short; repeated rows and rows
+without an id are placed each, anywhere in their source; an empty table gives an empty result; other columns are carried along, but for those of an added column's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from math import gcd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import log2_ceil, written
+from ledgerloom.llm.shared import in_rows, log2_ceil, written
 
 CHUNK_ROWS = 4096
 MAX_SOURCES = 1000
@@ -98,9 +101,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_r
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
     names = docs.columns
-    own = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    own = in_rows(docs.toDF(*[f"c{k}" for k in range(len(names))]), "unmixed")  # whatever the columns are called
     id_col, source = f"c{names.index(id_col)}", f"c{names.index(source)}"
-    hashed = own.withColumns({"__s": F.col(source).cast("string"), "__h": F.xxhash64(F.lit(0), F.col(id_col))})
+    hashed = own.withColumns({"__s": F.col(source).cast("string"), "__h": F.xxhash64(F.lit(0), F.col(id_col), F.col("__row"))})
     plan = F.broadcast(table.select(F.col("s").alias("__t"), F.col("k").alias("__k"), F.col("bits").alias("__bits")))
     chunked = hashed.join(plan, F.col("__s").eqNullSafe(F.col("__t"))).withColumn("__c", F.expr("if(__bits = 0, 0L, shiftrightunsigned(__h, 64 - __bits))"))
 
@@ -108,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", block_r
     before = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(sizes.select("__k", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__start")), "chunk-starts")
 
-    within = Window.partitionBy("__k", "__c").orderBy("__h", F.col(id_col))
+    within = Window.partitionBy("__k", "__c").orderBy("__h", F.col(id_col), "__file")
     ranked = chunked.join(starts, ["__k", "__c"]).withColumn("__r", F.col("__start") + F.row_number().over(within) - 1)
     timed = F.broadcast(table.select(F.col("k").alias("__k"), F.col("phases").alias("__p")))
     block = F.expr(f"__r div {int(block_rows)}")

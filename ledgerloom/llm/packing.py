@@ -13,7 +13,8 @@ Pieces then find their places: each gets a rank among those of its length, in pa
 numbered by the first of their pieces in it. Which lengths share a sequence is the plan's either way.
 
 Cases: null text is empty and has only the end id; texts of any length are packed whole; repeated rows are packed
-each; a null id is carried along; an empty table gives an empty result; other columns are not read.
+each, and those of one id spread like any others; a null id is carried along; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import salted, written
+from ledgerloom.llm.shared import in_rows, salted, written
 from ledgerloom.llm.tokenizer import chunks
 
 SLICE_ROWS = 500
 """Texts of an Arrow batch that are Python strings at once."""
-PART_ROWS = 4096
+PART_ROWS = 1024
 """Rows of one length that are ranked together, on average."""
 PLACE_BITS = 16
 """Documents in order are ranked together by so many: 65,536 places of a file at most."""
@@ -158,8 +159,14 @@ def _placed(pieces: DataFrame, capacity: int, part: Callable[[F.Column], F.Colum
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others, written) with sequence_id and offset."""
-    return _placed(pieces, capacity, lambda n: salted(n, PART_ROWS, "doc_id", "piece"), "doc_id", "piece")
+    """``pieces`` (doc_id, piece, length and any others, written) with sequence_id and offset.
+
+    Rows of one id and piece are told apart by where they are in the written table: they spread over the parts of their
+    length, and a task that runs again ranks them the same.
+    """
+    own = in_rows(pieces, "pieces")
+    found = _placed(own, capacity, lambda n: salted(n, PART_ROWS, "doc_id", "piece", "__row"), "doc_id", "piece", "__row", "__file")
+    return found.drop("__row", "__file")
 
 
 def pack_in_order(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -3,17 +3,19 @@
 All in DataFrame functions: one pass over the text, no shuffle, nothing outside the JVM.
 
 A line with a word fails by
-* punctuation: more than ``SYMBOL_PERCENT`` of its word characters are of ``# * $ % & | < >``, or it holds no mark
-  that ends a sentence;
+* punctuation: more than ``SYMBOL_PERCENT`` of its word characters are of ``# * $ % & | < >``, or it has no mark
+  that ends a sentence at its end, where quotes and brackets may follow;
 * navigation: at least ``SEPARATORS`` of ``| » › • · >``, and more than one to six words;
-* boilerplate: at most ``BOILERPLATE_WORDS`` words with a phrase of licences, rights, cookies, logins and the like.
+* boilerplate: at most ``BOILERPLATE_WORDS`` words with a phrase of licences, rights, cookies, logins and the like, in
+  English, French, German or Spanish.
 Lines without a word are left as they are. A document is kept if it passes the base rules (words, repeated words)
 and the lines that failed held at most ``MAX_LOST_PERCENT`` of its word characters.
 
 Repeated three-word windows are found by sorting the document's window hashes (64 bits) with their places.
 
 Cases: null and empty texts have no word and are not kept; texts of any length are read whole; repeated rows give equal
-results; null ids are carried along; an empty table gives an empty result; other columns stay as they are.
+results; null ids are carried along; an empty table gives an empty result; other columns stay as they are, but that
+``judged`` puts its column ``quality`` in the place of one of that name.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL, NOT_SYMBOL = r"[#*$%&|<>]", r"[^#*$%&|<>]+"
 SEPARATOR, NOT_SEPARATOR = r"[|»›•·>]", r"[^|»›•·>]+"
-SENTENCE_END = r"[.!?…。！？؟।]"
+SENTENCE_END = r"[.!?…。！？؟।][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 BOILERPLATE = (
     "all rights reserved", "copyright", "©", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie", "enable javascript", "subscribe",
     "newsletter", "click here", "read more", "sign in", "sign up", "log in", "login", "powered by", "lorem ipsum", "share this", "back to top",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "s'abonner", "cliquez ici", "lire la suite", "se connecter", "retour en haut",
+    "alle rechte vorbehalten", "impressum", "datenschutz", "nutzungsbedingungen", "abonnieren", "klicken sie hier", "weiterlesen", "anmelden", "nach oben",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "suscríbete", "haga clic aquí", "leer más", "iniciar sesión", "volver arriba",
 )
 
 

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -56,6 +59,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``__file`` and ``__row``: numbers of the file and of the row in it that each row is read from, so that a
+    task that runs again finds the same. What does not come straight from files is written first."""
+    where = F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        return df.select("*", *where)
+    except AnalysisException:
+        return written(df, name).select("*", *where)
+
+
 def filesystem(uri: str):
     """pyarrow's file system for ``uri`` and the path in it; a plain path is a local one."""
     from pyarrow import fs

@@ -167,21 +167,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(of, "fp", "left")
 
 
-FILTER_BITS = 1 << 25
-"""Size of the Bloom filter, whatever the data: with too many ids in it, it lets all rows pass to the join."""
+LEAST_FILTER, LARGEST_FILTER = 1 << 20, 1 << 28
+"""Bits of a Bloom filter: 16 an id, within these. Beyond 16 million ids it lets more and more rows pass to the join, which stays exact."""
 
 
-def _places(id_col: F.Column) -> list[F.Column]:
+def _places(id_col: F.Column, bits: int) -> list[F.Column]:
     h, g = F.xxhash64(id_col), F.xxhash64(F.lit(1), id_col)
-    mask = F.lit(FILTER_BITS - 1)
+    mask = F.lit(bits - 1)
     return [x.bitwiseAND(mask) for x in (h, F.shiftrightunsigned(h, 32), g, F.shiftrightunsigned(g, 32))]
 
 
 def filter_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids (doc_id): its words are combined by the cluster, and at most ``FILTER_BITS`` / 64 reach the driver."""
-    places = ids.select(F.explode(F.array(*_places(F.col("doc_id")))).alias("p"))
+    """A Bloom filter of the ids (doc_id): its words are combined by the cluster, and at most ``LARGEST_FILTER`` / 64 reach the driver."""
+    size = min(LARGEST_FILTER, max(LEAST_FILTER, 1 << (16 * ids.count()).bit_length()))
+    places = ids.select(F.explode(F.array(*_places(F.col("doc_id"), size))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits = np.zeros(size // 64, dtype=np.int64)
     bits[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return bits
 
@@ -197,13 +198,13 @@ def maybe_in(bits: np.ndarray, id_col: F.Column) -> F.Column:
             found &= (held.value[at >> 6] >> (at & 63) & 1).astype(bool)
         return pd.Series(found)
 
-    return F.pandas_udf(look, "boolean")(*_places(id_col)) | id_col.isNull()
+    return F.pandas_udf(look, "boolean")(*_places(id_col, 64 * len(bits))) | id_col.isNull()
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document of least id stays, once.
 
-    Only rows whose id may be among those that go, or that repeat, meet the list of ids in a join; a filter of fixed
+    Only rows whose id may be among those that go, or that repeat, meet the list of ids in a join; a filter of bounded
     size tells them from the rest, which is neither shuffled nor sorted. Of rows that repeat an id that stays, one does. Of a component in which no document has an id one stays as well.
     """
     names = docs.columns

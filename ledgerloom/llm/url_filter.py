@@ -4,7 +4,8 @@ A host rule is ``host/path``: it fits the host and its subdomains where the url'
 the longest that fits decides (of equal length: the longer host's). Where none fits, pattern rules do: a url that one
 matches is blocked. A pattern's literal tokens are runs of a-z and 0-9 that every match must hold as a whole
 token; it is indexed under the one that is rarest over all urls, and only the patterns that a url's own tokens fetch
-run their regular expression. A pattern without such a token is always run.
+run their regular expression. Alternatives are patterns of their own here, each under its own rarest token. A pattern
+without such a token is always run.
 
 Rules are configuration. They go to the workers by broadcast in parts of at most ``PART_BYTES``; more rules make more
 parts, applied one after the other.
@@ -40,23 +41,83 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), re.match("[^?#]*", rest[len(host) :])[0]
 
 
+_ITEM = re.compile(r"\\(?P<escaped>.)|(?P<set>\[\^?(?:\\.|[^\\])(?:\\.|[^\]\\])*\])|(?P<times>[*+?]|\{[0-9,]+\})|(?P<group>[()|])|(?P<plain>.)", re.DOTALL)
+MAX_BRANCHES = 256
+"""A pattern of more alternatives is left whole, and so run on every url if it has no token outside them."""
+
+
+def _items(pattern: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, from, to) of the parts that a pattern is written with."""
+    return [(m.lastgroup, m.group(m.lastgroup), m.start(), m.end()) for m in _ITEM.finditer(pattern)]
+
+
+def _closing(items: list, at: int) -> int:
+    """Where the group that opens at ``at`` ends."""
+    depth = 0
+    for k in range(at, len(items)):
+        depth += {"(": 1, ")": -1}.get(items[k][1], 0) if items[k][0] == "group" else 0
+        if not depth:
+            return k
+    raise ValueError("a group is not closed")
+
+
+def branches(pattern: str) -> list[str]:
+    """Patterns without alternatives, of which one matches wherever the pattern does; the pattern alone if it has a construct that is not written out here."""
+    if re.search(r"\(\?(?!:)|\\[1-9]", pattern):
+        return [pattern]
+    done, open_ = [], [pattern]
+    while open_:
+        if len(done) + len(open_) > MAX_BRANCHES:
+            return [pattern]
+        own = open_.pop()
+        items, depth, bars = _items(own), 0, []
+        for k, (kind, x, _, _) in enumerate(items):
+            if kind == "group":
+                depth += {"(": 1, ")": -1, "|": 0}[x]
+                bars += [k] if x == "|" and not depth else []
+        if bars:
+            ends = [0, *(items[k][3] for k in bars)], [*(items[k][2] for k in bars), len(own)]
+            open_ += [own[a:b] for a, b in zip(*ends, strict=True)]
+            continue
+        for k, (kind, x, start, end) in enumerate(items):
+            if kind == "group" and x == "(":
+                to = _closing(items, k)
+                if to + 1 == len(items) or items[to + 1][0] != "times":
+                    inner = own[end : items[to][2]].removeprefix("?:")
+                    parts = branches(inner)
+                    if len(parts) > 1 or "(" not in inner:
+                        open_ += [own[:start] + x + own[items[to][3] :] for x in parts]
+                        break
+        else:
+            done.append(own)
+    return sorted(done)
+
+
 def literal_tokens(pattern: str) -> list[str]:
-    """Whole tokens that any match of the pattern holds: literal runs with a character of no token on either side."""
-    parsed, runs, run, closed = re._parser.parse(pattern), [], "", False
-
-    def is_break(kind, value) -> bool:
-        name = str(kind)
-        if name == "IN":
-            return all(str(k) == "LITERAL" and chr(v).lower() not in _WORD for k, v in value)
-        return name == "LITERAL" and chr(value).lower() not in _WORD
-
-    for kind, value in parsed:
-        if str(kind) == "LITERAL" and chr(value) in _WORD:
-            run += chr(value)
+    """Whole tokens that any match of a pattern without alternatives holds: literal runs with a character of no token on either side."""
+    items, runs, run, closed, at = _items(pattern), [], "", False, 0
+    while at < len(items):
+        kind, x, _, _ = items[at]
+        if kind == "group" and x == "|":
+            return []
+        if kind == "times":  # taken with what it follows
+            at += 1
             continue
-        if run and closed and is_break(kind, value):
-            runs.append(run)
-        run, closed = "", is_break(kind, value)
+        if kind == "group" and x == "(":
+            at = _closing(items, at)  # what it holds may be left out
+            kind, x = "any", ""
+        more = at + 1 < len(items) and items[at + 1][0] == "times"
+        literal = x if kind == "plain" and x not in ".^$" or kind == "escaped" and not x.isalnum() else ""
+        outside = [c for c in (x[1:-1].replace("\\", "") if kind == "set" else literal)]
+        gap = bool(outside) and not (kind == "set" and (x[1] == "^" or "-" in x[2:-2] or re.search(r"\\[a-zA-Z]", x))) and all(c.lower() not in _WORD for c in outside)
+        sure = not more or items[at + 1][1] == "+"
+        if literal in _WORD and literal and not more:
+            run += literal
+        else:
+            if run and closed and gap and sure:
+                runs.append(run)
+            run, closed = "", gap and sure
+        at += 1
     return list(dict.fromkeys(runs))
 
 
@@ -113,7 +174,7 @@ def indexes(host_rules: list[tuple[str, str]], patterns: dict[str, str], frequen
     for rule, verdict in host_rules:
         host, slash, path = rule.partition("/")
         room(2 * len(rule)).hosts[host.translate(_LOWER)].append((slash + path, rule, verdict))
-    for name, pattern in sorted(patterns.items()):
+    for name, pattern in sorted((name, own) for name, whole in patterns.items() for own in branches(whole)):
         part, tokens = room(8 * len(pattern)), literal_tokens(pattern)
         kept = part.by_token[min(tokens, key=lambda t: (frequency.get(t, 0), t))] if tokens else part.always
         kept.append((name, re.compile(pattern)))
@@ -126,7 +187,7 @@ def judge(pages: DataFrame, host_rules: list[tuple[str, str]], patterns: dict[st
     ``host_rules``: (``host/path``, allow or block); ``patterns``: name -> regular expression over the url with A-Z in lower case.
     """
     spark = pages.sparkSession
-    frequency = token_frequencies(pages, sorted({t for p in patterns.values() for t in literal_tokens(p)}), url)
+    frequency = token_frequencies(pages, sorted({t for p in patterns.values() for own in branches(p) for t in literal_tokens(own)}), url)
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("__url"))
     parts = [spark.sparkContext.broadcast(x) for x in indexes(host_rules, patterns, frequency, part_bytes)]
 

@@ -184,3 +184,66 @@ def test_mixing(spark, docs, rows, empty, monkeypatch):
     want = [r.doc_id for r in sorted(mixing.mix(docs, block_rows=3, period=20).collect(), key=lambda r: (r.slot, r.in_block))]
     assert order == want and mixing.mixed(docs).schema == docs.schema
     assert mixing.mix(empty).collect() == []
+
+
+def simulated(sizes, share, block_rows):
+    """(source, block) of each slot: at every slot, of the blocks that are released, the one due earliest goes; a source that runs out starts a new phase."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items()}
+    done, out, begin = dict.fromkeys(sizes, 0), [], 0
+    phase = dict.fromkeys(sizes, 0)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    while any(left.values()):
+        live = [s for s in order if left[s]]
+        m = sum(share[s] for s in live)
+        t = len(out) - begin
+        ready = [(-(-(phase[s] + 1) * m // share[s]), order.index(s), s) for s in live if phase[s] * m // share[s] <= t]
+        _, _, s = min(ready)
+        out.append((s, done[s]))
+        done[s] += 1
+        phase[s] += 1
+        left[s] -= 1
+        if not left[s]:
+            begin, phase = len(out), dict.fromkeys(sizes, 0)
+    return out
+
+
+def test_mixing_by_simulation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 16)
+    rows = [(k, s) for s, n in (("a", 333), ("b", 70), (None, 41), ("c", 5)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mixing.mix(docs, block_rows=4, period=24).collect()
+    sizes = {"a": 333, "b": 70, None: 41, "c": 5}
+    want = simulated(sizes, mixing.shares(sizes, period=24), 4)
+    found = {}
+    for r in got:
+        found.setdefault(r.slot, []).append((r.source, r.block, r.in_block))
+    assert [found[t][0][:2] for t in range(len(want))] == want
+    for t, (s, b) in enumerate(want):
+        assert sorted(found[t]) == [(s, b, k) for k in range(min(4, sizes[s] - 4 * b))]
+
+
+def test_mixing_spreads_a_hot_id(spark, tmp_path):
+    """Rows of one id, or none, are many chunks and no two share a place."""
+    rows = [(None, "hot", f"t{k % 7}") for k in range(40_000)] + [(7, "cold", "x")] * 3
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = mixing.mix(docs, block_rows=64).select("slot", "in_block", "source").collect()
+    assert len({(r.slot, r.in_block) for r in got}) == len(got) == 40_003
+    again = mixing.mix(docs, block_rows=64)
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(docs, block_rows=64).collect()))
+    keyed = mixing.in_rows(docs, "x").select(mixing.F.xxhash64(mixing.F.lit(0), "doc_id", "__row").alias("h"))
+    chunk = keyed.groupBy(mixing.F.shiftrightunsigned("h", 60)).count().collect()
+    assert len(chunk) == 16 and max(r["count"] for r in chunk) < 4000
+
+
+def test_search_with_repeated_query_rows(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(30, 8))
+    rows = [(k, v[k].tolist()) for k in range(30)] + [(0, v[1].tolist()), (5, v[5].tolist()), (5, v[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 10 == 0, k=4).collect()
+    for q in (0, 10, 20):
+        mine = [x for i, x in rows if i == q]
+        scores = sorted(((-float(np.dot(a, x)), i) for a in mine for i, x in rows if i != q))[:4]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in own] == [i for _, i in scores] and np.allclose([s for *_, s in own], [-s for s, _ in scores])

@@ -1,4 +1,6 @@
 
+import zlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -30,6 +32,22 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for d, ids in want.items():
         pieces = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == d)
         assert sum(n for *_, n in pieces) == len(ids) and [s for _, s, _ in pieces] == np.cumsum([0] + [n for *_, n in pieces])[:-1].tolist()
+    bins = {}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(bins) == list(range(len(bins)))
+    for spans in bins.values():
+        assert [o for o, _ in sorted(spans)] == np.cumsum([0] + [n for _, n in sorted(spans)])[:-1].tolist() and sum(n for _, n in spans) <= 2048
+
+
+def test_a_row_without_an_id_lives_to_the_end(spark, docs, tmp_path):
+    long = docs.where("doc_id = 40").selectExpr("cast(null as long) AS doc_id", "reverse(text) || ' Ende.' AS text", "lang", "source", "n_chars")
+    kept = docs.where("doc_id BETWEEN 30 AND 50").selectExpr("doc_id", "text", "lang", "source", "n_chars").unionByName(long.selectExpr("doc_id", "concat_ws(' ', 'A text of its own.', text) AS text", "lang", "source", "n_chars"))
+    mixed = corpus_pipeline.mix_sources(spark, kept, "")
+    mixed.write.parquet(f"{tmp_path}/m")
+    got = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/m"), "").collect()
+    assert len({r.doc_id for r in got}) == kept.count() and any(r.doc_id is None for r in got)
 
 
 def test_stages_keep_the_columns(spark, docs, tmp_path):

@@ -166,3 +166,76 @@ def test_whole_text_counts():
 
     got = langid.scorer(net)(pd.Series(["y" * langid.WINDOW * 3 + "z" * langid.WINDOW * 5, "y" * 10]))
     assert got.lang_pred[0] == "b" and abs(got.score[0] - (3 * 0.5 + 5) / 8) < 1e-6 and got.score[1] == 0.5
+
+
+def test_lines_end_in_a_sentences_mark(spark):
+    ends = ["It ends.", 'He said "yes!"', "Is it (so?)  ", "¿Y tú?", "Whole sentence…", "no end", "see www.a.com for more", "version 2.0 of it", "3.5", ""]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(ends)], "k int, l string").orderBy("k").select(quality.line_fails(quality.F.col("l"))).collect()]
+    assert got == [False] * 5 + [True] * 4 + [False]
+
+
+def test_judged_replaces_a_column_quality(spark, docs):
+    odd = docs.selectExpr("doc_id", "text", "'mine' AS quality", "1 AS w")
+    found = quality.judged(odd)
+    assert found.columns == ["doc_id", "text", "quality", "w"] and found.schema["quality"].dataType.typeName() == "struct" and found.count() == docs.count()
+
+
+def test_branches():
+    assert url_filter.branches(r"/(login|signin)[/.?]") == ["/login[/.?]", "/signin[/.?]"] and url_filter.branches("a|b(c|d)") == ["a", "bc", "bd"]
+    assert url_filter.branches(r"a(b|c)?") == [r"a(b|c)?"] and url_filter.branches(r"(a)\1|(?i)b") == [r"(a)\1|(?i)b"] and url_filter.branches(r"x[(|)]y") == [r"x[(|)]y"]
+    assert url_filter.literal_tokens(r"/ab?c/") == [] and url_filter.literal_tokens(r"/?ab/") == [] and url_filter.literal_tokens(r"/+ab\.cd\d/") == ["ab"] and url_filter.literal_tokens(r"[^/]ab/") == []
+    assert url_filter.literal_tokens(r"/(x/)?ab/") == [] and url_filter.literal_tokens(r"/a.b/") == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([r"/(login|signin|register)[/.?]", r"[/.-](porn|xxx|adult)[/.-]", r"a(b|c(d|e))f", r"x|y(z|/w/)", r"/wp-admin/"]), st.text(alphabet="/.-abcdefxyzwlogin", max_size=24), st.sampled_from(["", "/login/", ".xxx-", "acdf", "/wp-admin/", "y/w/"]))
+def test_branches_match_as_the_pattern_and_hold_their_tokens(pattern, around, middle):
+    url = around[:12] + middle + around[12:]
+    parts = url_filter.branches(pattern)
+    assert bool(re.search(pattern, url)) == any(re.search(p, url) for p in parts)
+    for p in parts:
+        if re.search(p, url):
+            assert set(url_filter.literal_tokens(p)) <= set(re.findall("[a-z0-9]+", url))
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "https://x.com/de/1", "h", "p", "v", 7)], "page_id long, url string, host string, path string, verdict string, `__url` int")
+    assert [tuple(r) for r in url_filter.judge(pages, queries.HOST_RULES, queries.URL_PATTERNS).collect()] == [(1, "x.com", "/de/1", "com/de/", None, "block")]
+
+
+def plain_forward(net, text):
+    """The network's scores of a whole text, window by window and filter by filter, as the definition has it."""
+    raw = text.encode()
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(raw), langid.WINDOW):
+        part = raw[at : at + langid.WINDOW]
+        window = part + bytes(langid.WINDOW - len(part))
+        hidden = []
+        for w in langid.WIDTHS:
+            sums = [sum(net.filters[w][k][window[p + k]].astype(np.float64) for k in range(w)) for p in range(langid.WINDOW - w + 1)]
+            hidden += np.max(sums, axis=0).tolist()
+        z = np.maximum(np.array(hidden) + net.bias, 0) @ net.dense + net.dense_bias
+        e = np.exp(z - z.max())
+        total += e / e.sum() * len(part)
+    return total / len(raw)
+
+
+def test_language_by_brute_force(spark, docs, rows):
+    net = langid.fit(docs, per_language=20)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 3)) for r in langid.identify(docs, net).collect()}
+    for d, t, *_ in [r for r in rows if r[0] is not None and r[0] < 40 or r[0] in (110, 203, 204, 205)]:
+        if not any(c.isalpha() for c in t):
+            assert (d, "und", 0.0) in got
+            continue
+        p = plain_forward(net, t)
+        mine = [(lang, score) for i, lang, score in got if i == d]
+        assert mine[0][0] == net.languages[p.argmax()] and abs(mine[0][1] - p.max()) < 2e-3
+
+
+def test_fit_bounds_the_rows_of_one_id(spark, monkeypatch):
+    same = spark.createDataFrame([(5, prose("en", k, 30), "en") for k in range(300)] + [(k, prose("fr", k, 30), "fr") for k in range(20, 60)], "doc_id long, text string, lang string")
+    seen = []
+    real = langid.train
+    monkeypatch.setattr(langid, "train", lambda windows, labels, *a, **k: seen.append(labels) or real(windows[:64], labels[:64], *a, **k))
+    langid.fit(same, per_language=10, windows_each=1)
+    assert max(np.bincount(seen[0])) <= 10

@@ -176,3 +176,30 @@ def test_packing_of_one_length(spark, encode):
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(BYTE), end_id=0, capacity=32).collect()
     size = got[0].length
     assert len(check_packing(got, rows, encode, 0, 32)) == -(-50 // (32 // size))
+
+
+def test_packing_spreads_a_hot_id(spark, monkeypatch):
+    """40,000 rows of one id and of one length are parts of bounded size, and each has its place."""
+    hot = spark.range(40_000).selectExpr("cast(null as long) AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "id % 5 AS ids", "'x' AS offset_was")
+    placed = packing.pack(hot.repartition(6), 10)
+    got = placed.collect()
+    assert placed.columns == [*hot.columns, "sequence_id", "offset"] and len({(r.sequence_id, r.offset) for r in got}) == 40_000
+    assert max(r.offset for r in got) == 6 and len({r.sequence_id for r in got}) == -(-40_000 // 3)
+    keyed = packing.in_rows(hot.repartition(6), "x").withColumn("p", packing.salted(F.lit(40_000), packing.PART_ROWS, "doc_id", "piece", "__row"))
+    sizes = [r["count"] for r in keyed.groupBy("p").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 2 * packing.PART_ROWS
+
+
+def test_files_and_packing_with_clashing_columns(spark, encode):
+    rows = [(1, "one two"), (2, "three")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS length", "'b' AS ids", "'c' AS p", "'d' AS t", "'e' AS piece", "'f' AS `__row`")
+    assert sorted((r.doc_id, r.length) for r in packing.pack_documents(odd, tokenizer_path(BYTE)).collect()) == [(d, len(encode(BYTE, t)) + 1) for d, t in rows]
+    files = token_files.write_token_files(odd, scratch(spark, "t"), tokenizer_path(WORD), end_id=1)
+    assert sorted((r.doc_id, r.n_tokens) for r in token_files.read_token_files(spark, files).collect()) == [(d, len(encode(WORD, t)) + 1) for d, t in rows]
+
+
+def test_long_runs_and_other_scripts(encode):
+    own = CHUNKS[BYTE]
+    assert own.ranked is not None
+    for text in ("a" * 1501, "x " + " " * 1200 + "y", "\n" * 700, "Straße 日本 naïve 🙂 fin", "mot\tfin  <b> l'été ", "a" * 500 + " " + "b" * 500):
+        assert own.ids(text).tolist() == encode(BYTE, text)
