@@ -1,4 +1,3 @@
-
 import zlib
 
 import numpy as np
