@@ -65,3 +65,17 @@ def machine_profile(profiles: list[dict], machine: dict) -> str | None:
     return None
 
 
+
+
+#: What must be in the environment, and under which names.
+REQUIRED = {"database_url": "LEDGERLOOM_DATABASE_URL"}
+OPTIONAL = {"queue_url": "LEDGERLOOM_QUEUE_URL", "workspace": "LEDGERLOOM_WORKSPACE", "config": "LEDGERLOOM_CONFIG"}
+
+
+def environment(env: dict[str, str] | None = None, required: dict[str, str] | None = None) -> dict[str, str]:
+    """The settings that the environment gives; an error names every required one that is missing or blank."""
+    env = dict(os.environ) if env is None else env
+    needed = REQUIRED if required is None else required
+    if missing := sorted(name for name in needed.values() if not env.get(name, "").strip()):
+        raise ValueError(f"missing from the environment: {', '.join(missing)}")
+    return {k: env[name].strip() for k, name in {**OPTIONAL, **needed}.items() if env.get(name, "").strip()}

@@ -100,9 +100,9 @@ def country_scores(text: Column) -> dict[str, Column]:
         return reduce(lambda a, b: a + b, [F.when(c, n).otherwise(0) for c, n in cases])
 
     return {
-        "US": points((any_marker("US"), 3), (zip_code, 1), (contains_any(low, US_STATES.values()) & zip_code, 3), (code_among(US_STATES) & zip_code, 3)),
-        "CA": points((any_marker("CA"), 3), (postal, 4), (contains_any(low, CA_PROVINCES.values()), 2), (code_among(CA_PROVINCES) & postal, 3)),
-        "MX": points((any_marker("MX"), 3), (low.rlike(MX_POSTAL) | low.rlike(MX_RFC), 4), (contains_any(low, MX_STATES), 2)),
+        "US": points((any_marker("US"), 3), (zip_code, 1), (zip_code & contains_any(low, US_STATES.values()), 3), (zip_code & code_among(US_STATES), 3)),
+        "CA": points((any_marker("CA"), 3), (postal, 4), (contains_any(low, CA_PROVINCES.values()), 2), (postal & code_among(CA_PROVINCES), 3)),
+        "MX": points((any_marker("MX"), 3), (low.rlike(MX_POSTAL) | (low.rlike(r"\d{6}") & low.rlike(MX_RFC)), 4), (contains_any(low, MX_STATES), 2)),
     }
 
 

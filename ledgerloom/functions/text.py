@@ -72,7 +72,7 @@ def words(s: Column) -> Column:
 def has_marker(s: Column, marker: str) -> Column:
     """A marker of two to four letters as a word of its own, any other as a substring; of lower-case text."""
     if 2 <= len(marker) <= 4 and marker.isascii() and marker.isalpha():
-        return s.rlike(f"(^|[^a-z]){marker}($|[^a-z])")
+        return s.contains(marker) & s.rlike(f"(^|[^a-z]){marker}($|[^a-z])")
     return s.contains(marker)
 
 
@@ -105,8 +105,10 @@ def key_values(text: Column) -> Column:
     """A map of ``key: value`` lines, split at the first colon; of equal keys the first line's value."""
     pairs = F.transform(F.split(text, "\n"), lambda x: F.struct(squeezed(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), squeezed(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
     sound = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    first = F.filter(sound, lambda p, i: F.array_position(F.transform(sound, lambda q: q["key"]), p["key"]) == i + 1)
-    return F.map_from_entries(first)
+    # Sorted by key and place, a key's first line is the one that another key stands before.
+    placed = F.array_sort(F.transform(sound, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value"))))
+    first = let(placed, lambda xs: F.filter(xs, lambda p, i: (i == 0) | (F.get(xs, i - 1)["key"] != p["key"])))
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"], p["value"])))
 
 
 # How native text names its fields. The last group holds the value.

@@ -62,3 +62,16 @@ def merged_tokens(tokens: DataFrame, key: list[str], seq: str, text: str) -> Dat
     joined = F.when(F.col(text).rlike(head) & F.col("__next").rlike(tail), F.concat(F.regexp_replace(text, ",$", ""), F.col("__next"))).otherwise(F.col(text))
     gone = F.coalesce(F.col(text).rlike(tail) & F.col("__before").rlike(head), F.lit(False))
     return x.where(~gone).withColumn(text, joined).drop("__next", "__before")
+
+
+def close_pairs(events: DataFrame, key: str, at: str, value: str, ident: str, reach: int, change: float) -> DataFrame:
+    """(left_id, right_id, delta) of all pairs of a key's events that are within ``reach`` in ``at`` and whose values differ by ``change`` at most, each once.
+
+    Places are cut into cells as wide as the reach; an event meets those of its own cell and of the one on either side.
+    """
+    c = F.col
+    e = events.where(c(value).isNotNull() & c(at).isNotNull()).select(c(ident).alias("id"), c(key).alias("k"), c(value).alias("v"), c(at).alias("m")).withColumn("cell", F.floor(c("m") / reach))
+    a = e.select(c("id").alias("left_id"), "k", c("v").alias("lv"), c("m").alias("lm"), F.explode(F.array(c("cell") - 1, c("cell"), c("cell") + 1)).alias("cell"))
+    b = e.select(c("id").alias("right_id"), "k", "v", "m", "cell")
+    delta = F.round(c("v") - c("lv"), 6)
+    return a.join(b, ["k", "cell"]).where("left_id < right_id").where((F.abs(c("m") - c("lm")) <= reach) & (F.abs(delta) <= change)).select("left_id", "right_id", delta.alias("delta"))

@@ -1,9 +1,8 @@
 """The life of layouts and families: successes and rejections in order, per key, from one state to the next.
 
-The transitions of a key depend on each other, so its events are folded in sequence. ``fold_frame`` does that for one
-key's events in the order of ``seq``; the batch operator applies it by group, the streaming one keeps the state.
-A key's events arrive in as many Arrow batches as they need (``applyInPandas`` with an iterator would hold one at a time);
-only the state moves on from event to event.
+The transitions of a key depend on each other, so its events are folded in sequence. The batch operator has Spark sort
+events by key and ``seq`` and reads them in Arrow batches: only the state moves on, so a key of any number of events is never held. The
+streaming one keeps the state between batches and folds the events of one with ``fold_frame``.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.rules import DEGRADATION, ESTABLISH_CONFIDENCE, ESTABLISH_COUNT, REDISCOVERY
@@ -84,10 +83,24 @@ def fold_frame(events: pd.DataFrame, state: State, family: bool) -> pd.DataFrame
 def folded(events: DataFrame, family: bool = False) -> DataFrame:
     """(key, seq, state) after every event; ``events``: key, seq, event (apply, reject, retire), score, checked."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold_frame(pdf, State(), family)
+    names = list(asdict(State()))
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
 
-    return events.select("key", "seq", "event", "score", "checked").groupBy("key").applyInPandas(one, f"key string, seq long, {STATE}")
+    def fold(batches):
+        state = State()
+        for batch in batches:
+            out: list[list] = [[] for _ in range(2 + len(names))]
+            for key, seq, event, score, checked, first in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if first:
+                    state = State()
+                state.on(event, score if score is not None and score == score else 0.0, bool(checked), family)
+                for held, value in zip(out, (key, seq, *(getattr(state, n) for n in names)), strict=True):
+                    held.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["key", "seq", *names])
+
+    first = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
+    sorted_ = events.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "event", F.col("score").cast("double").alias("score"), "checked").withColumn("first", first)
+    return sorted_.mapInArrow(fold, f"key string, seq long, {STATE}")
 
 
 def latest_states(folded_events: DataFrame) -> DataFrame:
@@ -252,9 +265,67 @@ def merge_family(fingerprints: DataFrame, source: str, target: str) -> DataFrame
     return fingerprints.withColumn("template_family_id", F.when(F.col("template_family_id") == source, target).otherwise(F.col("template_family_id")))
 
 
-def merged_profile(target: F.Column, source: F.Column, fields: list[str]) -> F.Column:
-    """Two profiles as one, leaf by leaf: the target's value where it has one."""
-    return F.struct(*[F.coalesce(target[f], source[f]).alias(f) for f in fields])
+def split_out(tables: dict[str, DataFrame], family: str, hashes: DataFrame, new_id: str, at: F.Column, reason: str = "manual_split") -> dict[str, DataFrame]:
+    """The tables (families, fingerprints, results, examples, versions) with those members of a family in a new one.
+
+    Both families' records are rebuilt from their members and results; examples and results follow their fingerprints, results by their path as well;
+    three versions are added. Moving none or all of the members is an error.
+    """
+    members = tables["fingerprints"].where(F.col("template_family_id") == family)
+    moved = members.join(hashes.select("fingerprint_hash").distinct(), "fingerprint_hash", "left_semi").select("fingerprint_hash")
+    n, whole = moved.count(), members.count()
+    if not 0 < n < whole:
+        raise ValueError(f"{n} of {whole} members cannot leave {family}")
+    if tables["families"].where(F.col("template_family_id") == new_id).limit(1).count():
+        raise ValueError(f"{new_id} is there already")
+    own = tables["results"].join(moved, "fingerprint_hash", "left_semi")
+    paths = own.where("invoice_path IS NOT NULL").select("invoice_path").distinct()
+    none = paths.limit(0)
+    moves = moved.withColumn("template_family_id", F.lit(new_id))
+    fingerprints = store.relinked(tables["fingerprints"], moves, "fingerprint_hash")
+    results = store.relinked_either(tables["results"], moved, none, family, new_id)
+    examples = store.relinked_either(tables["examples"], moved, paths, family, new_id)
+    born = tables["families"].where(F.col("template_family_id") == family).withColumn("template_family_id", F.lit(new_id))
+    families = _renewed(tables["families"].unionByName(born), fingerprints, results, [family, new_id])
+    steps = [(family, f"{reason}:before_split_to:{new_id}"), (new_id, f"{reason}:split_from:{family}"), (family, f"{reason}:split_out:{new_id}")]
+    return {**tables, "families": families, "fingerprints": fingerprints, "results": results, "examples": examples, "versions": _versioned(tables["versions"], families, steps, at)}
+
+
+def merged_into(tables: dict[str, DataFrame], source: str, target: str, at: F.Column, reason: str = "manual_merge") -> dict[str, DataFrame]:
+    """The same tables with a family's members, examples and results in another; what the target's record lacks comes from the source's, which retires."""
+    live = tables["families"].where(F.col("template_family_id").isin(source, target) & (F.col("status") != "retired")).count()
+    if source == target or live != 2:
+        raise ValueError("both families must be there, differ and not be retired")
+    hashes = tables["fingerprints"].where(F.col("template_family_id") == source).select("fingerprint_hash")
+    if not hashes.limit(1).count():
+        raise ValueError(f"{source} has no members")
+    moved = tables["results"].join(hashes, "fingerprint_hash", "left_semi").select("invoice_path")
+    paths = moved.unionByName(tables["examples"].where(F.col("template_family_id") == source).select("invoice_path")).where("invoice_path IS NOT NULL").distinct()
+    fingerprints = store.relinked(tables["fingerprints"], hashes.withColumn("template_family_id", F.lit(target)), "fingerprint_hash")
+    results, examples = (store.relinked_either(tables[t], hashes, paths, source, target) for t in ("results", "examples"))
+    names = [c for c in tables["families"].columns if c not in ("template_family_id", "status")]
+    old = tables["families"].where(F.col("template_family_id") == source).select(F.lit(target).alias("template_family_id"), *names)
+    families = store.patched(old, tables["families"].where(F.col("template_family_id") == target), ["template_family_id"], names)
+    kept = tables["families"].join(families.select("template_family_id", *[F.col(c).alias(f"__{c}") for c in names]), "template_family_id", "left")
+    filled = kept.select("template_family_id", F.when(F.col("template_family_id") == source, "retired").otherwise(F.col("status")).alias("status"), *[F.coalesce(f"__{c}", c).alias(c) for c in names]).select(*tables["families"].columns)
+    renewed = _renewed(filled, fingerprints, results, [target])
+    steps = [(target, f"{reason}:before_merge_from:{source}"), (source, f"{reason}:before_merge_into:{target}"), (target, f"{reason}:merge_from:{source}"), (source, f"{reason}:merged_into:{target}")]
+    return {**tables, "families": renewed, "fingerprints": fingerprints, "results": results, "examples": examples, "versions": _versioned(tables["versions"], renewed, steps, at)}
+
+
+def _renewed(families: DataFrame, fingerprints: DataFrame, results: DataFrame, which: list[str]) -> DataFrame:
+    """Families with the counts, confidence and status of those named rolled up anew from their members and results."""
+    own = lambda df: df.where(F.col("template_family_id").isin(*which))
+    rollup = reports.family_rollup(own(fingerprints), own(results).join(own(fingerprints).select("fingerprint_hash").distinct(), "fingerprint_hash", "left_semi"))
+    return store.patched(families, rollup, ["template_family_id"], [c for c in ("apply_count", "reject_count", "confidence", "status") if c in families.columns])
+
+
+def _versioned(versions: DataFrame, families: DataFrame, steps: list[tuple[str, str]], at: F.Column) -> DataFrame:
+    """``versions`` (template_family_id, version, reason, at) with the steps added, each family's numbered on."""
+    order = families.sparkSession.createDataFrame([(f, k, r) for k, (f, r) in enumerate(steps)], "template_family_id string, k int, reason string")
+    last = versions.groupBy("template_family_id").agg(F.max("version").alias("last"))
+    number = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("template_family_id").orderBy("k"))
+    return versions.unionByName(order.join(last, "template_family_id", "left").select("template_family_id", number.cast("int").alias("version"), "reason", at.alias("at")))
 
 
 def profile_suggestions(results: DataFrame, support: int = 2, recent: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +20,42 @@ def numeric_convention(fields: DataFrame, doc: str = "doc_id", value: str = "val
     return votes.withColumn("convention", F.when(F.col("dot_votes") > F.col("comma_votes"), "dot").when(F.col("comma_votes") > F.col("dot_votes"), "comma"))
 
 
-def normalized_lines(lines: DataFrame, convention: Column | None = None) -> DataFrame:
-    """Line items with net, gross and tax amounts filled from one another, and a category.
+LINE_TEXTS = ("description", "quantity", "unit_price", "amount", "net_amount", "gross_amount", "tax_rate", "tax_amount", "category")
+
 
-    Reads description, quantity, unit_price, amount, net_amount, gross_amount, tax_rate and tax_amount as text.
-    The amount is the net one, else the plain one, else the gross one; a missing net amount comes from the gross
-    amount and the tax; a missing amount from quantity and price, and a missing price from amount and quantity.
+def normalized_lines(lines: DataFrame, convention: Column | None = None) -> DataFrame:
+    """Line items as numbers that agree with one another as far as they can, with a category.
+
+    Reads description, quantity, unit_price, amount, net_amount, gross_amount, tax_rate (in percent) and tax_amount as text.
+    The amount is the net one, else the plain one, else the gross one. In this order: where the gross amount and a rate
+    are known, an amount that does not fit them is the net amount that does, and a missing net amount is the amount; a missing
+    amount, or one that repeats the price of several pieces, is quantity times price; a price of several pieces that is
+    a little or far off the amount follows from it; the tax is gross less net, else the rate of the net amount.
+    ``raw_amount`` is the plain amount as it was read.
     """
     read = (lambda c: amount_by_convention(F.col(c), convention)) if convention is not None else (lambda c: number(F.col(c)))
-    step = lines.withColumns({f"__{c}": read(c) for c in ("quantity", "unit_price", "amount", "net_amount", "gross_amount", "tax_amount")} | {"__rate": percent(F.col("tax_rate"), convention)})
-    rate = F.when(F.col("__rate") > 1, F.col("__rate") / 100).otherwise(F.col("__rate"))
-    from_tax = F.round(F.col("__gross_amount") - F.col("__tax_amount"), 2)
-    from_rate = F.round(F.col("__gross_amount") / (1 + rate), 2)
-    net = F.coalesce("__net_amount", from_tax, from_rate)
-    step = step.withColumn("__net", net).withColumn("__own", F.coalesce("__net", "__amount", "__gross_amount"))
-    product = F.round(F.col("__quantity") * F.col("__unit_price"), 2)
-    final = F.coalesce("__own", product)
-    price = F.coalesce("__unit_price", F.when(F.col("__quantity") != 0, F.round(final / F.col("__quantity"), 4)))
-    tax = F.coalesce("__tax_amount", F.round(F.col("__gross_amount") - F.col("__net"), 2), F.round(F.col("__net") * rate, 2))
-    step = step.withColumns({"__final": final, "__price": price, "__tax": tax})
+    c = F.col
+    numbers = {"__q": read("quantity"), "__p": read("unit_price"), "__plain": read("amount"), "__n": read("net_amount"), "__g": read("gross_amount"), "__t": read("tax_amount"), "__r": percent(c("tax_rate"), convention)}
+    step = lines.withColumns(numbers).withColumn("__a", F.coalesce("__n", "__plain", "__g"))
+
+    fitting = F.round(c("__g") / (1 + c("__r") / 100), 2)
+    rated = c("__g").isNotNull() & (F.coalesce("__r", F.lit(0.0)) != 0)
+    off = c("__a").isNull() | (c("__a") <= F.greatest(F.lit(1.0), fitting * 0.25)) | (F.abs(c("__a") * (1 + c("__r") / 100) - c("__g")) > F.greatest(F.lit(0.05), c("__g") * 0.03))
+    step = step.withColumn("__a", F.when(rated & off, fitting).otherwise(c("__a")))
+    step = step.withColumn("__n", F.when(rated, F.coalesce("__n", "__a")).otherwise(c("__n")))
+
+    product, several = F.round(c("__q") * c("__p"), 2), F.coalesce(c("__q") > 1, F.lit(False))
+    repeats_price = several & within(c("__a"), c("__p"), TOLERANCE)
+    step = step.withColumns({"__repeats": repeats_price, "__a": F.when(c("__a").isNull() | (repeats_price & product.isNotNull()), product).otherwise(c("__a"))})
+    each = F.round(c("__a") / c("__q"), 2)
+    noisy = (F.abs(each - c("__p")) <= F.greatest(F.lit(3.0), c("__p") * 0.1)) | (c("__p") <= F.greatest(F.lit(1.0), each * 0.25))
+    aligned = several & ~c("__repeats") & (F.abs(product - c("__a")) > F.greatest(F.lit(TOLERANCE), c("__a") * 0.015)) & noisy
+    step = step.withColumn("__p", F.when(F.coalesce(aligned, F.lit(False)), each).otherwise(c("__p")))
+    tax = F.coalesce(F.round(c("__g") - c("__n"), 2), F.round(c("__n") * c("__r") / 100, 2), "__t")
     return step.select(
-        *[c for c in lines.columns if c not in ("description", "quantity", "unit_price", "amount", "net_amount", "gross_amount", "tax_rate", "tax_amount", "category")],
-        squeezed(F.col("description")).alias("description"), F.col("__quantity").alias("quantity"), F.col("__price").alias("unit_price"), F.col("__final").alias("amount"),
-        F.col("__net").alias("net_amount"), F.coalesce("__gross_amount", F.round(F.col("__net") + F.col("__tax"), 2)).alias("gross_amount"), F.col("__rate").alias("tax_rate"), F.col("__tax").alias("tax_amount"),
-        line_category(F.col("description")).alias("category"),
+        *[x for x in lines.columns if x not in LINE_TEXTS],
+        squeezed(c("description")).alias("description"), c("__q").alias("quantity"), c("__p").alias("unit_price"), c("__a").alias("amount"), c("__n").alias("net_amount"),
+        c("__g").alias("gross_amount"), c("__r").alias("tax_rate"), tax.alias("tax_amount"), line_category(c("description")).alias("category"), c("__plain").alias("raw_amount"),
     )
 
 
@@ -71,26 +85,126 @@ def category_totals(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     return lines.where(F.col("amount").isNotNull()).groupBy(doc, "category").agg(F.round(F.sum(F.col("amount").cast("decimal(18,4)")), 2).cast("double").alias("total"))
 
 
-def completed(invoices: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Invoices with subtotal, tax, shipping, discount and total filled where the others or the lines give them.
+def _support(lines: DataFrame, doc: str) -> DataFrame:
+    """What each document's lines say of its sums, in one aggregation. ``plain``: the sum where lines keep the amount that was read."""
+    c = F.col
+    total = lambda x: F.round(F.sum(x.cast("decimal(18,4)")), 2).cast("double")
+    all_have = lambda *xs: F.bool_and(reduce(lambda a, b: a & b, [c(x).isNotNull() for x in xs]))
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    return lines.withColumn("__kept", kept_amount()).groupBy(doc).agg(
+        F.count(F.lit(1)).alias("line_count"), total(c("amount")).alias("own_sum"), total(c("__kept")).alias("plain_sum"), total(c("raw_amount")).alias("raw_sum"),
+        total(c("net_amount")).alias("line_net_sum"), total(c("gross_amount")).alias("line_gross_sum"), total(c("tax_amount")).alias("line_tax_sum"),
+        all_have("quantity", "unit_price", "amount").alias("fully_priced"), all_have("net_amount").alias("net_complete"), all_have("gross_amount").alias("gross_complete"),
+        F.coalesce(F.bool_and(F.coalesce(c("tax_amount") >= -TOLERANCE, F.lit(False))), F.lit(False)).alias("__taxed"),
+        F.coalesce(F.bool_or(c("gross_amount") + TOLERANCE < c("net_amount")), F.lit(False)).alias("__below"),
+        (F.bool_or((zero("tax_rate") > 0) & (zero("net_amount") > 0)) & F.bool_and(zero("tax_amount") <= TOLERANCE)).alias("__untaxed"),
+    )
+
+
+def kept_amount() -> Column:
+    """A line's amount if the summary speaks for what was read: that, where the amount is a product which differs from it."""
+    c = F.col
+    product = F.round(c("quantity") * c("unit_price"), 2)
+    corrected = (F.abs(c("amount") - c("raw_amount")) > TOLERANCE) & (F.abs(c("amount") - product) <= TOLERANCE)
+    return F.when(F.coalesce(corrected, F.lit(False)), c("raw_amount")).otherwise(c("amount"))
+
 
-    In this order: a missing subtotal is the sum of fully priced lines, else total less tax and shipping; a missing tax is the
-    lines' tax, else total less subtotal and shipping, if not negative; a missing total is their sum. ``*_source`` says which.
+def completed(invoices: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Invoices (doc, subtotal, tax, shipping, total) whose figures the lines and one another fill and settle, step by step.
+
+    1. If the lines as read make the subtotal, and the total bears that out, they stand as read (``lines_as_read``).
+    2. A missing subtotal is the lines' sum. A subtotal that fully priced lines contradict is their sum where the total supports it and
+       subtotal and shipping do not make the total already; else one that complete net amounts contradict is their sum.
+    3. Tax is the lines' where each has a sound one; a missing tax is else what the total has beyond subtotal and shipping.
+    4. The total is the lines' gross sum where it is supported; a missing total is else subtotal, tax and shipping.
+    ``*_kind`` says normalized, derived or resolved, and ``*_source`` where a figure is from; both are null where there is none.
     """
-    sums = line_sums(lines, doc)
-    j = invoices.join(sums, doc, "left")
+    j = invoices.join(_support(lines, doc), doc, "left")
+    c = F.col
     ship = F.coalesce("shipping", F.lit(0.0))
-    by_lines = F.when(F.col("fully_priced"), F.coalesce("line_net_sum", "line_sum"))
-    rest = F.round(F.col("total") - F.col("tax") - ship, 2)
-    j = j.withColumn("subtotal_source", first_matching([(F.col("subtotal").isNotNull(), "extracted"), (by_lines.isNotNull(), "line_items"), (rest.isNotNull(), "derived")]))
-    j = j.withColumn("subtotal", F.coalesce("subtotal", by_lines, rest))
-    own_tax, left = F.when(F.col("tax_complete"), F.col("line_tax_sum")), F.round(F.col("total") - F.col("subtotal") - ship, 2)
-    left = F.when(left >= 0, left)
-    j = j.withColumn("tax_source", first_matching([(F.col("tax").isNotNull(), "extracted"), (own_tax.isNotNull(), "line_items"), (left.isNotNull(), "derived")]))
-    j = j.withColumn("tax", F.coalesce("tax", own_tax, left))
-    made = F.round(F.col("subtotal") + F.coalesce("tax", F.lit(0.0)) + ship, 2)
-    j = j.withColumn("total_source", first_matching([(F.col("total").isNotNull(), "extracted"), (made.isNotNull(), "derived")]))
-    return j.withColumn("total", F.coalesce("total", made))
+    apart = lambda a, b: F.coalesce(F.abs(a - b) > TOLERANCE, F.lit(False))
+    for flag in ("fully_priced", "net_complete", "gross_complete", "__taxed", "__below", "__untaxed"):
+        j = j.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+    def fits_total(lines_sum: Column) -> Column:
+        with_tax = within(c("total"), lines_sum + c("tax") + ship, TOLERANCE)
+        without = c("tax").isNull() & (c("total") + TOLERANCE >= lines_sum + ship)
+        return lines_sum.isNotNull() & (c("total").isNull() | with_tax | without)
+
+    as_read = within(c("subtotal"), c("raw_sum"), TOLERANCE) & apart(F.coalesce("own_sum", F.lit(0.0)), c("subtotal")) & fits_total(c("raw_sum"))
+    reliable = c("__taxed") & ~(c("gross_complete") & c("net_complete") & (c("__below") | c("__untaxed")))
+    j = j.withColumns({"lines_as_read": F.coalesce(as_read, F.lit(False)), "tax_reliable": reliable})
+    j = j.withColumns({"line_sum": F.when(c("lines_as_read"), c("plain_sum")).otherwise(c("own_sum")), "gross_supported": c("gross_complete") & (c("net_complete") | c("tax_reliable"))})
+
+    settled = within(c("total"), c("subtotal") + ship, TOLERANCE)
+    priced = c("subtotal").isNotNull() & c("line_sum").isNotNull() & c("fully_priced")
+    resolved = priced & apart(c("subtotal"), c("line_sum")) & fits_total(c("line_sum")) & ~settled
+    by_net = ~priced & c("net_complete") & apart(c("subtotal"), c("line_net_sum"))
+    nonzero = lambda x: F.nullif(x, F.lit(0.0))
+
+    def step(df: DataFrame, field: str, cases: list[tuple[Column, Column, str, str]]) -> DataFrame:
+        """``field`` by the first case (condition, value, kind, source) that holds, else as it is."""
+        has = c(field).isNotNull()
+        before = {"kind": F.when(has, "normalized"), "source": F.when(has, "scalar")} if f"{field}_kind" not in df.columns else {k: c(f"{field}_{k}") for k in ("kind", "source")}
+        one = first_matching([(when, F.struct(value.alias("v"), F.lit(kind).alias("kind"), F.lit(source).alias("source"))) for when, value, kind, source in cases], F.struct(c(field).alias("v"), before["kind"].alias("kind"), before["source"].alias("source")))
+        made = df.withColumn("__step", one)
+        return made.withColumns({field: c("__step.v"), f"{field}_kind": c("__step.kind"), f"{field}_source": c("__step.source")}).drop("__step")
+
+    j = step(j, "subtotal", [(c("subtotal").isNull() & c("line_sum").isNotNull(), nonzero(c("line_sum")), "derived", "line_items"), (resolved, c("line_sum"), "resolved", "line_items"), (by_net, c("line_net_sum"), "resolved", "line_items")])
+    sound = c("tax_reliable") & c("line_tax_sum").isNotNull()
+    j = step(j, "tax", [(sound & c("tax").isNull(), nonzero(c("line_tax_sum")), "derived", "line_items"), (sound & apart(c("tax"), c("line_tax_sum")), c("line_tax_sum"), "resolved", "line_items")])
+    rest = F.round(c("total") - c("subtotal") - ship, 2)
+    j = step(j, "tax", [(c("tax").isNull() & F.coalesce(rest > TOLERANCE, F.lit(False)), rest, "derived", "summary_reconciliation")])
+    gross = c("gross_supported") & c("line_gross_sum").isNotNull()
+    j = step(j, "total", [(gross & c("total").isNull(), nonzero(c("line_gross_sum")), "derived", "line_items"), (gross & apart(c("total"), c("line_gross_sum")), c("line_gross_sum"), "resolved", "line_items")])
+    made = c("subtotal") + c("tax") + ship
+    j = step(j, "total", [(c("total").isNull() & made.isNotNull(), made, "derived", "summary_reconciliation")])
+    return j.drop("own_sum", "plain_sum", "raw_sum", "__taxed", "__below", "__untaxed")
+
+
+def provenance(*fields: str) -> Column:
+    """(field, kind, source, parsed_value) of each of the figures that ``completed`` gives, in order."""
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f"{f}_kind", F.lit("normalized")).alias("kind"), F.coalesce(f"{f}_source", F.lit("scalar")).alias("source"), F.col(f).cast("double").alias("parsed_value")) for f in fields])
+
+
+def settled_lines(lines: DataFrame, invoices: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``lines`` as the ``completed`` invoices leave them, and amount_source: summary_consistency where the amount stands as it was read."""
+    j = lines.join(invoices.select(doc, "lines_as_read"), doc, "left").withColumn("__kept", F.when(F.col("lines_as_read"), kept_amount()).otherwise(F.col("amount")))
+    changed = F.coalesce(F.col("__kept") != F.col("amount"), F.lit(False))
+    return j.select(*[F.col("__kept").alias("amount") if x == "amount" else F.col(x) for x in lines.columns], F.when(changed, "summary_consistency").otherwise("line_item").alias("amount_source"))
+
+
+def messages_column(subtotal: Column, tax: Column, shipping: Column, total: Column, line_sum: Column, tax_sum: Column, gross_sum: Column) -> Column:
+    """A map from the kinds of issues to what is said of them, for those whose figures are known."""
+    expected = F.round(subtotal + tax + F.coalesce(shipping, F.lit(0.0)), 2)
+    shipped = F.when(F.coalesce(shipping, F.lit(0.0)) != 0, "Total mismatch: expected subtotal+tax+shipping ").otherwise("Total mismatch: expected subtotal+tax ")
+    said = lambda head, a, b: F.concat(head if isinstance(head, Column) else F.lit(head), F.format_string("%.2f, got %.2f", a.cast("double"), b.cast("double")))
+    pairs = {
+        "incomplete_line_items": F.lit("Line-item arithmetic is incomplete, so subtotal support is only partial."),
+        "subtotal_mismatch": said("Subtotal mismatch: expected line sum ", line_sum, subtotal),
+        "tax_mismatch": said("Tax mismatch: expected line tax sum ", tax_sum, tax),
+        "total_mismatch": said(shipped, expected, total),
+        "gross_total_mismatch": said("Total mismatch: expected gross line sum ", gross_sum, total),
+    }
+    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+
+
+def summary_errors(issue_types: Column, messages: Column) -> Column:
+    """The messages of those issues that are mismatches, in order."""
+    return F.transform(F.filter(issue_types, lambda k: k.endswith("_mismatch")), lambda k: messages[k])
+
+
+def scalar_summary_errors(subtotal: Column, tax: Column, shipping: Column, total: Column, line_sum: Column) -> Column:
+    """The same from an invoice's figures alone, where they were not reconciled; lines that lack something of a sum that adds up are no error."""
+    ship = F.coalesce(shipping, F.lit(0.0))
+    adds_up = near(total, subtotal + F.coalesce(tax, F.lit(0.0)) + ship, TOLERANCE)
+    short = adds_up & (subtotal > line_sum + TOLERANCE)
+    expected = F.round(subtotal + tax + ship, 2)
+    head = F.when(shipping.isNotNull(), "Total mismatch: expected subtotal+tax+shipping ").otherwise("Total mismatch: expected subtotal+tax ")
+    wrong_sum = line_sum.isNotNull() & subtotal.isNotNull() & ~near(subtotal, line_sum, TOLERANCE) & ~F.coalesce(short, F.lit(False))
+    wrong_total = expected.isNotNull() & total.isNotNull() & ~near(expected, total, TOLERANCE)
+    tail = lambda a, b: F.format_string("%.2f, got %.2f", a.cast("double"), b.cast("double"))
+    return F.array_compact(F.array(F.when(wrong_sum, F.concat(F.lit("Subtotal mismatch: expected line sum "), tail(line_sum, subtotal))), F.when(wrong_total, F.concat(head, tail(expected, total)))))
 
 
 def issues_column(subtotal: Column, tax: Column, shipping: Column, total: Column, line_count: Column, line_sum: Column, tax_sum: Column, gross_sum: Column, fully_priced: Column, tax_reliable: Column, gross_supported: Column) -> Column:
@@ -122,11 +236,12 @@ def status_column(issues: Column, derived: Column, fully_priced: Column, line_co
 
 
 def reconciled(invoices: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``completed`` with issue_types, issue_count, derived_fields and status."""
+    """``completed`` with issue_types, issue_count, messages by kind, summary_errors, derived_fields, provenance and status."""
     j = completed(invoices, lines, doc)
     c = F.col
-    issues = issues_column(c("subtotal"), c("tax"), c("shipping"), c("total"), c("line_count"), c("line_sum"), c("line_tax_sum"), c("line_gross_sum"), c("fully_priced"), c("tax_complete"), c("gross_complete"))
-    derived = F.array_compact(F.array(*[F.when(c(f"{f}_source").isin("derived", "line_items"), F.lit(f)) for f in ("subtotal", "tax", "total")]))
-    j = j.withColumns({"issue_types": issues, "derived_fields": derived})
+    issues = issues_column(c("subtotal"), c("tax"), c("shipping"), c("total"), c("line_count"), c("line_sum"), c("line_tax_sum"), c("line_gross_sum"), c("fully_priced"), c("tax_reliable"), c("gross_supported"))
+    derived = F.array_compact(F.array(*[F.when(c(f"{f}_source").isin("line_items", "summary_reconciliation"), F.lit(f)) for f in ("subtotal", "tax", "total")]))
+    messages = messages_column(c("subtotal"), c("tax"), c("shipping"), c("total"), c("line_sum"), c("line_tax_sum"), c("line_gross_sum"))
+    j = j.withColumns({"issue_types": issues, "derived_fields": derived, "messages": messages, "provenance": provenance("subtotal", "tax", "total")})
     status = status_column(c("issue_types"), F.size("derived_fields") > 0, c("fully_priced"), c("line_count"), c("subtotal"), c("tax"), c("total"))
-    return j.withColumns({"issue_count": F.size("issue_types"), "status": status})
+    return j.withColumns({"issue_count": F.size("issue_types"), "summary_errors": summary_errors(c("issue_types"), c("messages")), "status": status})

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules
 from ledgerloom.functions.sets import hamming, jaccard
-from ledgerloom.functions.text import anchor
+from ledgerloom.functions.text import anchor, similarity
 
 HAMMING = 12.5
 LABEL_SHARE = 0.70
 LABEL_REACH = 0.05
 LABEL_EDITS = 2
 FAMILY_FLOOR = 0.55
+APART = 0.53
 MERGE_FLOOR = 0.84
+MAX_ALIASES = 10_000
+"""Aliases of a catalogue that goes to every task."""
 PAGE_WEIGHTS = {"header_page": 1.25, "summary_page": 1.25, "line_item_page": 0.55}
 
 
@@ -53,6 +56,37 @@ def confirmed_labels(labels: DataFrame, tokens: DataFrame, reach: float = LABEL_
     return labels.join(found, key, "left").groupBy("doc_id", "fingerprint_hash").agg(F.count(F.lit(1)).alias("labels"), F.count("__hit").alias("matched"))
 
 
+def fuzzy_pairs(names: DataFrame, name: str = "name", edits: int = 3) -> DataFrame:
+    """(label, token, edits, similarity) of all pairs of different texts (label the lesser) that are within so many edits.
+
+    A text is cut into edits + 1 segments. Of two texts within the distance, one segment of the shorter is whole in the longer, moved
+    by ``edits`` places at most; so texts meet by their length, a segment's number and the segment, and only those are compared.
+    Texts no longer than ``edits`` meet by length alone.
+    """
+    n = names.select(F.col(name).alias("v")).where("v IS NOT NULL").distinct().withColumn("size", F.length("v"))
+    parts = edits + 1
+
+    def cut(size: Column) -> list[tuple[Column, Column]]:
+        """(first place, length) of each segment of a text of this size."""
+        low, more = F.floor(size / parts).cast("int"), (size % parts).cast("int")
+        # The last segments are one longer.
+        return [(F.lit(1) + low * k + F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - more)), low + F.when(F.lit(k) >= F.lit(parts) - more, 1).otherwise(0)) for k in range(parts)]
+
+    short = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("v", at, size).alias("s")) for k, (at, size) in enumerate(cut(F.col("size")))])
+    held = n.select("v", "size", F.explode(F.when(F.col("size") <= edits, F.array(F.struct(F.lit(-1).alias("k"), F.lit("").alias("s")))).otherwise(short)).alias("x")).select(F.col("v").alias("a"), "size", "x.*")
+    sizes = F.explode(F.sequence(F.greatest(F.lit(0), F.col("size") - edits), F.col("size"))).alias("other")
+    probing = n.select("v", "size", sizes)
+    moved = [F.transform(F.sequence(F.greatest(F.lit(1), at - edits), F.least(F.col("size") - size + 1, at + edits)), _windows(k, size)) for k, (at, size) in enumerate(cut(F.col("other")))]
+    asked = probing.select(F.col("v").alias("b"), F.col("other").alias("size"), F.explode(F.when(F.col("other") <= edits, F.array(F.struct(F.lit(-1).alias("k"), F.lit("").alias("s")))).otherwise(F.array_distinct(F.flatten(F.array(*moved))))).alias("x")).select("b", "size", "x.*")
+    met = held.join(asked, ["size", "k", "s"]).where("a != b").select(F.least("a", "b").alias("label"), F.greatest("a", "b").alias("token")).distinct()
+    d = F.levenshtein("label", "token", edits)
+    return met.withColumn("edits", d).where("edits >= 0").select("label", "token", "edits", F.round(similarity(F.col("label"), F.col("token")), 6).alias("similarity"))
+
+
+def _windows(k: int, size: Column) -> Callable[[Column], Column]:
+    return lambda at: F.struct(F.lit(k).alias("k"), F.substring(F.col("v"), at, size).alias("s"))
+
+
 def best_fingerprint(candidates: DataFrame, confirmed: DataFrame) -> DataFrame:
     """The nearest candidate of each document whose labels are confirmed; without labels only an equal one. Ties go to the smaller hash."""
     j = candidates.join(confirmed, ["doc_id", "fingerprint_hash"], "left").na.fill(0, ["labels", "matched"])
@@ -101,13 +135,18 @@ def family_matches(documents: DataFrame, families: DataFrame, tolerance: int = 1
 
     ``documents``: doc_id, regions, roles, tokens, page_count, provider_name, alignment (a map family -> alignment, or null).
     ``families``: template_family_id, status, apply_count, reject_count, confidence, regions, roles, tokens, page_count, provider_name, split_pressure.
-    A family is met only by a document that shares a token or a role with it; without either its score is below the floor.
+    A family is met only by a document that shares a token with it in a region. Without one the regions add nothing, and alignment,
+    roles, tokens and provider add 0.53 at most, which health does not raise: a floor must be above that.
     """
+    if floor <= APART:
+        raise ValueError(f"a floor of {APART} or less needs every family for every document")
+    marked = lambda k: lambda t: F.concat(F.lit(f"{k}:"), t)
+    in_region = lambda r: F.array_distinct(F.flatten(F.array(*[F.transform(F.coalesce(r[k], F.array().cast("array<string>")), marked(k)) for k in rules.REGION_WEIGHTS])))
     d = documents.select("doc_id", F.struct("regions", "roles", "tokens", "page_count", "provider_name", "alignment").alias("d"))
-    keyed = d.select("doc_id", "d", F.explode(F.array_distinct(F.concat(F.col("d.tokens"), F.transform("d.roles", lambda r: F.concat(F.lit("role:"), r))))).alias("k"))
     f = families.where("status != 'retired'").select("template_family_id", F.struct("status", "apply_count", "reject_count", "confidence", "regions", "roles", "tokens", "page_count", "provider_name", "split_pressure").alias("f"))
-    fk = f.select("template_family_id", F.explode(F.array_distinct(F.concat(F.col("f.tokens"), F.transform("f.roles", lambda r: F.concat(F.lit("role:"), r))))).alias("k"))
-    pairs = keyed.select("doc_id", "k").join(fk, "k").select("doc_id", "template_family_id").distinct()
+    keyed = d.select("doc_id", F.explode(in_region(F.col("d.regions"))).alias("k"))
+    fk = f.select("template_family_id", F.explode(in_region(F.col("f.regions"))).alias("k"))
+    pairs = keyed.join(fk, "k").select("doc_id", "template_family_id").distinct()
     j = pairs.join(f, "template_family_id").join(d, "doc_id")
     c = F.col
     deltas = rules.role_deltas(c("f.roles"), c("d.roles"))
@@ -142,7 +181,7 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", values: st
     each = sets.select(key, *block, F.array_distinct(values).alias("v")).where(F.size("v") > 0)
     long = each.select(key, F.explode("v").alias("t"))
     ranked = long.join(long.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
-    take = F.size("o") - F.ceil(F.size("o") * F.lit(threshold)).cast("int") + 1
+    take = F.size("o") - F.ceil(F.size("o") * F.lit(threshold) - 1e-9).cast("int") + 1
     prefix = ranked.select(key, F.explode(F.transform(F.slice("o", F.lit(1), take), lambda x: x["t"])).alias("t"))
     side = lambda p: prefix.select("t", F.col(key).alias(p))
     met = side("left_id").join(side("right_id"), "t").where("left_id < right_id").select("left_id", "right_id").distinct()
@@ -230,12 +269,20 @@ def merge_similarity(a: Column, b: Column) -> Column:
 def merge_candidates(families: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:
     """(source_id, target_id, similarity): pairs of active families alike enough to merge, the weaker into the stronger.
 
-    Families meet where they share a token; below the floor of 0.84 a pair without one cannot come, as regions weigh 0.45.
+    All but the regions add 0.55 at most, so their likeness is (floor - 0.55) / 0.45 at least, and so is the overlap of one of them:
+    families meet by (region, token) among the rarest of a region's tokens, as sets that alike must share one of those.
     """
+    if floor <= 0.55:
+        raise ValueError("a floor of 0.55 or less needs every pair of families")
     side = F.struct(*[F.col(c) for c in ("regions", "roles", "fields", "provider_name", "country_code", "document_family", "page_count", "apply_count", "reject_count", "confidence")])
     f = families.where("status != 'retired'").select("template_family_id", side.alias("s"))
-    tokens = f.select("template_family_id", F.explode("s.regions.generic").alias("t"))
-    met = tokens.toDF("left_id", "t").join(tokens.toDF("right_id", "t"), "t").where("left_id < right_id").select("left_id", "right_id").distinct()
+    each = f.select("template_family_id", F.explode(F.array(*[F.struct(F.lit(k).alias("region"), F.array_distinct(F.coalesce(F.col(f"s.regions.{k}"), F.array().cast("array<string>"))).alias("v")) for k in rules.REGION_WEIGHTS])).alias("x")).select("template_family_id", "x.*")
+    long = each.select("template_family_id", "region", F.explode("v").alias("t"))
+    counted = long.join(long.groupBy("region", "t").agg(F.count(F.lit(1)).alias("n")), ["region", "t"])
+    rare = counted.groupBy("template_family_id", "region").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+    take = F.size("o") - F.ceil(F.size("o") * F.lit((floor - 0.55) / 0.45) - 1e-9).cast("int") + 1
+    tokens = rare.select("template_family_id", "region", F.explode(F.transform(F.slice("o", F.lit(1), take), lambda x: x["t"])).alias("t"))
+    met = tokens.toDF("left_id", "region", "t").join(tokens.toDF("right_id", "region", "t"), ["region", "t"]).where("left_id < right_id").select("left_id", "right_id").distinct()
     j = met.join(f.toDF("left_id", "a"), "left_id").join(f.toDF("right_id", "b"), "right_id")
     for k in ("provider_name", "country_code", "document_family"):
         j = j.where(F.col(f"a.{k}").isNull() | F.col(f"b.{k}").isNull() | (F.col(f"a.{k}") == F.col(f"b.{k}")))
@@ -249,8 +296,10 @@ def resolved_providers(documents: DataFrame, aliases: DataFrame, floor: float =
     """(doc_id, provider_name, confidence): the provider whose alias a text holds, or most of whose words it holds.
 
     ``aliases``: provider_no, provider_name, alias. A catalogue; each text meets every alias, so the text is scanned
-    where it is and only matches leave. Of equal confidence the first provider wins.
+    where it is and only matches leave. Of equal confidence the first provider wins. More than ``MAX_ALIASES`` are an error.
     """
+    if aliases.limit(MAX_ALIASES + 1).count() > MAX_ALIASES:
+        raise ValueError(f"more than {MAX_ALIASES} aliases")
     a = aliases.select("provider_no", "provider_name", F.lower(F.trim("alias")).alias("a")).where("a != ''")
     a = a.withColumn("w", F.filter(F.split("a", r"\s+"), lambda w: F.length(w) > 2))
     catalogue = a.agg(F.sort_array(F.collect_list(F.struct("provider_no", "provider_name", "a", "w"))).alias("c"))  # one row of configuration
@@ -279,12 +328,17 @@ def anchor_signatures(tokens: DataFrame) -> DataFrame:
         "footer": ("terms", "payment", "bank", "iban", "swift", "remit"),
     }
     summary_words = ("subtotal", "total", "amount due", "balance due", "vat", "tax")
+    # A token's marks are found once: a bit for each list of words that it speaks of, and for the region that it stands in.
     t = tokens.withColumns({"a": anchor(F.col("text")), "r": region_of(F.col("y"), F.col("h"), F.col("page_h"))}).where("a != ''")
+    any_word = "|".join(sorted({w for ws in keywords.values() for w in ws}, key=lambda w: (-len(w), w)))
     named = lambda words: reduce(lambda x, y: x | y, [F.col("a").contains(w) for w in words])
-    not_digits = ~F.col("a").rlike("^[0-9]+$")
-    sets = [F.collect_set(F.when(named(w), F.col("a"))).alias(f"k_{k}") for k, w in keywords.items()]
-    page = t.groupBy("doc_id", "page_no").agg(
-        F.collect_set(F.when((F.col("r") == "header") & not_digits, F.col("a"))).alias("h"), F.collect_set(F.when((F.col("r") == "footer") & not_digits, F.col("a"))).alias("f"),
+    kinds = F.when(F.col("a").rlike(any_word), F.array_compact(F.array(*[F.when(named(w), F.lit(k)) for k, w in keywords.items()])))
+    edge = F.when(F.col("r").isin("header", "footer") & ~F.col("a").rlike("^[0-9]+$"), F.array("r"))
+    none = F.array().cast("array<string>")
+    marked = t.select("doc_id", "page_no", "token_seq", "a", F.concat(F.coalesce(kinds, none), F.coalesce(edge, none)).alias("m"))
+    sets = [F.collect_set(F.when(F.array_contains("m", k), F.col("a"))).alias(f"k_{k}") for k in keywords]
+    page = marked.groupBy("doc_id", "page_no").agg(
+        F.collect_set(F.when(F.array_contains("m", "header"), F.col("a"))).alias("h"), F.collect_set(F.when(F.array_contains("m", "footer"), F.col("a"))).alias("f"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_seq", "a"))), lambda x: x["a"]), " ").alias("joined"), *sets,
     )
     is_summary = reduce(lambda x, y: x | y, [F.col("joined").contains(w) for w in summary_words])

@@ -64,17 +64,59 @@ def representative(fingerprints: DataFrame, family: str = "template_family_id")
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Rows added to a Parquet table."""
-    df.write.mode("append").parquet(path)
+    """Rows added to a Parquet table, to the version of it that is current."""
+    df.write.mode("append").parquet(current(df.sparkSession, path) or path)
+
+
+def deduplicated(items: Column) -> Column:
+    """JSON texts without those that equal an earlier one; objects' keys are taken in order."""
+    return F.array_distinct(F.transform(items, lambda x: F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(x, "map<string,string>"))))), x)))
+
+
+def relinked_either(table: DataFrame, keys: DataFrame, paths: DataFrame, source: str, target: str) -> DataFrame:
+    """The rows of family ``source`` in family ``target`` where their fingerprint is among ``keys`` (fingerprint_hash) or their path among ``paths`` (invoice_path).
+
+    A JSON column ``payload`` that names the family names the new one, on these rows.
+    """
+    j = table.join(keys.select("fingerprint_hash").distinct().withColumn("__k", F.lit(True)), "fingerprint_hash", "left").join(paths.select("invoice_path").distinct().withColumn("__p", F.lit(True)), "invoice_path", "left")
+    moved = (F.col("template_family_id") == source) & (F.coalesce("__k", F.lit(False)) | F.coalesce("__p", F.lit(False)))
+    new = {"template_family_id": F.when(moved, target).otherwise(F.col("template_family_id"))}
+    if "payload" in table.columns:
+        quoted = F.concat(F.lit('"template_family_id":"'), F.lit(source), F.lit('"'))
+        new["payload"] = F.when(moved, F.replace("payload", quoted, F.lit(f'"template_family_id":"{target}"'))).otherwise(F.col("payload"))
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in table.columns])
+
+
+def current(spark, path: str) -> str | None:
+    """The folder that holds a table's files: the version that its pointer names, else the path itself; None where there is neither."""
+    fs, at = _fs(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    if not fs.exists(at):
+        return None
+    named = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("_version-"))
+    return f"{path.rstrip('/')}/{named[-1].removeprefix('_version-').split('=', 1)[1]}" if named else hadoop.Path(path).toString()
+
+
+def _fs(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """A Parquet table written anew beside the old one and swapped in; ``df`` may read the table itself."""
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.next"
-    df.write.mode("overwrite").parquet(aside)
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    """A Parquet table written anew beside the old one; ``df`` may read the table itself.
+
+    The new version is a folder of its own below the path. An empty marker that names it is created when it is whole, which is the one step
+    that readers see; older versions go after that. So a crash at any time leaves the old table or the new one.
+    """
+    import uuid
+
+    spark, root = df.sparkSession, path.rstrip("/")
+    fs, at = _fs(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    before = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    last = max((int(p.getName()[9:].split("=", 1)[0]) for p in before if p.getName().startswith("_version-")), default=0)
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    fs.create(hadoop.Path(f"{root}/_version-{last + 1:012d}={name}"), False).close()
+    for old in sorted(before, key=lambda p: not p.getName().startswith("_version-")):
+        fs.delete(old, True)

@@ -71,18 +71,9 @@ WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DE
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (q * p)::DOUBLE AS expected, a::DOUBLE AS amount FROM l WHERE NOT abs(q * p - a) < 0.02""")
 def line_arithmetic_check(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    q, p, a = money("l_quantity"), F.round("p_retailprice", 2).cast("decimal(12,2)"), money("l_extendedprice")
-    return j.where(~numbers.near(q * p, a, 0.02)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (q * p).cast("double").alias("expected"), a.cast("double").alias("amount"))
-
-
-@query("""
-WITH l AS (SELECT *, l_extendedprice::DECIMAL(12,2) AS gross, l_tax::DECIMAL(4,2) AS rate FROM lineitem),
-m AS (SELECT *, round((gross::DOUBLE / (1 + rate::DOUBLE)), 2) AS net FROM l)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, gross::DOUBLE AS gross, net, round(gross::DOUBLE - net, 2) AS tax FROM m""")
-def line_normalize_tax(spark, d):
-    gross, rate = F.col("l_extendedprice").cast("double"), F.col("l_tax").cast("double")
-    net = F.round(gross / (1 + rate), 2)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gross.alias("gross"), net.alias("net"), F.round(gross - net, 2).alias("tax"))
+    lines = j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("line_no"), money("l_quantity").alias("quantity"), F.round("p_retailprice", 2).cast("decimal(12,2)").alias("unit_price"), money("l_extendedprice").alias("amount"))
+    wrong = reconcile.line_mismatches(lines)
+    return wrong.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("quantity") * F.col("unit_price"), 2).cast("double").alias("expected"), F.col("amount").cast("double").alias("amount"))
 
 
 def _category_sql(x: str) -> str:
@@ -102,10 +93,10 @@ def category_totals(spark, d):
 
 
 @query("""
-SELECT l_orderkey AS doc_id, round(sum(l_extendedprice::DECIMAL(18,4)), 2)::DOUBLE AS line_sum, count(*) AS line_count, bool_and(l_tax > 0) AS all_taxed, bool_or(l_returnflag = 'R') AS any_returned FROM lineitem GROUP BY 1""")
+SELECT l_orderkey AS doc_id, round(sum(l_extendedprice::DECIMAL(18,4)), 2)::DOUBLE AS line_sum, count(*) AS line_count, bool_and(l_tax > 0) AS tax_complete, bool_and(l_extendedprice IS NOT NULL) AS fully_priced, NULL::DOUBLE AS line_net_sum FROM lineitem GROUP BY 1""")
 def line_sums(spark, d):
-    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"))
-    return x.agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")), 2).cast("double").alias("line_sum"), F.count(F.lit(1)).alias("line_count"), F.bool_and(F.col("l_tax") > 0).alias("all_taxed"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"))
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("double").alias("net_amount"), F.lit(None).cast("double").alias("gross_amount"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax_amount"))
+    return reconcile.line_sums(x).select("doc_id", "line_sum", "line_count", "tax_complete", "fully_priced", "line_net_sum")
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
@@ -217,19 +208,6 @@ def country_currency_score(spark, d):
     return x.select("doc_id", "us", "ca", "mx", "country", rules.currency(F.col("o"), F.col("country")).alias("currency"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, text, lower(text) AS t, regexp_extract_all(text, '[0-9]') AS digits FROM documents)
-SELECT doc_id, contains(t, 'total') OR contains(t, 'tax') AS summary_cue, regexp_matches(t, '@|www[.]|[0-9]{3}[-. ][0-9]{4}') AS contact_cue, regexp_matches(text, '[|]') AS table_cue, len(digits)::INT AS n_digits,
-  length(text) < 200 AND upper(text) = text AS banner FROM w""")
-def row_classifier(spark, d):
-    t = F.col("text")
-    low = F.lower(t)
-    return table(spark, d, "documents").select(
-        "doc_id", tx.contains_any(low, ("total", "tax")).alias("summary_cue"), low.rlike("@|www[.]|[0-9]{3}[-. ][0-9]{4}").alias("contact_cue"), t.rlike("[|]").alias("table_cue"),
-        F.size(F.regexp_extract_all(t, F.lit("[0-9]"), F.lit(0))).alias("n_digits"), ((F.length(t) < 200) & (F.upper(t) == t)).alias("banner"),
-    )
-
-
 @query("SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 12) AS short FROM documents")
 def doc_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 12).alias("short"))
@@ -245,62 +223,26 @@ WITH d AS (SELECT doc_id, string_split(replace(text, ', ', ': '), chr(10)) AS ls
 k AS (SELECT doc_id, n, trim(regexp_replace(split_part(l, ':', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS key, trim(regexp_replace(substr(l, strpos(l, ':') + 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS value FROM f)
 SELECT doc_id, count(DISTINCT key) AS n_keys, md5(coalesce(string_agg(v, '|' ORDER BY v), '')) AS pairs_md5 FROM (SELECT doc_id, key, arg_min(key || '=' || value, n) AS v FROM k WHERE key <> '' AND value <> '' GROUP BY 1, 2) GROUP BY 1""")
 def native_key_values(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(", "), F.lit(": ")), "\n")).alias("n", "l")).where(F.col("l").contains(":"))
-    k, v = tx.squeezed(F.regexp_extract("l", "^([^:]*):", 1)), tx.squeezed(F.regexp_extract("l", "^[^:]*:(.*)$", 1))
-    first = lines.select("doc_id", "n", k.alias("k"), v.alias("v")).where("k != '' AND v != ''").groupBy("doc_id", "k").agg(F.min_by("v", "n").alias("v"))
-    per = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sort_array(F.collect_list(F.concat("k", F.lit("="), "v"))).alias("p"))
-    return per.select("doc_id", "n_keys", F.md5(F.array_join("p", "|")).alias("pairs_md5"))
+    pairs = tx.key_values(F.replace("text", F.lit(", "), F.lit(": ")))
+    entries = table(spark, d, "documents").select("doc_id", F.map_entries(pairs).alias("e")).where(F.size("e") > 0)
+    shown = F.array_join(F.sort_array(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|")
+    return entries.select("doc_id", F.size("e").cast("long").alias("n_keys"), F.md5(shown).alias("pairs_md5"))
 
 
 # --- similarity -----------------------------------------------------------------------------------------------------
 
-_TOKENS = "list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 9))"
-
-
-@query(f"""WITH t AS (SELECT doc_id AS id, {_TOKENS} AS v FROM documents), u AS (SELECT * FROM t WHERE len(v) > 0)
-SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(list_concat(a.v, b.v))) AS similarity FROM u a JOIN u b ON a.id < b.id
-WHERE len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(list_concat(a.v, b.v))) >= 0.8""")
-def jaccard_pairs(spark, d):
-    v = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 9)
-    return routing.similar_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), v.alias("tokens")), 0.8)
-
-
-@query("""
-WITH h AS (SELECT doc_id, substr(md5(text), 1, 16) AS x, ('0x' || substr(md5(text), 1, 8))::BIGINT AS a, ('0x' || substr(md5(text), 9, 8))::BIGINT AS b, length(text) % 8 AS page_count FROM documents),
-k AS (SELECT * FROM h WHERE doc_id % 20 = 0),
-p AS (SELECT h.doc_id, k.x AS fingerprint_hash, bit_count(xor(h.a, k.a)) + bit_count(xor(h.b, k.b)) AS n FROM h JOIN k USING (page_count)),
-m AS (SELECT doc_id, n, min(fingerprint_hash) AS fingerprint_hash FROM p GROUP BY 1, 2)
-SELECT doc_id, arg_min(fingerprint_hash, n) AS fingerprint_hash, min(n)::BIGINT AS total_distance FROM m GROUP BY 1""")
-def hamming_nearest(spark, d):
-    h = table(spark, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"), (F.length("text") % 8).alias("page_count"))
-    one = h.select("doc_id", "visual_hash", F.lit(1).alias("page_no"), F.lit(1).alias("one"), F.col("page_count").alias("kind"))
-    known = one.where("doc_id % 20 = 0").select(F.col("visual_hash").alias("fingerprint_hash"), "visual_hash", "page_no", "kind").distinct()
-    near = routing.near_fingerprints(one.withColumn("page_no", F.col("kind")).withColumn("page_count", F.col("one")), known.select("fingerprint_hash", "visual_hash", F.col("kind").alias("page_no"), F.lit(1).alias("page_count")), threshold=64)
-    best = near.groupBy("doc_id").agg(F.min(F.struct("total_distance", "fingerprint_hash")).alias("b"))
-    return best.select("doc_id", "b.fingerprint_hash", "b.total_distance")
-
-
 @query("""WITH p AS (SELECT DISTINCT p_name FROM part)
 SELECT a.p_name AS label, b.p_name AS token, levenshtein(a.p_name, b.p_name)::INT AS edits, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity
 FROM p a JOIN p b ON a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 3 WHERE levenshtein(a.p_name, b.p_name) <= 3""")
 def levenshtein_fuzzy_join(spark, d):
-    p = table(spark, d, "part").select("p_name").distinct()
-    near_sizes = F.explode(F.sequence(F.length("p_name") - 3, F.length("p_name") + 3))
-    a = p.select(F.col("p_name").alias("label"), near_sizes.alias("size"))
-    b = p.select(F.col("p_name").alias("token"), F.length("p_name").alias("size"))
-    e = F.levenshtein("label", "token")
-    return a.join(b, "size").where("label < token").where(e <= 3).select("label", "token", e.alias("edits"), F.round(tx.similarity(F.col("label"), F.col("token")), 6).alias("similarity"))
+    return routing.fuzzy_pairs(table(spark, d, "part"), "p_name", 3)
 
 
 @query("""SELECT a.event_id AS left_id, b.event_id AS right_id, round(b.value - a.value, 6) AS delta FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id
 WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND abs(epoch_ms(b.ts) - epoch_ms(a.ts)) <= 3600000 AND abs(round(b.value - a.value, 6)) <= 5""")
 def band_join(spark, d):
-    e = table(spark, d, "events").where("value IS NOT NULL").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    cell = F.floor(F.col("ms") / 3600000)
-    a = e.select(F.col("event_id").alias("left_id"), "user_id", F.col("value").alias("v"), F.col("ms").alias("m"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = e.select(F.col("event_id").alias("right_id"), "user_id", "value", "ms", cell.alias("cell"))
-    delta = F.round(F.col("value") - F.col("v"), 6)
-    return a.join(b, ["user_id", "cell"]).where("left_id < right_id").where((F.abs(F.col("ms") - F.col("m")) <= 3600000) & (F.abs(delta) <= 5)).select("left_id", "right_id", delta.alias("delta"))
+    e = table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return history.close_pairs(e, "user_id", "ms", "value", "event_id", 3600000, 5)
 
 
 @query("""
@@ -601,13 +543,14 @@ def most_common_values(spark, d):
 
 @query(f"""WITH {_R}, f AS (SELECT o_custkey AS fam, count(*) FILTER (o_orderstatus = 'F') AS fa, count(*) FILTER (o_orderstatus = 'P') AS fr, (sum(((o_orderkey % 100)::DOUBLE / 100 * 1)::DECIMAL(24,6)) / count(*))::DOUBLE AS fc FROM orders GROUP BY 1),
 q AS (SELECT o_custkey AS fam, count(*) FILTER (validation_passed) AS ra, count(*) FILTER (NOT validation_passed OR (validation_passed IS NULL AND route = 'REJECTED')) AS rr, (sum(validation_score::DECIMAL(24,6)) / count(validation_score))::DOUBLE AS rs
-  FROM (SELECT r.*, o.o_custkey FROM r JOIN orders o ON o.o_orderkey = r.id WHERE r.id % 4 = 0) GROUP BY 1),
+  FROM (SELECT r.*, o.o_custkey FROM r JOIN orders o ON o.o_orderkey = r.id WHERE o.o_custkey % 4 <> 3) GROUP BY 1),
 j AS (SELECT f.fam, greatest(coalesce(ra, 0), fa) AS a, greatest(coalesce(rr, 0), fr) AS b, coalesce(rs, fc) AS c FROM f LEFT JOIN q ON q.fam = f.fam)
 SELECT fam AS template_family_id, a AS apply_count, b AS reject_count, CASE WHEN b > a AND b > 0 THEN 'degraded' WHEN a >= 5 AND c >= 0.95 THEN 'established' WHEN b >= 3 AND c < 0.85 THEN 'degraded' ELSE 'provisional' END AS status, round(c::DECIMAL(38,12), 4)::DOUBLE AS confidence FROM j""")
 def weighted_confidence_rollup(spark, d):
+    """All results of a family; every fourth family is one that has none."""
     o = table(spark, d, "orders")
     f = o.select(F.col("o_custkey").alias("template_family_id"), (F.col("o_orderstatus") == "F").cast("int").alias("apply_count"), (F.col("o_orderstatus") == "P").cast("int").alias("reject_count"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"))
-    r = results(spark, d).where("id % 4 = 0").drop("template_family_id").join(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
+    r = results(spark, d).drop("template_family_id").join(o.where("o_custkey % 4 != 3").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
     return reports.family_rollup(f, r)
 
 
@@ -672,11 +615,11 @@ def suggestion_support(spark, d):
 
 
 @query("""WITH t AS (SELECT doc_id, source, list_filter(string_split(lower(text), ' '), lambda w: list_contains(['the', 'of', 'and', 'tion', 'ing', 'des', 'que', 'der', 'und', 'los'], w)) AS w FROM documents), u AS (SELECT DISTINCT source, unnest(w) AS v FROM t)
-SELECT source AS "group", 'words' AS key, string_agg(v, ',' ORDER BY v) AS "values" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v) AS n FROM u) WHERE n <= 4 GROUP BY 1""")
+SELECT source AS "group", 'words' AS key, string_agg(v, ',' ORDER BY v) AS "values" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v) AS n FROM u) WHERE n <= 20 GROUP BY 1""")
 def anchor_keyword_sets(spark, d):
     w = F.filter(F.split(F.lower("text"), " "), lambda x: x.isin(*TERMS))
     hits = table(spark, d, "documents").select(F.col("source").alias("group"), F.create_map(F.lit("words"), F.array_distinct(w)).alias("keyword_hits"))
-    return reports.keyword_union(hits, 4).select("group", "key", F.array_join("values", ",").alias("values"))
+    return reports.keyword_union(hits).select("group", "key", F.array_join("values", ",").alias("values"))
 
 
 @query("SELECT l_orderkey AS page, median(l_quantity) AS median_height FROM lineitem GROUP BY 1")
@@ -751,13 +694,13 @@ def page_discovery(spark, d):
 
 
 @query(f"""WITH t AS (SELECT doc_id, page_no, lower(w) AS low, k // 8 AS r {_PAGE}), a AS (SELECT doc_id, page_no, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS a, r FROM t)
-SELECT doc_id, page_no::INT AS page_no, string_agg(DISTINCT a, ',' ORDER BY a) FILTER (r < 10 AND length(a) > 12 AND NOT regexp_matches(a, '^[0-9]+$')) AS long_header FROM a GROUP BY 1, 2""")
+SELECT doc_id, page_no::INT AS page_no, string_agg(DISTINCT a, ',' ORDER BY a) FILTER (r < 10 AND length(a) > 0 AND NOT regexp_matches(a, '^[0-9]+$')) AS header FROM a GROUP BY 1, 2""")
 def page_header_tokens(spark, d):
     a = tx.anchor(F.col("text"))
     top = sets.region_of(F.col("y"), F.col("h"), F.col("page_h")) == "header"
-    first = F.when(top & (F.length(a) > 12) & ~a.rlike("^[0-9]+$"), a)
-    found = tokens(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.sort_array(F.collect_set(first)), ",").alias("long_header"))
-    return found.withColumn("long_header", F.nullif("long_header", F.lit("")))
+    first = F.when(top & (a != "") & ~a.rlike("^[0-9]+$"), a)
+    found = tokens(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.sort_array(F.collect_set(first)), ",").alias("header"))
+    return found.withColumn("header", F.nullif("header", F.lit("")))
 
 
 @query()
@@ -778,40 +721,13 @@ def leader_clusters(spark, d):
 
 @query()
 def jaccard_links(spark, d):
-    """``jaccard_pairs`` over all words of whole texts: each document's class of equal word sets and its number of links."""
+    """All words of whole texts: each document's class of equal word sets and its number of links."""
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
     return routing.similar_classes(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.8)
 
 
 @query()
 def hamming_nearest_all(spark, d):
-    """``hamming_nearest`` over all rows: the documents of ids divisible by 20 are the queries, each held against every other document."""
+    """All rows: the documents of ids divisible by 20 are the queries, each held against every other document."""
     h = table(spark, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 16).alias("visual_hash"))
     return routing.nearest_hashes(h.where("doc_id % 20 = 0"), h)
-
-
-@query(ORACLE_SQL["weighted_confidence_rollup"].replace("WHERE r.id % 4 = 0", "WHERE o.o_custkey % 4 <> 3"))
-def weighted_confidence_rollup_all(spark, d):
-    """``weighted_confidence_rollup`` over all results of a family; every fourth family is one that has none."""
-    o = table(spark, d, "orders")
-    f = o.select(F.col("o_custkey").alias("template_family_id"), (F.col("o_orderstatus") == "F").cast("int").alias("apply_count"), (F.col("o_orderstatus") == "P").cast("int").alias("reject_count"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"))
-    r = results(spark, d).drop("template_family_id").join(o.where("o_custkey % 4 != 3").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_family_id")), "id")
-    return reports.family_rollup(f, r)
-
-
-@query(ORACLE_SQL["anchor_keyword_sets"].replace("WHERE n <= 4", "WHERE n <= 20"))
-def anchor_keyword_sets_all(spark, d):
-    """``anchor_keyword_sets`` with the operator's production limit of 20."""
-    w = F.filter(F.split(F.lower("text"), " "), lambda x: x.isin(*TERMS))
-    hits = table(spark, d, "documents").select(F.col("source").alias("group"), F.create_map(F.lit("words"), F.array_distinct(w)).alias("keyword_hits"))
-    return reports.keyword_union(hits).select("group", "key", F.array_join("values", ",").alias("values"))
-
-
-@query(ORACLE_SQL["page_header_tokens"].replace("length(a) > 12", "length(a) > 0").replace("long_header", "header"))
-def page_header_tokens_all(spark, d):
-    """``page_header_tokens`` with header words of any length."""
-    a = tx.anchor(F.col("text"))
-    top = sets.region_of(F.col("y"), F.col("h"), F.col("page_h")) == "header"
-    first = F.when(top & (a != "") & ~a.rlike("^[0-9]+$"), a)
-    found = tokens(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.sort_array(F.collect_set(first)), ",").alias("header"))
-    return found.withColumn("header", F.nullif("header", F.lit("")))

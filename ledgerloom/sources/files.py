@@ -13,14 +13,27 @@ DOCUMENTS = "*.{png,jpg,jpeg,pdf,PNG,JPG,JPEG,PDF}"
 SKIPPED = (".git", ".venv", "node_modules", "__pycache__", ".pytest_cache", "dist", "build")
 
 
-def dataset_path(name: str, root: str | None = None) -> str:
-    """A path as it is if it looks like one, else that folder below the root; without a root the name."""
+def dataset_path(name: str, root: str | None = None, must_exist: bool = False) -> str:
+    """A path as it is if it looks like one, else that folder below the root, or below the working folder where only that is there; without a root the name."""
     looks = os.path.isabs(name) or name.startswith((".", "~")) or "/" in name or "://" in name
-    return name if looks or not root else f"{root.rstrip('/')}/{name}"
+    found = name if looks or not root else f"{root.rstrip('/')}/{name}"
+    if "://" not in found:
+        if found != name and not os.path.exists(found) and os.path.exists(name):
+            found = os.path.abspath(name)
+        if must_exist and not os.path.exists(os.path.expanduser(found)):
+            raise FileNotFoundError(found)
+    return found
+
+
+def _there(spark: SparkSession, folder: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modified, size, content) of the images and PDFs right in a folder, in order of path; content is read only where it is used."""
+    """(path, modified, size, content) of the images and PDFs right in a folder, in order of path; content is read only where it is used. A folder that is not there has none."""
+    if not _there(spark, folder):
+        return spark.createDataFrame([], "path string, modified timestamp, size long, content binary")
     found = spark.read.format("binaryFile").option("pathGlobFilter", DOCUMENTS).option("recursiveFileLookup", "false").load(folder)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content").orderBy("path")
 
@@ -36,6 +49,13 @@ def paired(found: DataFrame, truth: DataFrame) -> DataFrame:
     return found.withColumn("stem", path_stem(F.col("path"))).join(truth, "stem", "left")
 
 
+def canonical_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, record) of the JSON records in a folder: of annotated values those that are present, of others the values as they are."""
+    from ledgerloom.operators.truth import canonical_json
+
+    return records(spark, folder).select("stem", canonical_json(F.col("content")).alias("record"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(bucket, file) of a subset's manifest: ``{"buckets": {name: [file, ...]}}``."""
     whole = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "buckets map<string,array<string>>").alias("m"))

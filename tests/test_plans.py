@@ -46,17 +46,17 @@ def test_query(spark, duck, name):
 def test_rollup_of_all_results(spark):
     kept = catalogue.results(spark, SF).drop("template_family_id").join(catalogue.table(spark, SF, "orders").selectExpr("o_orderkey AS id", "o_custkey AS template_family_id"), "id")
     want = {r.template_family_id: r.n for r in kept.where("template_family_id % 4 != 3 AND validation_passed").groupBy("template_family_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup_all(spark, SF).collect()}
+    got = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup(spark, SF).collect()}
     assert want and all(got[k] >= n for k, n in want.items())
     cut = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup(spark, SF).collect()}
     assert any(cut[k] < n for k, n in want.items())
 
 
 def test_keywords_and_header_words_are_whole(spark):
-    got = {r.group: r["values"].split(",") for r in catalogue.anchor_keyword_sets_all(spark, SF).collect()}
+    got = {r.group: r["values"].split(",") for r in catalogue.anchor_keyword_sets(spark, SF).collect()}
     words = catalogue.table(spark, SF, "documents").select("source", F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.col("w").isin(*catalogue.TERMS)).distinct().collect()
     assert got == {g: sorted(r.w for r in words if r.source == g) for g in {r.source for r in words}} and max(map(len, got.values())) > 4
-    assert any(len(w) <= 12 for r in catalogue.page_header_tokens_all(spark, SF).limit(20).collect() for w in (r.header or "x" * 13).split(","))
+    assert any(len(w) <= 12 for r in catalogue.page_header_tokens(spark, SF).limit(20).collect() for w in (r.header or "x" * 13).split(","))
 
 
 def test_entry(spark):
