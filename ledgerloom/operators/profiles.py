@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ledgerloom.functions.text import contains_any
 from ledgerloom.operators import history
@@ -17,8 +16,6 @@ PROFILE = (
     " `table` struct<enabled:boolean,ocr_engine:string,row_gap_multiplier:double,min_line_span_fraction:double>,"
     " postprocess struct<refine_critical_fields:boolean,prefer_table_line_items:boolean>"
 )
-_KIND = StructType.fromDDL(PROFILE)
-
 # How much wider than its region each kind of field is read, and what a profile says where it says nothing.
 BUFFERS = {"string": 1.0, "date": 1.15, "currency": 0.9, "qty": 0.9, "address": 1.35}
 ENGINE = "paddle"
@@ -27,7 +24,7 @@ ROW_GAP, LINE_SPAN = 1.5, 0.40
 
 def read_profile(json: Column) -> Column:
     """A profile's JSON as a struct; nulls where it says nothing."""
-    return F.from_json(F.coalesce(json, F.lit("{}")), _KIND)
+    return F.from_json(F.coalesce(json, F.lit("{}")), PROFILE)
 
 
 def _map_of(pairs: dict, kind: str) -> Column:
