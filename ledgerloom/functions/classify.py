@@ -6,9 +6,8 @@ All of it is ``Column -> Column`` over a row's text; ``ocr_text`` is the plain f
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import token_number
@@ -177,106 +176,84 @@ def _undoubled(text: Column) -> Column:
     return let(words(text), of)
 
 
-def clean_party(text: Column, short: bool = False) -> Column:
-    """The name that a row of a party's block gives; empty where it gives none. ``short``: a customer's, who may stand beside a firm."""
-
-    def bare(t: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(t, r"\b\S+@\S+\b", " "), r"(?i)\b(?:e-?mail|email)\b", " ")
-        return F.regexp_replace(plain, r"(?i)^(?:\s*(?:tax\s+invoice|commercial\s+invoice|invoice|invoices)\b[:\s-]*)+", "")
-
-    def cut(b: Column) -> Column:
-        """Of a row without mail and titles: (what it is, its first segment, the name in that)."""
-
-        def of(segment: Column) -> Column:
-            name = trimmed_party(F.when(b.contains("|"), F.coalesce(segment, b)).otherwise(b))
-            name = stripped(F.get(F.split(name, r"(?i)\b(?:invoice|invoices|date|due|www\.|https?://)\b", 2), F.lit(0)), " :")
-            return F.struct(b.alias("b"), segment.alias("s"), stripped(F.get(F.split(name, r"\b\d{3,}\b", 2), F.lit(0)), " :").alias("n"))
-
-        return let(F.get(F.filter(F.transform(F.split(b, r"\|"), lambda x: stripped(x, " :")), lambda x: x != ""), F.lit(0)), of)
-
-    def chosen(x: Column, t: Column) -> Column:
-        if not short:
-            return _undoubled(x["n"])
-        lead = stripped(F.get(words(x["s"]), F.lit(0)), " :")
-        piped = F.ltrim(x["b"]).startswith("|") & lead.rlike(r"^\p{L}\D*$")
-        few = x["b"].contains("|") & x["s"].isNotNull() & (F.size(F.split(ocr_text(x["s"]), " ")) <= 3)
-        return F.when(F.coalesce(piped, F.lit(False)), lead).when(F.coalesce(few, F.lit(False)), x["s"]).otherwise(_undoubled(stripped(_shorter(x["n"], t), " :")))
-
-    def of(t: Column) -> Column:
-        named = let(let(bare(t), cut), lambda x: chosen(x, t))
-        return F.when(mixed(t, ocr_text(t)), "").otherwise(let(named, lambda n: F.when(ocr_text(n).isin(*COUNTRY_NAMES), "").otherwise(n)))
-
-    return let(F.coalesce(text, F.lit("")), of)
+def line_score(t: Column, p: Column) -> Column:
+    """``party_line_score`` of a text that is not null and its plain form."""
+    ws = F.split(p, " ")
+    n = F.size(ws)
+    suffix, upper = _any_word(ws, BUSINESS_SUFFIXES), F.upper(t) == t
+    initials = (n <= 3) & F.forall(ws, lambda w: w.rlike("^[a-z]{1,3}$")) & upper & ~suffix
+    good = F.lit(0.2) + F.when(suffix, 0.35).otherwise(0.0) + F.when(n.isin(2, 3, 4), 0.15).otherwise(0.0) + F.when(upper & (n <= 4), 0.08).otherwise(0.0)
+    return first_matching(
+        [
+            ((p == "") | contains_any(p, ACCOUNT_MARKERS) | p.isin(*COUNTRY_NAMES), -1.0),
+            (p.isin(*ADDRESS_STOPS) | p.endswith(" to"), -0.6),
+            (~p.rlike("[a-z]"), -0.5),
+            ((n == 1) & suffix, -0.45),
+            (initials, -0.5),
+            (n > 8, -0.2),
+            (noise(p), -0.5),
+            (_digits(t) >= 5, -0.3),
+        ],
+        good,
+    )
 
 
 def party_line_score(text: Column) -> Column:
     """How well a text reads as a party's name, from -1; 0.2 and more for plain words, most for a firm's."""
-
-    def of(x: Column) -> Column:
-        t, p = x["t"], x["p"]
-        ws = F.split(p, " ")
-        n = F.size(ws)
-        suffix, upper = _any_word(ws, BUSINESS_SUFFIXES), F.upper(t) == t
-        initials = (n <= 3) & F.forall(ws, lambda w: w.rlike("^[a-z]{1,3}$")) & upper & ~suffix
-        good = F.lit(0.2) + F.when(suffix, 0.35).otherwise(0.0) + F.when(n.isin(2, 3, 4), 0.15).otherwise(0.0) + F.when(upper & (n <= 4), 0.08).otherwise(0.0)
-        return first_matching(
-            [
-                ((p == "") | contains_any(p, ACCOUNT_MARKERS) | p.isin(*COUNTRY_NAMES), -1.0),
-                (p.isin(*ADDRESS_STOPS) | p.endswith(" to"), -0.6),
-                (~p.rlike("[a-z]"), -0.5),
-                ((n == 1) & suffix, -0.45),
-                (initials, -0.5),
-                (n > 8, -0.2),
-                (noise(p), -0.5),
-                (_digits(t) >= 5, -0.3),
-            ],
-            good,
-        )
-
-    return let(F.struct(F.coalesce(text, F.lit("")).alias("t"), ocr_text(F.coalesce(text, F.lit(""))).alias("p")), of)
-
-
-CUSTOMER_ROLES = ("bill_to_block", "ship_to_block")
-
-
-def party_role_score(text: Column, role: str) -> Column:
-    """How well a row names the party of a role."""
-    short = role in CUSTOMER_ROLES
-
-    def of(x: Column) -> Column:
-        t, c, p, cp = x["t"], x["c"], x["p"], x["cp"]
-        numbered = c.rlike(r"\d")
-        prefix = (cp != "") & p.startswith(cp) & (F.size(F.split(cp, " ")) <= 4)
-        street = t.rlike(r"\d") & _any_word(F.split(p, " "), STREET_HINTS)
-        postal = t.rlike(r",\s*[A-Z]{2}\b") | t.rlike(r"\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b")
-        terms = [
-            F.when(numbered, -0.35),
-            F.when((F.size(F.split(cp, " ")) <= 2) & ~numbered, 0.18),
-            F.when(t.contains("|"), 0.2) if short else F.lit(0.0),
-            F.when(_any_word(F.split(cp, " "), BUSINESS_SUFFIXES), 0.15) if role == "vendor_block" else F.lit(0.0),
-            F.when(street, F.when(prefix, -0.15).otherwise(-0.55)),
-            F.when(postal, F.when(prefix, -0.15).otherwise(-0.45)),
-            F.when(contactish(c, cp), -0.55),
-        ]
-        return F.when((c == "") | banner(cp), -1.0).otherwise(x["s"] + reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in terms]))
-
-    def with_score(x: Column) -> Column:
-        return let(F.struct(x["t"].alias("t"), x["c"].alias("c"), x["p"].alias("p"), ocr_text(x["c"]).alias("cp"), party_line_score(x["c"]).alias("s")), of)
-
     whole = F.coalesce(text, F.lit(""))
-    return let(F.struct(whole.alias("t"), clean_party(whole, short).alias("c"), ocr_text(whole).alias("p")), with_score)
+    return let(F.struct(whole.alias("t"), ocr_text(whole).alias("p")), lambda x: line_score(x["t"], x["p"]))
 
 
-def row_block_class(text: Column) -> Column:
-    """table, summary, party, metadata or other: what a row adds to a block."""
+CUSTOMER_ROLES = ("bill_to_block", "ship_to_block")
 
-    def of(x: Column) -> Column:
-        t, p = x["t"], x["p"]
-        partyish = F.greatest(party_role_score(t, "vendor_block"), party_role_score(t, "bill_to_block")) >= 0.22
-        summary = (p == "summary") | (summary_cues(p) & ~mixed(t, p))
-        return first_matching([(p == "", "other"), (tableish(t, p), "table"), (summary, "summary"), (party_cues(p), "party"), (partyish, "party"), (metadataish(t, p), "metadata")], "other")
 
-    return let(F.struct(F.coalesce(text, F.lit("")).alias("t"), ocr_text(F.coalesce(text, F.lit(""))).alias("p")), of)
+def role_score(t: Column, p: Column, c: Column, cp: Column, score: Column, role: str) -> Column:
+    """How well a row names the party of a role, from its text, the name it gives, both in plain form, and the name's ``line_score``."""
+    numbered = c.rlike(r"\d")
+    prefix = (cp != "") & p.startswith(cp) & (F.size(F.split(cp, " ")) <= 4)
+    street = t.rlike(r"\d") & _any_word(F.split(p, " "), STREET_HINTS)
+    postal = t.rlike(r",\s*[A-Z]{2}\b") | t.rlike(r"\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b")
+    terms = [
+        F.when(numbered, -0.35),
+        F.when((F.size(F.split(cp, " ")) <= 2) & ~numbered, 0.18),
+        F.when(t.contains("|"), 0.2) if role in CUSTOMER_ROLES else F.lit(0.0),
+        F.when(_any_word(F.split(cp, " "), BUSINESS_SUFFIXES), 0.15) if role == "vendor_block" else F.lit(0.0),
+        F.when(street, F.when(prefix, -0.15).otherwise(-0.55)),
+        F.when(postal, F.when(prefix, -0.15).otherwise(-0.45)),
+        F.when(contactish(c, cp), -0.55),
+    ]
+    return F.when((c == "") | banner(cp), -1.0).otherwise(score + reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in terms]))
+
+
+def named(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with what rows say of parties, each column worked out once: ``__t`` and ``__p`` (the text, plain), ``__long`` and ``__short`` (the name it
+    gives a seller and a customer), their plain forms and scores (``__lp``, ``__ls``, ``__sp``, ``__ss``), ``__rs`` (the text's own score), and ``__seller`` and ``__buyer`` (as rows of their blocks)."""
+    c = F.col
+    plain = F.regexp_replace(F.regexp_replace(c("__t"), r"\b\S+@\S+\b", " "), r"(?i)\b(?:e-?mail|email)\b", " ")
+    bare = F.regexp_replace(plain, r"(?i)^(?:\s*(?:tax\s+invoice|commercial\s+invoice|invoice|invoices)\b[:\s-]*)+", "")
+    first = F.get(F.filter(F.transform(F.split(c("__b"), r"\|"), lambda x: stripped(x, " :")), lambda x: x != ""), F.lit(0))
+    cut = F.get(F.split(c("__n"), r"(?i)\b(?:invoice|invoices|date|due|www\.|https?://)\b", 2), F.lit(0))
+    lead = stripped(F.get(words(c("__s")), F.lit(0)), " :")
+    piped = F.ltrim(c("__b")).startswith("|") & lead.rlike(r"^\p{L}\D*$")
+    few = c("__b").contains("|") & c("__s").isNotNull() & (F.size(F.split(ocr_text(c("__s")), " ")) <= 3)
+    gone = c("__mixed") | ocr_text(c("__n")).isin(*COUNTRY_NAMES)
+    d = df.withColumn("__t", F.coalesce(c(text), F.lit(""))).withColumn("__p", ocr_text(c("__t"))).withColumn("__b", bare).withColumn("__s", first)
+    d = d.withColumn("__n", trimmed_party(F.when(c("__b").contains("|"), F.coalesce("__s", "__b")).otherwise(c("__b")))).withColumn("__n", stripped(cut, " :"))
+    d = d.withColumn("__n", stripped(F.get(F.split(c("__n"), r"\b\d{3,}\b", 2), F.lit(0)), " :")).withColumn("__mixed", mixed(c("__t"), c("__p")))
+    d = d.withColumn("__x", stripped(_shorter(c("__n"), c("__t")), " :"))
+    d = d.withColumns({"__long": F.when(gone, "").otherwise(_undoubled(c("__n"))), "__short": F.when(F.coalesce(piped, F.lit(False)), lead).when(F.coalesce(few, F.lit(False)), c("__s")).otherwise(_undoubled(c("__x")))})
+    d = d.withColumns({"__lp": ocr_text(c("__long")), "__sp": ocr_text(c("__short"))})
+    away = c("__mixed") | c("__sp").isin(*COUNTRY_NAMES)
+    d = d.withColumns({"__short": F.when(away, "").otherwise(c("__short")), "__sp": F.when(away, "").otherwise(c("__sp"))})
+    d = d.withColumns({"__rs": line_score(c("__t"), c("__p")), "__ls": line_score(c("__long"), c("__lp")), "__ss": line_score(c("__short"), c("__sp"))})
+    scores = {"__seller": role_score(c("__t"), c("__p"), c("__long"), c("__lp"), c("__ls"), "vendor_block"), "__buyer": role_score(c("__t"), c("__p"), c("__short"), c("__sp"), c("__ss"), "bill_to_block")}
+    return d.withColumns(scores).drop("__b", "__s", "__n", "__x")
+
+
+def row_block_class(t: Column, p: Column, seller: Column, buyer: Column) -> Column:
+    """table, summary, party, metadata or other: what a row adds to a block, from its text, the plain form and its scores as a party's."""
+    summary = (p == "summary") | (summary_cues(p) & ~mixed(t, p))
+    return first_matching([(p == "", "other"), (tableish(t, p), "table"), (summary, "summary"), (party_cues(p), "party"), (F.greatest(seller, buyer) >= 0.22, "party"), (metadataish(t, p), "metadata")], "other")
 
 
 def without_overlap(name: Column, other: Column, suffix_last: bool = False) -> Column:

@@ -230,7 +230,7 @@ def similar_classes(sets: DataFrame, threshold: float, key: str = "id", values:
     either is verified on the words themselves.
     Rows without a value have no class and no links. Ids are unique.
     """
-    from ledgerloom.llm.shared import written
+    from ledgerloom.sources.scratch import written
 
     each = sets.select(F.col(key).alias("id"), F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))).alias("v"))
     some = each.where(F.size("v") > 0)

@@ -13,6 +13,7 @@ from ledgerloom.functions.labels import FIELD_SPECS, label_score
 from ledgerloom.functions.text import first_matching, let, ocr_text
 from ledgerloom.page.fields import phrases
 from ledgerloom.page.rows import row_texts
+from ledgerloom.sources.scratch import written
 
 PAGE = ["doc_id", "page_no"]
 ROLES = ("vendor_block", "bill_to_block", "ship_to_block", "remit_to_block", "summary_block")
@@ -28,7 +29,8 @@ def row_blocks(texts: DataFrame) -> DataFrame:
     after three, any other change in a block of four rows or of 18 % of the page.
     """
     c = F.col
-    kept = texts.where(F.trim("text") != "").withColumn("row_class", cl.row_block_class(c("text")))
+    kept = cl.named(texts.where(F.trim("text") != "")).withColumn("row_class", cl.row_block_class(c("__t"), c("__p"), c("__seller"), c("__buyer")))
+    kept = kept.select(*texts.columns, "row_class", c("__seller").alias("seller_score"), c("__buyer").alias("buyer_score"))
     page = kept.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row_no", "y", "h", "row_class"))).alias("rows"), F.first("page_h").alias("page_h"))
 
     def ends(s, r):
@@ -66,7 +68,7 @@ def block_roles(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_no, block_no, role, score, x, y, w, h, rows): the role that a block most likely plays."""
     c = F.col
     b = blocks.withColumns({
-        "p": ocr_text(c("text")), "vendor": F.when(c("block_row") < 2, cl.party_role_score(c("text"), "vendor_block")), "bill": F.when(c("block_row") < 2, cl.party_role_score(c("text"), "bill_to_block")),
+        "p": ocr_text(c("text")), "vendor": F.when(c("block_row") < 2, c("seller_score")), "bill": F.when(c("block_row") < 2, c("buyer_score")),
         "numbered": F.exists(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), lambda w: w.rlike(r"^\d{1,3}$")), "amounts": F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(cl.AMOUNT_TOKEN), F.lit(0)))),
     })
     head = c("block_row") < 2
@@ -124,20 +126,20 @@ def row_segments(rows: DataFrame) -> DataFrame:
     return r.groupBy(*PAGE, "row_no", "segment_no").agg(F.array_join(words, " ").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(c("x") + c("w")).alias("right"), F.bool_or(F.trim("text") == "|").alias("bar"))
 
 
-def segment_score(text, x, right, page_w, bar, role: str):
-    """How well a segment names the party of a role, by its words and its place in the width of the page; -1 where it gives no name."""
+def segment_score(role: str, width):
+    """(score, name) of a segment with the columns of ``classify.named``: how well it names the party of a role, by its words and its place in a width; -1 where it gives no name."""
+    c = F.col
     short = role in cl.CUSTOMER_ROLES
-
-    def of(s):
-        plain, left = F.split(ocr_text(s["c"]), " "), x / F.greatest(page_w, F.lit(1))
-        if not short:
-            place = F.greatest(F.lit(0.0), 0.16 - left * 0.22)
-        else:
-            alone = (F.size(plain) == 1) & F.get(plain, F.lit(0)).isin(*cl.BUSINESS_SUFFIXES)
-            place = F.greatest(F.lit(0.0), (right / F.greatest(page_w, F.lit(1)) - 0.42) * 0.28) + F.when(left < 0.2, -0.08).otherwise(0.0) + F.when(alone, -1.0).otherwise(0.0) + F.when(bar & (F.size(plain) <= 3), 0.45).otherwise(0.0)
-        return F.struct(F.when(s["c"] == "", -1.0).otherwise(s["s"] + place).alias("score"), s["c"].alias("name"))
-
-    return let(F.struct(cl.clean_party(text, short).alias("c"), cl.party_role_score(text, role).alias("s")), of)
+    name, plain, own = (c("__short"), c("__sp"), c("__ss")) if short else (c("__long"), c("__lp"), c("__ls"))
+    wide = F.greatest(width, F.lit(1))
+    left, ws = c("x") / wide, F.split(plain, " ")
+    if not short:
+        place = F.greatest(F.lit(0.0), 0.16 - left * 0.22)
+    else:
+        alone = (F.size(ws) == 1) & plain.isin(*cl.BUSINESS_SUFFIXES)
+        place = F.greatest(F.lit(0.0), (c("right") / wide - 0.42) * 0.28) + F.when(left < 0.2, -0.08).otherwise(0.0) + F.when(alone, -1.0).otherwise(0.0) + F.when(c("bar") & (F.size(ws) <= 3), 0.45).otherwise(0.0)
+    score = cl.role_score(c("__t"), c("__p"), name, plain, own, role)
+    return F.struct(F.when(name == "", -1.0).otherwise(score + place).alias("score"), name.alias("name"))
 
 
 def vendor_rows(rows: DataFrame) -> DataFrame:
@@ -162,9 +164,8 @@ def block_names(rows: DataFrame, blocks: DataFrame, roles: DataFrame) -> DataFra
     named = roles.where((c("role") != "summary_block") & (c("score") >= MIN_ROLE)).select(*PAGE, "block_no", "role", c("score").alias("role_score"), (c("x") + c("w")).alias("width"))
     own = blocks.where("block_row < 4").select(*PAGE, "row_no", "block_no", "block_row").join(named, [*PAGE, "block_no"])
     segments = own.join(row_segments(rows), [*PAGE, "row_no"])
-    # Each segment is scored as one of its block's role only.
-    each = [segments.where(c("role") == r).withColumn("s", segment_score(c("text"), c("x"), c("right"), c("width"), c("bar"), r)) for r in ROLES[:4]]
-    best = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).groupBy(*PAGE, "block_no").agg(F.max_by("s", F.struct("s.score", -c("block_row"), -c("segment_no"))).alias("s"))
+    scored = first_matching([(c("role") == r, segment_score(r, c("width"))) for r in ROLES[:3]], segment_score("remit_to_block", c("width")))
+    best = cl.named(segments).withColumn("s", scored).groupBy(*PAGE, "block_no").agg(F.max_by("s", F.struct("s.score", -c("block_row"), -c("segment_no"))).alias("s"))
     first = own.where("role = 'vendor_block' AND block_row < 2").join(vendor_rows(rows), [*PAGE, "row_no"]).withColumn("v", vendor_name(c("tokens"), c("width")))
     firm = first.where("v IS NOT NULL").groupBy(*PAGE, "block_no").agg(F.min_by("v", "block_row").alias("firm"))
     j = named.join(best, [*PAGE, "block_no"], "left").join(firm, [*PAGE, "block_no"], "left")
@@ -208,9 +209,8 @@ def labelled_names(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("row_no")
     clear = below.withColumn("stops", F.sum(stop.cast("int")).over(w)).where("stops = 0").withColumn("k", F.row_number().over(w)).where("k <= 4")
     top = F.when((c("field") == "sellerName") & (c("y") < c("page_h") * 0.2), 0.1).otherwise(0.0)
-    seller = segment_score(c("text"), c("x"), c("right"), c("page_w"), c("bar"), "vendor_block")
-    buyer = segment_score(c("text"), c("x"), c("right"), c("page_w"), c("bar"), "bill_to_block")
-    scored = clear.withColumn("s", F.when(c("field") == "sellerName", seller).otherwise(buyer)).withColumn("name_score", c("s.score") + top)
+    seller, buyer = segment_score("vendor_block", c("page_w")), segment_score("bill_to_block", c("page_w"))
+    scored = cl.named(clear).withColumn("s", F.when(c("field") == "sellerName", seller).otherwise(buyer)).withColumn("name_score", c("s.score") + top)
     first = (c("k") == 1) & (c("name_score") >= 0.25)
     best = scored.groupBy(*key).agg(F.max_by(F.struct("s.name", "name_score"), F.struct(first.cast("int"), "name_score", -c("k"))).alias("b"))
     return best.where((c("b.name_score") >= 0.1) & (c("b.name") != "")).select(*PAGE, "field", c("b.name").alias("value"), (c("label_score") + 5.0).alias("score"))
@@ -220,13 +220,13 @@ def fallback_names(texts: DataFrame) -> DataFrame:
     """(doc_id, page_no, field, value, score): a seller among the rows at the top left, a customer among those at the lower left."""
     c = F.col
     x, y = c("x") / F.greatest("page_w", F.lit(1)), c("y") / F.greatest("page_h", F.lit(1))
-    t = texts.withColumns({"seller": cl.clean_party(c("text")), "buyer": cl.clean_party(c("text"), True)})
-    high = cl.party_line_score(c("text")) + F.greatest(F.lit(0.0), 0.12 - y * 0.3) + F.when(x < 0.35, 0.05).otherwise(0.0)
-    few = F.when(F.size(F.split(ocr_text(c("buyer")), " ")) <= 3, 0.18).otherwise(0.0) + F.when(c("text").contains("|"), 0.12).otherwise(0.0)
-    low = cl.party_line_score(c("buyer")) + few + F.greatest(F.lit(0.0), 0.16 - y * 0.18)
+    t = cl.named(texts)
+    high = c("__rs") + F.greatest(F.lit(0.0), 0.12 - y * 0.3) + F.when(x < 0.35, 0.05).otherwise(0.0)
+    few = F.when(F.size(F.split("__sp", " ")) <= 3, 0.18).otherwise(0.0) + F.when(c("text").contains("|"), 0.12).otherwise(0.0)
+    low = c("__ss") + few + F.greatest(F.lit(0.0), 0.16 - y * 0.18)
     both = F.array(
-        F.struct(F.lit("sellerName").alias("field"), c("seller").alias("value"), F.when((y <= 0.22) & (x <= 0.55), high).alias("score"), F.lit(0.28).alias("floor")),
-        F.struct(F.lit("customerName").alias("field"), c("buyer").alias("value"), F.when((y >= 0.58) & (x <= 0.6), low).alias("score"), F.lit(0.3).alias("floor")),
+        F.struct(F.lit("sellerName").alias("field"), c("__long").alias("value"), F.when((y <= 0.22) & (x <= 0.55), high).alias("score"), F.lit(0.28).alias("floor")),
+        F.struct(F.lit("customerName").alias("field"), c("__short").alias("value"), F.when((y >= 0.58) & (x <= 0.6), low).alias("score"), F.lit(0.3).alias("floor")),
     )
     each = t.select(*PAGE, "row_no", F.explode(both).alias("f")).select(*PAGE, "row_no", "f.*").where("score >= floor AND value != ''")
     best = each.groupBy(*PAGE, "field").agg(F.max_by(F.struct("value", "score"), F.struct("score", -c("row_no"))).alias("b"))
@@ -235,13 +235,14 @@ def fallback_names(texts: DataFrame) -> DataFrame:
 
 def parties(rows: DataFrame) -> DataFrame:
     """(doc_id, page_no, field, value, source): the seller and the customer of each page, by label, else by block, else by place; names that ran into one another are parted."""
-    texts = row_texts(rows)
-    blocks = row_blocks(texts)
+    rows = written(rows, "rows")
+    texts = written(row_texts(rows), "row-texts")
+    blocks = written(row_blocks(texts), "blocks")
     found = labelled_names(rows, blocks).withColumn("source", F.lit("label"))
-    found = found.unionByName(block_names(rows, blocks, block_roles(blocks)).withColumn("source", F.lit("block")))
+    found = found.unionByName(block_names(rows, blocks, written(block_roles(blocks), "roles")).withColumn("source", F.lit("block")))
     found = found.unionByName(fallback_names(texts).withColumn("source", F.lit("place")))
     rank = first_matching([(F.col("source") == "label", 2), (F.col("source") == "block", 1)], 0)
-    best = found.groupBy(*PAGE, "field").agg(F.max_by(F.struct("value", "source"), F.struct(rank, "score", "value")).alias("b"))
+    best = written(found.groupBy(*PAGE, "field").agg(F.max_by(F.struct("value", "source"), F.struct(rank, "score", "value")).alias("b")), "names")
     pair = best.groupBy(*PAGE).agg(*[F.max(F.when(F.col("field") == f, F.col("b"))).alias(f) for f in ("sellerName", "customerName")])
     names = F.array(
         F.struct(F.lit("sellerName").alias("field"), cl.without_overlap(F.col("sellerName.value"), F.col("customerName.value")).alias("value"), F.col("sellerName.source").alias("source")),
