@@ -48,8 +48,6 @@ def test_rollup_of_all_results(spark):
     want = {r.template_family_id: r.n for r in kept.where("template_family_id % 4 != 3 AND validation_passed").groupBy("template_family_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     got = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup(spark, SF).collect()}
     assert want and all(got[k] >= n for k, n in want.items())
-    cut = {r.template_family_id: r.apply_count for r in catalogue.weighted_confidence_rollup(spark, SF).collect()}
-    assert any(cut[k] < n for k, n in want.items())
 
 
 def test_keywords_and_header_words_are_whole(spark):
