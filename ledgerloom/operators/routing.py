@@ -137,6 +137,7 @@ def family_matches(documents: DataFrame, families: DataFrame, tolerance: int = 1
     ``families``: template_family_id, status, apply_count, reject_count, confidence, regions, roles, tokens, page_count, provider_name, split_pressure.
     A family is met only by a document that shares a token with it in a region. Without one the regions add nothing, and alignment,
     roles, tokens and provider add 0.53 at most, which health does not raise: a floor must be above that.
+    Scores are compared at nine digits, so that the order of additions decides nothing; of equal ones the first family in order is best.
     """
     if floor <= APART:
         raise ValueError(f"a floor of {APART} or less needs every family for every document")
@@ -157,8 +158,8 @@ def family_matches(documents: DataFrame, families: DataFrame, tolerance: int = 1
         c("x.strong"), c("x.variable"), F.coalesce(F.abs(c("f.page_count") - c("d.page_count")), F.lit(0)),
         rules.reuse_multiplier(c("f.status"), c("f.apply_count"), c("f.reject_count"), c("f.confidence")), F.coalesce("f.split_pressure", F.lit(0.0)),
     )
-    scored = j.withColumn("x", deltas).where(c("x.strong") <= max(tolerance, 1)).withColumn("score", score).where(c("score") >= floor)
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("template_family_id", c("f.status").alias("family_status"), "score"), F.struct("score", F.expr("transform(split(template_family_id, ''), x -> -ascii(x))"))).alias("b"), F.count(F.lit(1)).alias("candidates"))
+    scored = j.withColumn("x", deltas).where(c("x.strong") <= max(tolerance, 1)).withColumn("score", F.round(score, 9)).where(c("score") >= floor)
+    best = scored.groupBy("doc_id").agg(F.min_by(F.struct("template_family_id", c("f.status").alias("family_status"), "score"), F.struct(-c("score"), "template_family_id")).alias("b"), F.count(F.lit(1)).alias("candidates"))
     return best.select("doc_id", "b.template_family_id", "b.family_status", F.round("b.score", 3).alias("family_score"), "candidates")
 
 

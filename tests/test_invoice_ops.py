@@ -154,6 +154,16 @@ def test_families_meet_by_region_alone(spark):
     assert sum((0.24, 0.16, 0.05, 0.08)) == pytest.approx(routing.APART) and sum(rules.REGION_WEIGHTS.values()) == pytest.approx(1.0)
 
 
+def test_family_scores_equal_at_nine_digits_tie(spark):
+    """0.75 of alignment less 0.06 for pages is 0.5 of alignment, but not in doubles; the first family wins, though it comes last."""
+    regions = "struct<header:array<string>,identity:array<string>,summary:array<string>,footer:array<string>,generic:array<string>>"
+    own = {"header": ["clinic"], "identity": ["no"], "summary": ["total"], "footer": ["bank"], "generic": ["x"]}
+    d = spark.createDataFrame([("d", own, ["r"], ["t"], 1, "P", {"a": 0.75, "b": 0.5})], f"doc_id string, regions {regions}, roles array<string>, tokens array<string>, page_count int, provider_name string, alignment map<string,double>")
+    rows = [(k, "established", 20, 0, 1.0, own, ["r"], ["t"], pages, "P", 0.0) for k, pages in (("b", 1), ("a", 5))]
+    f = spark.createDataFrame(rows, f"template_family_id string, status string, apply_count int, reject_count int, confidence double, regions {regions}, roles array<string>, tokens array<string>, page_count int, provider_name string, split_pressure double")
+    assert [tuple(r) for r in routing.family_matches(d, f).select("doc_id", "template_family_id", "family_score", "candidates").collect()] == [("d", "a", 0.93, 2)]
+
+
 FAMILY = "template_family_id string, provider_name string, status string, apply_count long, reject_count long, confidence double"
 PRINT = "fingerprint_hash string, template_family_id string, status string, apply_count long, reject_count long, confidence double"
 
