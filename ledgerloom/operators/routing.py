@@ -270,19 +270,23 @@ def merge_similarity(a: Column, b: Column) -> Column:
 def merge_candidates(families: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:
     """(source_id, target_id, similarity): pairs of active families alike enough to merge, the weaker into the stronger.
 
-    All but the regions add 0.55 at most, so their likeness is (floor - 0.55) / 0.45 at least, and so is the overlap of one of them:
-    families meet by (region, token) among the rarest of a region's tokens, as sets that alike must share one of those.
+    All but the regions add 0.55 at most, so their likeness, a mean of Jaccard indices by weight, is (floor - 0.55) / 0.45 at least.
+    A region's weight is dealt to a family's tokens there in equal parts; what two families share is then, of either's whole weight, at least that.
+    Families meet by their rarest (region, token) from which on enough weight is left, so words that all have make no pairs where others are needed.
     """
     if floor <= 0.55:
         raise ValueError("a floor of 0.55 or less needs every pair of families")
     side = F.struct(*[F.col(c) for c in ("regions", "roles", "fields", "provider_name", "country_code", "document_family", "page_count", "apply_count", "reject_count", "confidence")])
     f = families.where("status != 'retired'").select("template_family_id", side.alias("s"))
-    each = f.select("template_family_id", F.explode(F.array(*[F.struct(F.lit(k).alias("region"), F.array_distinct(F.coalesce(F.col(f"s.regions.{k}"), F.array().cast("array<string>"))).alias("v")) for k in rules.REGION_WEIGHTS])).alias("x")).select("template_family_id", "x.*")
-    long = each.select("template_family_id", "region", F.explode("v").alias("t"))
+    each = f.select("template_family_id", F.explode(F.array(*[F.struct(F.lit(k).alias("region"), F.lit(w).alias("w"), F.array_distinct(F.coalesce(F.col(f"s.regions.{k}"), F.array().cast("array<string>"))).alias("v")) for k, w in rules.REGION_WEIGHTS.items()])).alias("x")).select("template_family_id", "x.*")
+    token = F.coalesce(F.concat(F.lit("="), "t"), F.lit(""))  # a null is a token as well
+    long = each.select("template_family_id", "region", (F.col("w") / F.size("v")).alias("w"), F.explode("v").alias("t")).withColumn("t", token)
     counted = long.join(long.groupBy("region", "t").agg(F.count(F.lit(1)).alias("n")), ["region", "t"])
-    rare = counted.groupBy("template_family_id", "region").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
-    take = F.size("o") - F.ceil(F.size("o") * F.lit((floor - 0.55) / 0.45) - 1e-9).cast("int") + 1
-    tokens = rare.select("template_family_id", "region", F.explode(F.transform(F.slice("o", F.lit(1), take), lambda x: x["t"])).alias("t"))
+    rare = counted.groupBy("template_family_id").agg(F.array_sort(F.collect_list(F.struct("n", "region", "t", "w"))).alias("o"))
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["w"])
+    left = lambda k: weight(F.slice("o", k + 1, F.size("o")))
+    enough = F.filter("o", lambda x, k: left(k) >= F.lit((floor - 0.00005 - 0.55) / 0.45) * weight(F.col("o")) - 1e-9)  # likeness is rounded to four places
+    tokens = rare.select("template_family_id", F.explode(enough).alias("x")).select("template_family_id", "x.region", "x.t")
     met = tokens.toDF("left_id", "region", "t").join(tokens.toDF("right_id", "region", "t"), ["region", "t"]).where("left_id < right_id").select("left_id", "right_id").distinct()
     j = met.join(f.toDF("left_id", "a"), "left_id").join(f.toDF("right_id", "b"), "right_id")
     for k in ("provider_name", "country_code", "document_family"):
