@@ -48,6 +48,18 @@ def phrases(tokens: DataFrame, key: list[str], seq: str, text: str, longest: int
     return x.select(*key, seq, F.explode(F.array(*runs)).alias("r")).where("r.phrase IS NOT NULL").select(*key, seq, "r.length", "r.phrase")
 
 
+def phrase_counts(texts: DataFrame, key: list[str], words: str, longest: int = 4) -> DataFrame:
+    """(key, length, n, n_distinct): how many runs of 1 to ``longest`` neighbouring words each row's array has, and how many different ones.
+
+    Counted within the row, so that neither words nor runs travel. Lengths without a run have no row; words hold no spaces.
+    """
+    w = F.col("__words")
+    x = texts.select(*key, F.col(words).alias("__words")).where(F.size(words) > 0)
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)])) if n > 1 else w
+    counted = [F.when(F.size(w) >= n, F.struct(F.lit(n).alias("length"), (F.size(w) - n + 1).cast("long").alias("n"), F.size(F.array_distinct(run(n))).cast("long").alias("n_distinct"))) for n in range(1, longest + 1)]
+    return x.select(*key, F.explode(F.array(*counted)).alias("r")).where("r IS NOT NULL").select(*key, "r.*")
+
+
 def first_assignment(candidates: DataFrame, group: list[str], slot: str, score: str, seq: list[str]) -> DataFrame:
     """Of each slot in a group the candidate of the highest score, the first in ties."""
     w = Window.partitionBy(*group, slot).orderBy(F.desc(score), *seq)

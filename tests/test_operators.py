@@ -37,6 +37,15 @@ def test_line_arithmetic_check_on_the_edge_of_its_tolerance(spark, tmp_path):
     assert got == {(k, n) for k, _ in parts for n in (1, 5)}
 
 
+def test_ngram_phrases_stay_in_their_rows(spark, tmp_path):
+    texts = ["a b a b a b", "a", "", " ", None, "x  x  x", " ".join(f"w{k % 7}" for k in range(3000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.ngram_phrases(spark, str(tmp_path))
+    runs = {(k, n): [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] for k, t in enumerate(texts) if t is not None for w in [t.split(" ")] for n in range(1, 5)}
+    assert {tuple(r) for r in got.collect()} == {(k, n, len(x), len(set(x))) for (k, n), x in runs.items() if x}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_validation(spark):
     found = spark.createDataFrame([("a", "total", "$10.00"), ("a", "customerName", "Jordan  LEE"), ("a", "notes", "net thirty days"), ("a", "invoiceDate", "03/05/2024"), ("a", "quantity", "2.0001")], "doc_id string, field string, value string")
     gt = spark.createDataFrame([("a", "total", "10"), ("a", "customerName", "Jordan Lee"), ("a", "notes", "thirty days net"), ("a", "invoiceDate", "2024-05-03"), ("a", "quantity", "2"), ("a", "number", "7"), ("a", "none", None)], "doc_id string, field string, value string")
