@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -194,52 +195,93 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", values: st
     return j.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
-COMMON = 32_768
-"""Words whose frequency orders the sets of ``similar_classes``; any order is right, rare words first is fast."""
+BUCKETS, BLOCK = 1 << 23, 1 << 13
+"""Buckets of words whose counts order the sets of ``similar_classes``, a byte each, and how many of them a row brings to the driver."""
+MAX_SEEN = 1 << 20
+"""Ids of sets to verify that go to every task; more of them are joined."""
+CELL = 512
+"""Sets of a cell in which pairs are verified, about."""
 
 
-def _prefixes(common: DataFrame, threshold: float) -> Callable[[Column], Column]:
-    """For an array of hashes (position, hash) of its first size - ceil(threshold * size) + 1, the rarest first."""
-    found = common.toArrow()  # ``COMMON`` rows at most
-    known = found.column("h").to_numpy()
-    order = np.argsort(known)
-    held = common.sparkSession.sparkContext.broadcast((known[order], found.column("n").to_numpy()[order]))
+def _levels(hashes: DataFrame) -> np.ndarray:
+    """For each bucket of the hashes in ``h`` about eight times the logarithm of its count; any order of words is right, rare words first is fast."""
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = hashes.select(F.explode("h").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = (F.floor(F.log2("n") * 6) + 1).cast("int")
 
-    def cut(sets: pd.Series) -> pd.Series:
-        known, n = held.value
+    def block(rows: pa.Table) -> pa.Table:
+        at = rows.column("b").to_numpy()
+        out = np.zeros(BLOCK, dtype=np.uint8)
+        out[at % BLOCK] = rows.column("level").to_numpy().clip(max=255)
+        return pa.table({"block": pa.array([int(at[0]) // BLOCK], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
 
-        def one(v):
-            at = np.searchsorted(known, v).clip(max=max(len(known) - 1, 0))
-            count = np.where(known[at] == v, n[at], 0) if len(known) else np.zeros(len(v), dtype=np.int64)
-            return v[np.lexsort((v, count))][: len(v) - int(np.ceil(threshold * len(v) - 1e-9)) + 1]
+    found = counts.select("b", level.alias("level")).groupBy(F.expr(f"b div {BLOCK}")).applyInArrow(block, "block int, levels binary").toArrow()
+    levels = np.zeros(BUCKETS, dtype=np.uint8)
+    for k, x in zip(found.column("block").to_pylist(), found.column("levels").to_pylist(), strict=True):
+        levels[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x, dtype=np.uint8)
+    return levels
 
-        return pd.Series([one(np.asarray(v)) for v in sets])
 
-    return F.pandas_udf(cut, "array<long>")
+def _marks(held, threshold: float) -> Callable[[Column, Column], Column]:
+    """Of an array of hashes and one of the same words' other hashes: a digest of both, the number, the first size - ceil(threshold * size) + 1 (the rarest first) and parities.
 
+    Parities are at least as many bits as hashes, a power of two: by how many of them share a place, odd or even.
+    """
+
+    def marks(sets: pd.Series, others: pd.Series) -> pd.DataFrame:
+        levels, rows = held.value, []
+        for v, w in zip(sets, others, strict=True):
+            v, w = np.sort(v), np.sort(w)
+            ranked = v[np.argsort(levels[v & (BUCKETS - 1)], kind="stable")]
+            m = max(512, 1 << (len(v) - 1).bit_length())
+            bits = np.packbits((np.bincount(v & (m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
+            rows.append((hashlib.sha256(v.tobytes() + w.tobytes()).digest(), len(v), ranked[: len(v) - int(np.ceil(threshold * len(v) - 1e-9)) + 1], bits))
+        return pd.DataFrame(rows, columns=["d", "size", "p", "bits"])
+
+    return F.pandas_udf(marks, "d binary, size int, p array<long>, bits binary")
+
+
+def _apart(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Differing parities of two sets, those of the larger one folded; at most the words that only one has."""
 
-def _parities(sets: pd.Series) -> pd.Series:
-    """512 bits of each array of hashes: by how many of them share a place, odd or even."""
-    return pd.Series([np.packbits((np.bincount(np.asarray(v) & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64) for v in sets])
+    def one(a: bytes, b: bytes) -> int:
+        x, y = sorted((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)), key=len)
+        return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
+
+
+def _celled(met: DataFrame) -> DataFrame:
+    """The pairs with the cell in which both texts meet: a text goes once to each of its cells, not once a pair.
+
+    A pair belongs to the least neighbour of its left side, which near copies share. Groups of more than ``CELL`` members are
+    cut into squares of blocks of about so many, others are dealt to cells of about so many.
+    """
+    lows = met.select(F.col("left_id").alias("id"), F.col("left_id").alias("g")).unionByName(met.select(F.col("right_id").alias("id"), F.col("left_id").alias("g"))).groupBy("id").agg(F.min("g").alias("g"))
+    grouped = met.join(lows.withColumnRenamed("id", "left_id"), "left_id")
+    members = grouped.select("g", F.col("left_id").alias("id")).unionByName(grouped.select("g", F.col("right_id").alias("id"))).distinct().groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    cells = members.agg(F.sum("members")).first()[0] or 0
+    of = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("members") / CELL))
+    own = F.when(F.col("members") > CELL, F.concat_ws(" ", F.lit("group"), "g", of("left_id"), of("right_id"))).otherwise(F.concat_ws(" ", F.lit("cell"), F.pmod(F.xxhash64("g"), F.lit(cells // CELL + 1))))
+    return grouped.join(members, "g").select("left_id", "right_id", own.alias("cell"))
 
 
 def similar_classes(sets: DataFrame, threshold: float, key: str = "id", values: str = "tokens") -> DataFrame:
     """(id, class_id, links) of every row: the least id with the same set, and how many other rows overlap by the threshold.
 
-    Equal sets are one class, so copies cost a row and not their pairs. Classes meet as in ``similar_pairs``, by the
-    rarest words of each, of which ``COMMON`` have their frequency; what meets and is not too far apart by 512 bits of
-    either is verified on the words themselves.
+    Equal sets (by two hashes of 64 bits of every word) are one class, so copies cost a row and not their pairs. Classes
+    meet as in ``similar_pairs``, by the rarest words of each, by the count of their bucket of ``BUCKETS``; what meets
+    and is not too far apart by the parities of either, a bit a word, is verified on the words themselves.
     Rows without a value have no class and no links. Ids are unique.
     """
     from ledgerloom.sources.scratch import written
 
-    each = sets.select(F.col(key).alias("id"), F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))).alias("v"))
-    some = each.where(F.size("v") > 0)
-    counts = some.select(F.explode("v").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.orderBy(F.desc("n"), "t").limit(COMMON).groupBy(F.xxhash64("t").alias("h")).agg(F.max("n").alias("n"))
-    cut = _prefixes(common, threshold)
-    hashes = F.array_distinct(F.transform("v", lambda t: F.xxhash64(t)))
-    marked = written(some.select("id", F.sha2(F.to_json(F.array_sort("v")), 256).alias("d"), F.size("v").alias("size"), hashes.alias("h")).withColumns({"p": cut(F.col("h")), "bits": F.pandas_udf(_parities, "array<long>")("h")}).drop("h"), "prefixes")
+    spark = sets.sparkSession
+    each = sets.select(F.col(key).alias("id"), F.col(values).alias("v"))
+    one, two = (F.array_distinct(F.transform("v", f)) for f in (lambda t: F.xxhash64(t), lambda t: F.xxhash64(t, F.lit(1))))
+    hashed = each.select("id", one.alias("h"), two.alias("o")).where(F.size("h") > 0)
+    held = spark.sparkContext.broadcast(_levels(hashed.select("h")))
+    marked = written(hashed.select("id", _marks(held, threshold)("h", "o").alias("m")).select("id", "m.*"), "prefixes")
     classes = written(marked.groupBy("d").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
     first = marked.join(classes.select(F.col("class_id").alias("id")), "id").select("id", "size", F.posexplode("p").alias("at", "h"))
     side = lambda p: first.select("h", F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("at").alias(f"{p}_at"))
@@ -247,18 +289,29 @@ def similar_classes(sets: DataFrame, threshold: float, key: str = "id", values:
     enough = F.least(rest("left"), rest("right")) >= F.lit(threshold / (1 + threshold)) * (F.col("left_size") + F.col("right_size")) - 1e-6
     met = side("left").join(side("right"), "h").where("left_id < right_id").where(enough).select("left_id", "right_id").distinct()
     bits = marked.select("id", "bits", "size")
-    apart = F.aggregate(F.zip_with("lb", "rb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)  # at most the words that only one has
-    may = apart <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("ls") + F.col("rs")) + 1e-6
+    may = F.pandas_udf(_apart, "long")("lb", "rb") <= F.lit((1 - threshold) / (1 + threshold)) * (F.col("ls") + F.col("rs")) + 1e-6
     met = written(met.join(bits.toDF("left_id", "lb", "ls"), "left_id").join(bits.toDF("right_id", "rb", "rs"), "right_id").where(may).select("left_id", "right_id"), "met")
     seen = met.select(F.col("left_id").alias("id")).unionByName(met.select(F.col("right_id").alias("id"))).distinct()
-    texts = some.join(seen, "id")
-    j = met.join(texts.toDF("left_id", "lv"), "left_id").join(texts.toDF("right_id", "rv"), "right_id")
-    linked = written(j.where(jaccard(F.col("lv"), F.col("rv")) >= threshold).select("left_id", "right_id"), "linked")
-    n = classes.select(F.col("class_id").alias("other"), "n")
-    both = linked.toDF("class_id", "other").unionByName(linked.toDF("other", "class_id"))
-    more = both.join(n, "other").groupBy("class_id").agg(F.sum("n").alias("more"))
+    seen = F.broadcast(seen) if seen.count() <= MAX_SEEN else seen
+    texts = each.join(seen, "id").join(classes.select(F.col("class_id").alias("id"), "n"), "id").select("id", "n", F.array_distinct("v").alias("v"))
+    pairs = _celled(met)
+    need = pairs.select(F.col("cell").alias("at"), F.col("left_id").alias("id")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("right_id").alias("id"))).distinct()
+    kind = each.schema["id"].dataType.simpleString()
+
+    def verified(met: pa.Table, docs: pa.Table) -> pa.Table:
+        held = {k: (frozenset(v), n) for k, v, n in zip(*(docs.column(c).to_pylist() for c in ("id", "v", "n")), strict=True)}
+        more: dict = {}
+        for l, r in zip(met.column("left_id").to_pylist(), met.column("right_id").to_pylist(), strict=True):  # noqa: E741
+            (x, m), (y, n) = held[l], held[r]
+            shared = len(x & y)
+            if shared / (len(x) + len(y) - shared) >= threshold:
+                more[l], more[r] = more.get(l, 0) + n, more.get(r, 0) + m
+        return pa.table({"class_id": pa.array(list(more), docs.schema.field("id").type), "more": pa.array(list(more.values()), pa.int64())})
+
+    linked = pairs.groupBy("cell").cogroup(need.join(texts, "id").groupBy("at")).applyInArrow(verified, f"class_id {kind}, more long")
+    more = linked.groupBy("class_id").agg(F.sum("more").alias("more"))
     of = marked.select("id", "d").join(classes, "d").join(more, "class_id", "left").select("id", "class_id", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links"))
-    return of.unionByName(each.where(F.size("v") == 0).select("id", F.lit(None).cast(of.schema["class_id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("links")))
+    return of.unionByName(each.where(F.coalesce(F.size("v"), F.lit(0)) <= 0).select("id", F.lit(None).cast(of.schema["class_id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def merge_similarity(a: Column, b: Column) -> Column:

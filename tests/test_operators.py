@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import history, ledger, lifecycle, reconcile, reports, routing, store, truth, validate
 from ledgerloom.plans import catalogue
+from ledgerloom.sources import scratch
 
 LINES = "doc_id string, line_no int, description string, quantity string, unit_price string, amount string, net_amount string, gross_amount string, tax_rate string, tax_amount string"
 
@@ -215,6 +216,28 @@ def test_jaccard_links_as_by_hand(spark, tmp_path):
     assert sum(n for _, n in want.values()) > 500
 
 
+def test_similar_classes_drops_long_unlike_sets_by_parities(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(k, [f"w{i}" for i in r.sample(range(4000), 2000)]) for k in range(40)] + [(50, [None, "a"]), (51, ["a", None, None]), (52, [])]
+    made, write = {}, scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    got = {x.id: (x.class_id, x.links) for x in routing.similar_classes(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.8).collect()}
+    assert made["met"].count() == 0  # each pair would have carried 4,000 words
+    assert got == {k: (k, 0) for k in range(40)} | {50: (50, 1), 51: (50, 1), 52: (None, 0)}
+
+
+def test_similar_classes_sends_a_set_once_to_a_cell(spark, monkeypatch):
+    sets = {k: frozenset(f"w{i}" for i in range(60) if i != k) for k in range(60)} | {60 + k: frozenset(f"v{k % 3}x{i}" for i in range(9 + k // 3)) for k in range(12)}
+    data = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    want = {k: sum(len(a & b) / len(a | b) >= 0.8 for j, b in sets.items() if j != k) for k, a in sets.items()}
+    for size in (512, 16, 1):
+        monkeypatch.setattr(routing, "CELL", size)
+        assert {x.id: x.links for x in routing.similar_classes(data, 0.8).collect()} == want
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "right_id long, left_id long")
+    monkeypatch.setattr(routing, "CELL", 512)
+    assert routing._celled(pairs).select("cell").distinct().count() == 1  # 60 texts travel, not 1,770 pairs of them
+
+
 def test_hamming_nearest_all_as_by_hand(spark, tmp_path):
     texts = [f"text {k % 97 if k % 3 else k} " + "x" * (k % 11) for k in range(900)] + [None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
