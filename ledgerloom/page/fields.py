@@ -1,13 +1,12 @@
-"""Fields on pages: labels found among the rows' phrases, and the values that stand by them. After the rows, all of it is relational."""
+"""Fields on pages: labels found among the rows' phrases, and the values that stand by them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.labels import FIELD_SPECS, label_score, value_region
+from ledgerloom.functions.labels import FIELD_SPECS
 from ledgerloom.functions.numbers import token_number
-from ledgerloom.functions.sets import inside
 from ledgerloom.functions.text import first_matching, ocr_text, squeezed
 
 MIN_LABEL = 0.72
@@ -41,56 +40,43 @@ def phrases(rows: DataFrame, longest: int = 4) -> DataFrame:
     return x.select("doc_id", "page_no", "row_no", "place", "n", "page_w", "page_h", F.array_join(F.transform("run", lambda t: t["text"]), " ").alias("phrase"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (low - top).alias("h"))
 
 
-def labels(rows: DataFrame, floor: float = MIN_LABEL) -> DataFrame:
-    """The best label of each field on each page.
+def paged(tokens: DataFrame) -> DataFrame:
+    """A row a page, with an array of each of its tokens' columns."""
+    each = ("token_seq", "text", "x", "y", "w", "h")
+    known = tokens.where("doc_id IS NOT NULL AND page_no IS NOT NULL")
+    pages = known.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(*each)).alias("t"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
+    return pages.select("doc_id", "page_no", *[F.col(f"t.{c}").alias(c) for c in each], "page_w", "page_h")
 
-    A phrase that scores as high as the floor shares a word with the alias, or differs from it by a sixth of its letters
-    at most, which short aliases cannot. So phrases meet aliases by a word, or by a length within three of theirs and few
-    edits; only those pairs are scored.
-    """
-    o = ocr_text(F.col("phrase"))
-    p = phrases(rows).withColumn("o", o).where("o != ''")
-    a = aliases(rows.sparkSession).withColumn("ao", ocr_text(F.col("alias")))
-    tagged = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x.cast("string")))
-    lengths = F.when(F.length("ao") >= 7, F.sequence(F.length("ao") - 3, F.length("ao") + 3)).otherwise(F.array().cast("array<int>"))
-    keyed = a.withColumn("k", F.explode(F.concat(tagged("w", F.array_distinct(F.split("ao", " "))), tagged("l", lengths))))
-    mine = p.withColumn("k", F.explode(F.concat(tagged("w", F.array_distinct(F.split("o", " "))), tagged("l", F.array(F.length("o"))))))
-    near = F.col("k").startswith("w") | (F.levenshtein("o", "ao", 3) >= 0)
-    j = mine.join(F.broadcast(keyed), "k").where(near)
-    score = label_score(F.col("phrase"), F.col("alias"), F.col("field"), F.col("x") / F.col("page_w"), F.col("y") / F.col("page_h"))
-    w = Window.partitionBy("doc_id", "page_no", "field").orderBy(F.desc("score"), "row_no", "place", "n", "alias")
-    return j.withColumn("score", score).where(F.col("score") >= floor).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "k", "o", "ao")
-
-
-def values(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, page_no, field, value, confidence): what stands in each label's region, as its kind reads it.
-
-    Labels and tokens meet by page. Amounts are the last one in the region, dates the first; names are its first line.
+
+def discovered(pages: DataFrame, floor: float = MIN_LABEL) -> DataFrame:
+    """(doc_id, page_no, field, value, confidence, page_confidence) of pages as ``paged`` gives them.
+
+    Each field's best label of a page has a region; amounts are the last one in it, dates the first; names are its first line.
     """
-    c = F.col
-    region = value_region(c("x"), c("y"), c("w"), c("h"), c("page_w"), c("page_h"), c("below"), c("kind") == "address")
-    l = found.select("doc_id", "page_no", "field", "kind", "critical", "score", "phrase", c("row_no").alias("label_row"), region.alias("region"))  # noqa: E741
-    t = rows.select("doc_id", "page_no", "row_no", "place", "text", ((c("x") + c("w") / 2) / c("page_w")).alias("cx"), ((c("y") + c("h") / 2) / c("page_h")).alias("cy"))
-    j = l.join(t, ["doc_id", "page_no"]).where(inside(c("cx"), c("cy"), c("region")))
-    line = j.groupBy("doc_id", "page_no", "field", "kind", "critical", "score", "label_row", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("line"))
-    per = line.groupBy("doc_id", "page_no", "field", "kind", "critical", "score").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: x["line"]), " ")
-    first = F.get("lines", F.lit(0))["line"]
-    amount = F.try_element_at(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), F.lit(-1))
-    date = F.nullif(F.regexp_extract(text, DATE, 0), F.lit(""))
-    value = first_matching([(c("kind") == "currency", amount), (c("kind") == "date", F.coalesce(date, squeezed(first))), (c("kind") == "address", squeezed(first))], squeezed(F.regexp_replace(first, "^[:#\\s]+", "")))
-    return per.select("doc_id", "page_no", "field", "critical", F.nullif(value, F.lit("")).alias("value"), F.round("score", 4).alias("confidence")).where("value IS NOT NULL")
+    from ledgerloom.page.discovery import FOUND, finder
 
+    longs = [F.col(c).cast("array<long>").alias(c) for c in ("token_seq", "x", "y", "w", "h")]
+    whole = pages.select("doc_id", "page_no", "text", *longs, F.col("page_w").cast("long").alias("page_w"), F.col("page_h").cast("long").alias("page_h"))
+    kinds = {f.name: f.dataType.simpleString() for f in whole.schema}
+    per = whole.mapInArrow(finder(floor), f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, found {FOUND}")
 
-def page_discovery(tokens: DataFrame) -> DataFrame:
-    """(doc_id, page_no, field, value, confidence, page_confidence) of every page."""
-    from ledgerloom.page.rows import token_rows
+    def read(l: Column) -> Column:  # noqa: E741
+        text, first, kind = F.array_join(l["lines"], " "), F.get(l["lines"], F.lit(0)), l["kind"]
+        amount = F.try_element_at(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), F.lit(-1))
+        date = F.nullif(F.regexp_extract(text, DATE, 0), F.lit(""))
+        value = first_matching([(kind == "currency", amount), (kind == "date", F.coalesce(date, squeezed(first))), (kind == "address", squeezed(first))], squeezed(F.regexp_replace(first, "^[:#\\s]+", "")))
+        return F.struct(l["field"].alias("field"), l["critical"].alias("critical"), F.nullif(value, F.lit("")).alias("value"), F.round(l["score"], 4).alias("confidence"))
 
-    rows = token_rows(tokens)
-    found = values(rows, labels(rows))
+    of = per.withColumn("found", F.filter(F.transform("found", read), lambda v: v["value"].isNotNull())).where(F.size("found") > 0)
     critical = sum(spec[2] for spec in FIELD_SPECS.values())
-    per = found.groupBy("doc_id", "page_no").agg((0.6 * F.avg("confidence") + 0.15 * F.count(F.lit(1)) / len(FIELD_SPECS) + 0.25 * F.count_if("critical") / critical).alias("page_confidence"))
-    return found.join(per.withColumn("page_confidence", F.round("page_confidence", 4)), ["doc_id", "page_no"])
+    mean = F.aggregate("found", F.lit(0.0), lambda s, v: s + v["confidence"]) / F.size("found")
+    page = 0.6 * mean + 0.15 * F.size("found") / len(FIELD_SPECS) + 0.25 * F.size(F.filter("found", lambda v: v["critical"])) / critical
+    return of.select("doc_id", "page_no", F.round(page, 4).alias("page_confidence"), F.explode("found").alias("v")).select("doc_id", "page_no", "v.*", "page_confidence")
+
+
+def page_discovery(tokens: DataFrame) -> DataFrame:
+    """``discovered`` of a table of tokens, whose pages are brought together first."""
+    return discovered(paged(tokens))
 
 
 def template(found: DataFrame) -> DataFrame:

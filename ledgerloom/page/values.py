@@ -75,7 +75,7 @@ def fallback_values(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def with_fallbacks(found: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``fields.values`` with the fallback value of each field that no label gave, at its score, 1 at most."""
+    """``fields.discovered`` with the fallback value of each field that no label gave, at its score, 1 at most."""
     missing = fallback.join(found.select(*PAGE, "field"), [*PAGE, "field"], "left_anti")
     critical = F.col("field").isin(*[f for f, spec in FIELD_SPECS.items() if spec[2]])
     return found.unionByName(missing.select(*PAGE, "field", critical.alias("critical"), "value", F.round(F.least("score", F.lit(1.0)), 4).alias("confidence")))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom import cli, config
+from ledgerloom.functions import labels
 from ledgerloom.operators import reports
-from ledgerloom.page import fields, rows, tables
+from ledgerloom.page import discovery, fields, rows, tables
 from ledgerloom.plans import catalogue, process
 from ledgerloom.sources import files
 from ledgerloom.sources.workspace import Workspace
@@ -109,6 +111,88 @@ def test_page(spark):
     assert {x.field for x in fields.template(fields.page_discovery(t)).collect()} == set(found)
 
 
+NOISE = ["invoice", "Invoice", "No:", "no.", "N0", "#", "Date", "date:", "due", "issued", "issue", "dates", "Total", "t0tal:", "sub", "subtota1", "and", "handling", "shippin", "to", "Bill", "billto:", "custmer", "cus", "tomer", "invoicno", "purchase", "0rder", "nunber", "tax", "id", "from\nthe", "from", "x", "-", "", None, "12.50", "2024-01-02", "S&H", "sales", "net", "amount", "vendor", "soldby"]
+
+
+def noisy_pages(pages=60, seed=3):
+    r = random.Random(seed)
+    out = []
+    for p in range(pages):
+        for k in range(r.choice([1, 7, 40])):
+            out.append((p // 3, p % 3, k, r.choice(NOISE), r.choice([20, 120, 300, 480, 520, 560, 800]), 10 + 17 * r.randint(0, 50) + r.randint(0, 3), r.choice([40, 80]), r.choice([20, 20, 20, 33]), 1000, 1000))
+    return out
+
+
+def test_placed_scores_and_regions_are_those_of_the_columns(spark):
+    r = random.Random(4)
+    names = [(f, a) for f, spec in labels.FIELD_SPECS.items() for a in spec[3]]
+
+    def near(a):
+        k = r.randrange(len(a) + 1)
+        return r.choice([a, a.title() + ":", a[:k] + a[k + 1 :], a[:k] + r.choice("x 0") + a[k:], f"{a} {r.choice(NOISE)}", f"{r.choice(NOISE)} {a}"])
+
+    phrase = lambda a: near(a) if r.random() < 0.5 else " ".join(t for t in r.choices(NOISE, k=r.randint(1, 4)) if t is not None)
+    rows = [(phrase(a), f, a, r.choice([0.1, 0.42, 0.5, 0.7]), r.choice([0.1, 0.34, 0.4, 0.6])) for f, a in r.choices(names, k=4000)]
+    df = spark.createDataFrame(rows, "phrase string, field string, alias string, cx double, cy double")
+    seen = 0
+    for x in df.withColumn("score", labels.label_score(*map(F.col, ("phrase", "alias", "field", "cx", "cy")))).collect():
+        base = discovery.placeless(x.phrase, x.alias, x.field)
+        if base is None:
+            assert x.score < 0.72
+        else:
+            assert discovery.placed(base, x.field, x.cx, x.cy) == x.score
+            seen += x.score >= 0.72
+    assert seen > 100
+    boxes = [(r.randint(0, 990), r.randint(0, 1990), r.randint(1, 300), r.randint(1, 90), r.choice([900, 1000, 1237]), r.choice([2000, 2111]), r.random() < 0.5, r.random() < 0.5) for _ in range(2000)]
+    cols = ("x", "y", "w", "h", "page_w", "page_h", "below", "address")
+    got = spark.createDataFrame(boxes, "x long, y long, w long, h long, page_w long, page_h long, below boolean, address boolean").withColumn("r", labels.value_region(*map(F.col, cols))).collect()
+    assert all((g.r.x, g.r.y, g.r.x + g.r.width, g.r.y + g.r.height) == discovery.region(*(g[c] for c in cols)) for g in got)
+
+
+def test_page_discovery_as_by_hand(spark):
+    t = spark.createDataFrame(noisy_pages(), "doc_id long, page_no int, token_seq long, text string, x long, y long, w long, h long, page_w long, page_h long")
+    r = rows.token_rows(t).collect()
+    by_row = {}
+    for x in sorted(r, key=lambda x: (x.doc_id, x.page_no, x.row_no, x.place)):
+        by_row.setdefault((x.doc_id, x.page_no, x.row_no), []).append(x)
+    best = {}
+    for (d, p, row), ts in by_row.items():
+        for k in range(len(ts)):
+            for n in range(1, min(4, len(ts) - k) + 1):
+                run = ts[k : k + n]
+                phrase = " ".join(x.text for x in run if x.text is not None)
+                for f, (_, _, _, names) in labels.FIELD_SPECS.items():
+                    for a in names:
+                        base = discovery.placeless(phrase, a, f)
+                        score = 0 if base is None else discovery.placed(base, f, min(x.x for x in run) / 1000, min(x.y for x in run) / 1000)
+                        if score >= 0.72:
+                            best[d, p, f] = min(best.get((d, p, f), (1,)), (-score, row, k, n, a, phrase))
+    found = t.transform(fields.paged).select("doc_id", "page_no", "text", "token_seq", "x", "y", "w", "h", "page_w", "page_h").mapInArrow(discovery.finder(0.72), f"doc_id long, page_no int, found {discovery.FOUND}").collect()
+    got = {(x.doc_id, x.page_no, l.field): l.score for x in found for l in x.found}
+    assert got and all(-best[k][0] == v for k, v in got.items())
+    values = {}
+    for (d, p, f), (_, row, k, n, _, _) in best.items():
+        kind, at, _, _ = labels.FIELD_SPECS[f]
+        run = by_row[d, p, row][k : k + n]
+        x, y = min(q.x for q in run), min(q.y for q in run)
+        a, b, c, e = discovery.region(x, y, max(q.x + q.w for q in run) - x, max(q.y + q.h for q in run) - y, 1000, 1000, at == "below", kind == "address")
+        lines = [" ".join(q.text for q in ts if q.text is not None and a <= (q.x + q.w / 2) / 1000 <= c and b <= (q.y + q.h / 2) / 1000 <= e) for (i, j, _), ts in sorted(by_row.items()) if (i, j) == (d, p) and any(a <= (q.x + q.w / 2) / 1000 <= c and b <= (q.y + q.h / 2) / 1000 <= e for q in ts)]
+        if lines:
+            values[d, p, f] = lines
+    assert {(x.doc_id, x.page_no, l.field): l.lines for x in found for l in x.found} == values
+
+
+def test_page_discovery_shuffles_no_tokens(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(900))
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.page_discovery(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(x.page_no, x.field) for x in found.collect()} >= {(p, f) for p in range(3) for f in ("invoiceNumber", "total")}
+    flat, pages = catalogue.tokens(spark, str(tmp_path)), catalogue.token_pages(spark, str(tmp_path))
+    whole = [c for c in flat.columns if c not in ("doc_id", "page_no", "text", "page_w", "page_h")]
+    assert sorted((x.doc_id, x.page_no, *q) for x in pages.collect() for q in zip(*(x[c] for c in whole), strict=True)) == sorted((x.doc_id, x.page_no, *(x[c] for c in whole)) for x in flat.collect())
+
+
 def test_measurements():
     assert tables.measurements(["2", "10.00", "20.00", "24.20"], ["21%"]) == {"quantity": "2", "unit_price": "10.00", "amount": "20.00", "gross_amount": "24.20", "tax_rate": "21%"}
     assert tables.measurements(["9.00"], [])["amount"] == "9.00"
