@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from decimal import ROUND_HALF_UP, Decimal
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +147,24 @@ def sorted_by(*keys: np.ndarray) -> np.ndarray:
     return np.arange(len(one)) if (np.diff(one) >= 0).all() else np.argsort(one, kind="stable")
 
 
+def left_whole(alias: str, most: int) -> list[str]:
+    """Pieces of which one is within a word of every text that is so many edits from the alias at most, and shares no word with it.
+
+    Of two words, one edit breaks both only where they meet, and leaves both whole; two edits in one of them leave the other a word, so
+    the longer has one at most. Else the alias is cut into one more piece than edits, so that the shortest is as long as can be.
+    """
+    longest = max(alias.split(" "), key=len)
+    two = alias.count(" ") == 1
+    if not most or two and most == 1:
+        return [longest] * most
+    if two and most == 2:
+        return [longest[: len(longest) // 2], longest[len(longest) // 2 :]]
+    cut = lambda at: [max(alias[a:b].split(" "), key=len) for a, b in zip((0, *at), (*at, len(alias)), strict=True)]
+    return max(map(cut, combinations(range(1, len(alias)), most)), key=lambda pieces: (min(map(len, pieces)), sum(map(len, pieces))))
+
+
 class Finder:
-    """The aliases by bits of their words and pieces, and what is known of the tokens seen so far."""
+    """The aliases by bits of their words and pieces, and what is known of the tokens at hand."""
 
     def __init__(self, floor: float):
         self.floor = floor
@@ -159,66 +177,50 @@ class Finder:
         self.known = []
         for k, (t, x) in enumerate(zip(texts, self.aliases, strict=True)):
             most = max((e for e in (1, 2, 3) if len(t) >= 7 and 0.55 * (1 - e / (len(t) + e)) + 0.26 >= floor - 1e-9), default=0)  # edits that a score without a shared word can bear
-            cuts = np.linspace(0, len(t), most + 2).round().astype(int)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True) if most else ():
-                f = max(t[a:b].split(" "), key=len)
+            for f in left_whole(t, most):
                 self.pieces[f] = self.pieces.get(f, 0) | 1 << k
             if x[0] == "invoiceDate" and len(t) >= 7:
                 self.pieces["issue"] = self.pieces.get("issue", 0) | 1 << k
             mask = sum(1 << self.words[w] for w in set(t.split(" ")))
-            self.known.append((np.uint64(mask), self.bags_of([t])[0], len(t), len(set(t.split(" "))), n_words(x[4]), 0.08 if x[0].lower() in PRIOR_KINDS else 0.0, 0.22 if x[0] == "invoiceDate" else 0.0, 0.5 if re.search("#|no|number", x[4]) else 0.0, 0.2 if " to" in x[4] else 0.0))
+            self.known.append((np.uint64(mask), self.bags_of(pa.array([t]))[0], len(t), len(set(t.split(" "))), n_words(x[4]), 0.08 if x[0].lower() in PRIOR_KINDS else 0.0, 0.22 if x[0] == "invoiceDate" else 0.0, 0.5 if re.search("#|no|number", x[4]) else 0.0, 0.2 if " to" in x[4] else 0.0))
         self.any_piece = "|".join(sorted(self.pieces))
-        self.seen: dict[str | None, int] = {}
         self.any_word = "(^| )(" + "|".join(self.words) + ")( |$)"
-        self.table = np.zeros((0, 7), dtype=np.int32)  # length, whether any, words of the raw text, ends with a colon, has issue, has a number's sign, has to
-        self.masks = np.zeros((0, 2), dtype=np.uint64)  # words of aliases, pieces of aliases
-        self.bags = np.zeros((0, 37), dtype=np.uint8)
+        self.seen: dict[str, tuple[int, int]] = {}  # words and pieces of aliases in a token
 
     @staticmethod
-    def bags_of(texts: list[str]) -> np.ndarray:
-        codes = np.frombuffer("".join(texts).encode(), dtype=np.uint8).astype(np.int64)
+    def bags_of(texts: pa.Array) -> np.ndarray:
+        offsets, data = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1], texts.buffers()[2]
+        codes = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if data is not None else np.zeros(0, dtype=np.int64)
         at = np.where(codes == 32, 36, np.where(codes >= 97, codes - 97, codes - 22))
-        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        of = np.repeat(np.arange(len(texts)), np.diff(offsets))
         return np.bincount(of * 37 + at, minlength=37 * len(texts)).clip(max=255).astype(np.uint8).reshape(-1, 37)
 
     def codes(self, texts: pa.Array) -> np.ndarray:
-        """Each text's row in the tables."""
-        if len(self.seen) > 300_000:
-            self.seen, self.table, self.masks, self.bags = {}, self.table[:0], self.masks[:0], self.bags[:0]
+        """Each text's row in the tables, which hold these texts only."""
         found = texts.dictionary_encode(null_encoding="encode")
-        names = found.dictionary.to_pylist()
-        fresh = [t for t in names if t not in self.seen]
-        if fresh:
-            low = "\x00".join(t or "" for t in fresh).lower()
-            plain = low
-            for digit, letter in zip(OCR_DIGITS, OCR_LETTERS, strict=True):
-                plain = plain.replace(digit, letter)
-            plain = [o.strip(" ") for o in re.sub("[^a-z0-9\x00]+", " ", plain).split("\x00")]
-            low = low.split("\x00")
-            if len(low) != len(fresh):  # some token has the sign itself
-                low = [(t or "").lower() for t in fresh]
-                plain = [ocr(t or "") for t in fresh]
-            raw, low, plains = pa.array([t or "" for t in fresh], pa.string()), pa.array(low, pa.string()), pa.array(plain, pa.string())
-            has = lambda x, what: pc.match_substring_regex(x, what).to_numpy(zero_copy_only=False)
-            table = np.stack([
-                pc.utf8_length(plains).to_numpy(), pc.greater(pc.utf8_length(plains), 0).to_numpy(zero_copy_only=False),
-                pc.count_substring_regex(raw, r"[^ \t\n\x0b\f\r]+").to_numpy(), has(raw, ": *$"), has(plains, "issue"), has(low, "#|no|number"), has(low, "to"),
-            ], axis=1).astype(np.int32)
-            masks = np.zeros((len(fresh), 2), dtype=np.uint64)
-            for k in np.flatnonzero(has(plains, self.any_word)).tolist():
-                masks[k, 0] = sum(1 << self.words[w] for w in set(plain[k].split(" ")) if w in self.words)
-            for k in np.flatnonzero(has(plains, self.any_piece)).tolist():
-                m = 0
-                for piece, bits in self.pieces.items():
-                    m |= bits if piece in plain[k] else 0
-                masks[k, 1] = m
-            self.seen.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
-            self.table, self.masks, self.bags = np.vstack([self.table, table]), np.vstack([self.masks, masks]), np.vstack([self.bags, self.bags_of(plain)])
-        return np.array([self.seen[t] for t in names], dtype=np.int64)[found.indices.to_numpy()]
+        raw = pc.fill_null(found.dictionary.cast(pa.string()), "")
+        low = pc.utf8_lower(pc.replace_substring(raw, "\u0130", "i\u0307"))  # the one letter of which Java makes two
+        plain = low
+        for digit, letter in zip(OCR_DIGITS, OCR_LETTERS, strict=True):
+            plain = pc.replace_substring(plain, digit, letter)
+        plain = pc.utf8_trim(pc.replace_substring_regex(plain, "[^a-z0-9]+", " "), " ")
+        has = lambda x, what: pc.match_substring_regex(x, what).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(plain).to_numpy()
+        self.table = np.stack([size, size > 0, pc.count_substring_regex(raw, r"[^ \t\n\x0b\f\r]+").to_numpy(), has(raw, ": *$"), has(plain, "issue"), has(low, "#|no|number"), has(low, "to")], axis=1).astype(np.int32)
+        self.masks = np.zeros((len(raw), 2), dtype=np.uint64)
+        hit = np.flatnonzero(has(plain, self.any_word) | has(plain, self.any_piece))
+        for k, t in zip(hit.tolist(), plain.take(pa.array(hit)).to_pylist(), strict=True):
+            if t not in self.seen:
+                if len(self.seen) > 300_000:
+                    self.seen.clear()
+                self.seen[t] = sum(1 << self.words[w] for w in set(t.split(" ")) if w in self.words), reduce(or_, (m for x, m in self.pieces.items() if x in t), 0)
+            self.masks[k] = self.seen[t]
+        self.bags = self.bags_of(plain)
+        return found.indices.to_numpy()
 
     def candidates(self, code: np.ndarray, group: np.ndarray, cx: np.ndarray, cy: np.ndarray):
         """(start, n, alias, bound) of the phrases that may score the floor; ``group`` numbers the rows of all pages, ``cx`` and ``cy`` are the tokens' left and top."""
-        out = []
+        out = []  # of a token the tables have its length, whether any, words of the raw text, whether it ends with a colon and has issue, a number's sign or to
         masks = self.masks[code]
         for n in range(1, LONGEST + 1):
             k = len(code) - n + 1

@@ -74,6 +74,11 @@ def discovered(pages: DataFrame, floor: float = MIN_LABEL) -> DataFrame:
     return of.select("doc_id", "page_no", F.round(page, 4).alias("page_confidence"), F.explode("found").alias("v")).select("doc_id", "page_no", "v.*", "page_confidence")
 
 
+def values(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, field, critical, value, confidence): ``discovered`` without what it says of whole pages."""
+    return discovered(pages).drop("page_confidence")
+
+
 def page_discovery(tokens: DataFrame) -> DataFrame:
     """``discovered`` of a table of tokens, whose pages are brought together first."""
     return discovered(paged(tokens))

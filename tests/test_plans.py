@@ -149,6 +149,26 @@ def test_placed_scores_and_regions_are_those_of_the_columns(spark):
     assert all((g.r.x, g.r.y, g.r.x + g.r.width, g.r.y + g.r.height) == discovery.region(*(g[c] for c in cols)) for g in got)
 
 
+def test_a_piece_is_left_whole():
+    r = random.Random(8)
+    seen = 0
+    for alias in sorted({discovery.ocr(a) for spec in labels.FIELD_SPECS.values() for a in spec[3]}):
+        for most in (1, 2, 3):
+            if len(alias) < 7 or most > alias.count(" ") + 1:
+                continue
+            pieces = discovery.left_whole(alias, most)
+            for _ in range(300):
+                p = alias
+                for _ in range(r.randint(1, most)):
+                    k = r.randrange(len(p) + 1)
+                    p = p[:k] + r.choice(["", " ", "x", "xa"[: r.randint(0, 1)]]) + p[k + r.randint(0, 1) :]
+                p = discovery.ocr(p)
+                if p and discovery.edits(alias, p) <= most and not set(p.split(" ")) & set(alias.split(" ")):
+                    seen += 1
+                    assert any(x in p and " " not in x for x in pieces), (alias, most, p, pieces)
+    assert seen > 500
+
+
 def test_page_discovery_as_by_hand(spark):
     t = spark.createDataFrame(noisy_pages(), "doc_id long, page_no int, token_seq long, text string, x long, y long, w long, h long, page_w long, page_h long")
     r = rows.token_rows(t).collect()
